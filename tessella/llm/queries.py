@@ -6,22 +6,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, secret_scan, url_filter
+from .chat_format import chat_examples, conversation_digests
+from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .secret_scan import scan_versions, span_digests
+from .url_filter import judged_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(scan_versions(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("th")
+
+
+#: A conversation whose texts hold the template's own control strings.
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("select bigint(-7) as conv_id, bigint(turn) as turn, role, :text as text from values (0, 'user'), (1, 'assistant') as t(turn, role)", args={"text": PROBE})
+    return conversation_digests(chat_examples(turns.unionByName(probe)))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_exact_dedup,)}
+    return {f.__name__: f for f in (op2_url_filter, op4_secret_scan, op6_decontamination, op7_chat_format, op10_exact_dedup)}
 
 
 SQL = {
+    "op2_url_filter": url_filter.oracle(),
+    "op4_secret_scan": secret_scan.oracle(),
+    "op6_decontamination": decontaminate.ORACLE_SQL,
+    "op7_chat_format": r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
+w as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from c),
+e as (select *, '### ' || replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c') || ': ' || replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l') || chr(60) || '/turn>' || chr(10) as s from w),
+r as (select *, sum(length(s)) over (partition by conv_id order by k) as upto, k = max(k) over (partition by conv_id) as is_last from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
+cast(sum(upto) filter (role = 'assistant' or is_last) as bigint) as formatted_chars from r group by conv_id
+""",
     "op10_exact_dedup": r"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
 r as (select *, row_number() over (partition by norm order by length(t) desc, doc_id nulls last) as k from d)
