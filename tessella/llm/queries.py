@@ -10,6 +10,9 @@ from . import decontaminate, secret_scan, url_filter
 from .chat_format import chat_examples, conversation_digests
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .language_id import fit, identified
+from .license_scan import scanned_licences
+from .packing import packed_documents
 from .secret_scan import scan_versions, span_digests
 from .url_filter import judged_urls
 
@@ -18,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identified(docs, fit(docs), declared="lang").drop("th")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -26,6 +34,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(scan_versions(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("th")
 
@@ -40,12 +52,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(chat_examples(turns.unionByName(probe)))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned_licences(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op4_secret_scan, op6_decontamination, op7_chat_format, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op9_license_scan, op10_exact_dedup)}
 
 
 SQL = {
