@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .language_id import fit, identified
 from .license_scan import scanned_licences
+from .near_dedup import near_duplicates
 from .packing import packed_documents
 from .secret_scan import scan_versions, span_digests
 from .url_filter import judged_urls
@@ -30,6 +31,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(scan_versions(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -61,7 +66,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op9_license_scan, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_near_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op9_license_scan, op10_exact_dedup)}
 
 
 SQL = {
