@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, secret_scan, url_filter
+from . import decontaminate, line_dedup, secret_scan, url_filter
 from .chat_format import chat_examples, conversation_digests
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .language_id import fit, identified
 from .license_scan import scanned_licences
+from .line_dedup import duplicate_lines
 from .near_dedup import near_duplicates
 from .packing import packed_documents
 from .secret_scan import scan_versions, span_digests
@@ -57,6 +59,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(chat_examples(turns.unionByName(probe)))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = duplicate_lines(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("did").alias("doc_id"), "class_id", "n_lines", "n_links", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned_licences(_table(spark, sf_dir, "documents"))
 
@@ -66,13 +73,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_near_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op9_license_scan, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_near_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op8_line_dedup, op9_license_scan, op10_exact_dedup)}
 
 
 SQL = {
     "op2_url_filter": url_filter.oracle(),
     "op4_secret_scan": secret_scan.oracle(),
     "op6_decontamination": decontaminate.ORACLE_SQL,
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op7_chat_format": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
 w as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from c),
