@@ -47,3 +47,8 @@ def packed(df: DataFrame, *apart: str) -> Column:
 
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
