@@ -16,7 +16,7 @@ def mask(spark: SparkSession, n: int, ids: DataFrame) -> DataFrame:
 
 def mask_bytes(flags: DataFrame) -> DataFrame:
     """byte, value: eight flags a byte, lowest bit first."""
-    bit = F.when(F.col("on"), F.shiftleft(F.lit(1), (F.col("id") % 8).cast("int"))).otherwise(0)
+    bit = F.when(F.col("on"), F.call_function("shiftleft", F.lit(1), (F.col("id") % 8).cast("int"))).otherwise(0)
     return flags.groupBy(F.call_function("div", F.col("id"), F.lit(8)).alias("byte")).agg(F.sum(bit).cast("int").alias("value"))
 
 
