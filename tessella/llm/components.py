@@ -18,13 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Small star: a node and its smaller neighbours move to the smallest of them. A node with many hubs, as buckets
+        # of one group have them, keeps one; the first round leaves little more than an edge a node.
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(moved.unionByName(low.withColumnRenamed("m", "v")).distinct())
         # Large star: a node's larger neighbours move to the smallest one around it.
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
-        # Small star: a node and its smaller neighbours move to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        small = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         new = materialize(small)
         # Done when every edge ends at a root: no node is both above and below.
         if not new.join(new.select(F.col("u").alias("r")).distinct(), F.col("v") == F.col("r"), "left_semi").limit(1).count():
