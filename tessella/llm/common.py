@@ -52,3 +52,16 @@ def has_rows(df: DataFrame) -> bool:
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else as it is, to be joined by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: What a batch between the JVM and Python may hold. The default of 10,000 rows is 30 MB of ordinary documents on both
+#: sides at once, and any amount of long ones.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

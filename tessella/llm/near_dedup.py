@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import has_rows, materialize
+from .common import bounded, bounded_batches, has_rows, materialize
 from .components import components
 
 PERCENT = 75
@@ -111,7 +111,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=names)
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, cls binary, keys array<long>, sig binary")
+    return bounded_batches(rows).mapInArrow(run, "id long, n long, cls binary, keys array<long>, sig binary")
 
 
 def _matched(sig: list[bytes], left: np.ndarray, right: np.ndarray, ids: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("want"))
     members = candidates.join(sizes, "component").select("component", F.col("node").alias("rep"), F.when(F.col("want") > 1, F.pmod(F.xxhash64("node"), "want")).otherwise(F.lit(0)).cast("long").alias("block"))
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text"))
-    sent = block_pairs(members, "component", "block").select("component", "x", "y", "side", "rep").join(texts, "rep")
+    placed = bounded(materialize(block_pairs(members, "component", "block").select("component", "x", "y", "side", "rep")))
+    sent = texts.join(placed, "rep")
     sent = sent.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "rep")
     confirmed = materialize(sent.mapInArrow(_verified(percent), "a long, b long"))
     groups = components(confirmed).select(F.col("node").alias("rep"), "component")
