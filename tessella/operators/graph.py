@@ -138,13 +138,11 @@ def half_faces(mesh: Mesh) -> DataFrame:
 def block_to_scalar(graph: DataFrame, b: int, values: str | None = None) -> DataFrame:
     """Each entry of a block matrix as b * b scalars: row i * b + br, column j * b + bc; values: array, column-within
     (entry bc * b + br)."""
-    spark = graph.sparkSession
     at = F.array(*[F.struct(F.lit(r).alias("br"), F.lit(c).alias("bc")) for r in range(b) for c in range(b)])
     rows = graph.withColumn("at", F.explode(at))
     out = [(F.col("i") * b + F.col("at.br")).alias("i"), (F.col("j") * b + F.col("at.bc")).alias("j")]
     if values:
         out.append(F.get(values, F.col("at.bc") * b + F.col("at.br")).alias("value"))
-    assert spark is not None
     return rows.select(*out)
 
 
