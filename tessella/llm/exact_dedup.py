@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, materialize, packed
+from .common import BLANKS, bounded_batches, materialize, packed
 
 #: Code points of the normalised text in the splitter key; longer common beginnings are told apart by the hash that follows.
 SPLIT_POINTS = 32
@@ -116,7 +116,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFr
     schema = T.StructType([rows.schema[n] for n in names])
     for n, kind in (("keep", T.LongType()), ("keep_neg", T.IntegerType()), ("n", T.LongType()), ("head", T.BooleanType()), ("sha", T.StringType()), ("edge", T.BooleanType()), ("part", T.IntegerType())):
         schema = schema.add(n, kind)
-    runs = materialize(rows.mapInArrow(_runs(carry, names), schema))
+    runs = materialize(bounded_batches(rows).mapInArrow(_runs(carry, names), schema))
     edges = (
         runs.where("edge and head")
         .groupBy("sha")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, bounded_batches, materialize
 
 BUCKETS = 1 << 16
 #: Labelled rows that the models are fitted on, and languages at most.
@@ -131,7 +131,7 @@ def identified(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     said = F.lower(F.coalesce(F.col(f"`{declared}`").cast("string"), markup) if declared else markup)
     name = F.lower(F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))) if host else F.lit("")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(t).alias("th"), name.alias("host"), said.alias("declared"), t.alias("text"))
-    rows = rows.mapInArrow(score, "id long, th long, host string, declared string, ll array<double>")
+    rows = bounded_batches(rows).mapInArrow(score, "id long, th long, host string, declared string, ll array<double>")
     k = len(classes)
     # Evidence of declarations and suffixes as log factors, one literal array for each value that says something.
     arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])

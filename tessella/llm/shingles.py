@@ -9,7 +9,7 @@ WORDS = 5
 #: Members of a block: two blocks are compared at once, so this bounds what a task holds and the size of its matrices.
 BLOCK = 1024
 _CACHE: dict[bytes, int] = {}
-_LIMIT = 500_000
+_LIMIT = 150_000
 
 
 def words(text: str) -> list[bytes]:
@@ -36,16 +36,21 @@ def shingles(found: list[bytes], k: int = WORDS) -> np.ndarray:
     w = word_hashes(found)
     if n < k:  # the length keeps a short sequence apart from a shingle
         return np.array([xxhash.xxh3_64_intdigest(w.tobytes(), n)], np.uint64)
-    p = np.uint64(0x9E3779B97F4A7C15)
-    h = w[: n - k + 1].copy()
+    return np.unique(rolling(w, k))
+
+
+def rolling(w: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """Hashes of all runs of k words; w holds k words at least."""
+    m = len(w) - k + 1
+    h = w[:m].copy()
     for i in range(1, k):
-        h *= p
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        h += w[i : n - k + 1 + i]
+        h += w[i : m + i]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return h
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
