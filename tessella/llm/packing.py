@@ -17,6 +17,8 @@ of its own; repeated rows are packed each; an empty table gives no pieces; other
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 CAPACITY, SEGMENTS, SLACK = 2048, 256, 16
 WINDOW_TOKENS = 4_000_000
 END_ID = 1
 #: Entries of the word cache of a worker; it is emptied when full.
-CACHE = 300_000
+CACHE = 250_000
 #: White space and word classes of Latin-1 as the tokenizer's own pattern has them, for texts without other characters.
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t\n\x0b\x0c\r\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 _TOKENIZERS: dict = {}
@@ -66,31 +70,29 @@ class _Encoder:
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
+        out: list[bytes] = [b""] * len(texts)
         words: list[tuple[int, list[str]]] = []
         for k, t in enumerate(texts):
             if self.by_word and "<|" not in t:
                 try:
                     t.encode("latin-1")
                 except UnicodeEncodeError:
+                    pass
+                else:
+                    words.append((k, _LATIN.findall(t.lower())))
                     continue
-                words.append((k, _LATIN.findall(t.lower())))
+            out[k] = self._bytes(self.whole.encode(t, add_special_tokens=False).ids)
+        cache = self.cache
+        if len(cache) > CACHE:
+            cache.clear()
+        new = [w for w in set().union(*[found for _, found in words]) if w not in cache]
+        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False)):
+            cache[w] = self._bytes(e.ids)
         for k, found in words:
-            try:
-                out[k] = b"".join([self.cache[w] for w in found])
-            except KeyError:
-                if len(self.cache) > CACHE:
-                    self.cache.clear()
-                new = list(set(found).difference(self.cache))
-                for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False)):
-                    self.cache[w] = self._bytes(e.ids)
-                out[k] = b"".join([self.cache[w] for w in found])
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k in rest:
-            out[k] = self._bytes(self.whole.encode(texts[k], add_special_tokens=False).ids)
+            out[k] = b"".join(map(cache.__getitem__, found))
         return out
 
 
@@ -114,7 +116,7 @@ def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", token
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), pa.nulls(part.num_rows, pa.int64()), pa.array(np.zeros(part.num_rows, bool))], names=["id", "ids", "loss", "whole"])
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary, loss long, whole boolean")
+    return bounded_batches(rows).mapInArrow(run, "id long, ids binary, loss long, whole boolean")
 
 
 def _sequence(pool: _Pool, limits: Limits, cut: bool) -> list[tuple[int, int, int]]:
