@@ -11,7 +11,15 @@ The posterior of a language is the product of
   a task). Priors are broadcast only after they were counted.
 One more class, "und", has a flat trigram likelihood and takes texts that no model explains.
 
-The models are fitted on at most SAMPLE labelled rows; counts, priors and decisions use every row.
+The models are fitted for every label on about SAMPLE rows each (all of them where a label has fewer texts, by a count over
+the whole table), so a language's share of the table doesn't matter. Weights are sparse; driver and tasks hold them for all
+labels, which must be languages and not free text. Counts, priors and decisions use every row.
+
+A label counts as fitted with FITTED texts and a likelihood of its own trigrams, each left out of the counts in turn, above
+UNKNOWN. Other models are too flat to tell a clean text from noise: a text with letters that is declared in a language
+without a fitted model is kept, whatever its posterior.
+
+A class that is NEAR or more below the best one by evidence isn't stored: no prior makes it matter to a double.
 
 Defined results: a text without any letter (null, empty, digits) is "und" and rejected; a null host has the corpus's
 prior; an unknown declaration is no evidence; ties go to the first language in alphabetical order; repeated rows get
@@ -31,9 +39,13 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, bounded_batches, materialize
 
 BUCKETS = 1 << 16
-#: Labelled rows that the models are fitted on, and languages at most.
-SAMPLE, LANGUAGES = 3000, 64
+#: Labelled rows of each language that the models are fitted on, and the texts that a fitted one has at least.
+SAMPLE, FITTED = 3000, 10
+#: Languages whose counts a task holds at once while fitting, half a MB each.
+HELD = 32
 EVIDENCE = 200
+#: Priors of 10^9 rows differ by less than 70.
+NEAR = 120.0
 #: Natural log of a trigram's probability under "und"; texts in a modelled language are at -8 or above.
 UNKNOWN = -9.6
 DECLARED, SMOOTHING = 0.9, 20.0
@@ -60,48 +72,65 @@ def _trigrams(text: str) -> np.ndarray:
 
 
 class Model:
-    """Log likelihoods: a row a language and one column a bucket."""
+    """Log likelihoods: the flat one of a language and what a trigram adds to it, for the pairs that occur, ordered by bucket.
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    lang (a place in languages), bucket, n: trigram counts, a pair once; texts: fitted on so many, by language.
+    """
+
+    def __init__(self, languages: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray, texts: list[int]):
         self.languages = languages
-        total = counts.sum(1, keepdims=True)
-        self.weights = np.log((counts + 0.5) / (total + 0.5 * BUCKETS)).astype(np.float32) if len(languages) else np.zeros((0, BUCKETS), np.float32)
+        order = np.lexsort((lang, bucket))
+        self.lang, n = lang[order].astype(np.int32), n[order].astype(np.float64)
+        self.start = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        total = np.bincount(self.lang, n, len(languages))
+        norm = np.log(total + 0.5 * BUCKETS)
+        self.flat, self.added = math.log(0.5) - norm, np.log((n + 0.5) / 0.5)
+        own = np.bincount(self.lang, n * np.log(n - 0.5), len(languages)) / np.maximum(total, 1) - norm
+        self.fitted = [x for k, x in enumerate(languages) if texts[k] >= FITTED and own[k] > UNKNOWN]
 
     def likelihoods(self, text: str) -> np.ndarray | None:
         """By language and last "und"; null: no letters."""
         grams = _trigrams(text)
         if not len(grams):
             return None
-        own = self.weights[:, grams].sum(1, dtype=np.float64) if len(self.languages) else np.zeros(0)
+        at, n = np.unique(grams, return_counts=True)
+        held = self.start[at + 1] - self.start[at]
+        pairs = np.arange(held.sum()) + np.repeat(self.start[at] - np.cumsum(held) + held, held)
+        own = np.bincount(self.lang[pairs], self.added[pairs] * np.repeat(n, held), len(self.languages)) + len(grams) * self.flat
         return np.append(own, UNKNOWN * len(grams)) * min(1.0, EVIDENCE / len(grams))
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trigram counts by language over at most so many labelled rows, the same ones in every run over the same table."""
-    rows = docs.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.lower(F.col(f"`{label}`").cast("string")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    n = docs.select(label).where(F.col(f"`{label}`").isNotNull()).count()
-    if n > sample:
-        share = sample / n
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample)
+    """Trigram counts by language over about so many labelled rows of each, the same ones in every run over the same table."""
+    lang = F.lower(F.col(f"`{label}`").cast("string"))
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(lang.alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where(~F.col("lang").isin("", UND))
+    # Texts, not rows: equal texts have equal hashes, and are drawn or left together.
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
+    languages = sorted(sizes)
+    large = [x for lang, n in sizes.items() if n > sample for x in (F.lit(lang), F.lit(int(sample / n * (1 << 30))))]
+    if large:
+        least = F.element_at(F.create_map(*large), F.col("lang"))
+        rows = rows.where(least.isNull() | (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < least))
+    code = {lang: k for k, lang in enumerate(languages)}
+
+    def batch(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, have in sums.items():
+            at = np.flatnonzero(have)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(have[at])], names=["lang", "bucket", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                have = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                have += np.bincount(_trigrams(t), minlength=BUCKETS)
-        for lang, have in sums.items():
-            at = np.flatnonzero(have)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(have[at])], names=["lang", "bucket", "n"])
+                if code[lang] not in sums and len(sums) == HELD:
+                    yield from batch(sums)
+                    sums = {}
+                have = sums.setdefault(code[lang], np.zeros(BUCKETS, np.int64))
+                np.add.at(have, _trigrams(t), 1)
+        yield from batch(sums)
 
-    got = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    sizes = got.groupby("lang").n.sum().sort_values(ascending=False)
-    languages = sorted(sizes.index[:LANGUAGES])
-    counts = np.zeros((len(languages), BUCKETS))
-    for k, lang in enumerate(languages):
-        mine = got[got.lang == lang]
-        counts[k, mine.bucket.to_numpy(np.int64)] = mine.n
-    return Model(languages, counts)
+    got = bounded_batches(rows).mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    return Model(languages, *(got[c].to_numpy(np.int64) for c in ("lang", "bucket", "n")), [sizes[lang] for lang in languages])
 
 
 def _parent(host: Column) -> Column:
@@ -117,61 +146,59 @@ def _normalised(logs: Column) -> Column:
 
 
 def identified(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", host: str | None = "source", declared: str | None = None, least: float = 0.5) -> DataFrame:
-    """id, th (hash of the text), lang, posterior, text_lang (by likelihood alone), declared, kept (not "und", posterior at least `least`)."""
+    """id, th (hash of the text), lang, posterior, text_lang (by likelihood alone), declared, kept (not "und" and posterior
+    at least `least`, or declared in a language without a fitted model)."""
     classes = [*model.languages, UND]
-    known = model.languages
+    k = len(classes)
+    place = {lang: i for i, lang in enumerate(model.languages)}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.likelihoods(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), b.column("host"), b.column("declared"), pa.array([None if x is None else x.tolist() for x in got], pa.list_(pa.float64()))], names=["id", "th", "host", "declared", "ll"])
+            best, near, evidence = [], [], []
+            for t, host, said in zip(b.column("text").to_pylist(), b.column("host").to_pylist(), b.column("declared").to_pylist()):
+                x = model.likelihoods(t)
+                if x is None:
+                    best.append(UND), near.append(None), evidence.append(None)
+                    continue
+                best.append(classes[int(x.argmax())])
+                for lang, right in ((said, DECLARED), (SUFFIXES.get(host.rsplit(".", 1)[1]) if "." in host else None, SUFFIX)):
+                    if lang in place:
+                        factor = np.full(k, math.log((1 - right) / max(1, k - 1)))
+                        factor[place[lang]] = math.log(right)
+                        x = x + factor
+                at = np.flatnonzero(x > x.max() - NEAR)
+                near.append(at.tolist()), evidence.append(x[at].tolist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "th", "host", "declared")), pa.array(best, pa.string()), pa.array(near, pa.list_(pa.int32())), pa.array(evidence, pa.list_(pa.float64()))], names=["id", "th", "host", "declared", "text_lang", "near", "evidence"])
 
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     markup = F.nullif(F.regexp_extract(t, MARKUP, 1), F.lit(""))
     said = F.lower(F.coalesce(F.col(f"`{declared}`").cast("string"), markup) if declared else markup)
     name = F.lower(F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))) if host else F.lit("")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(t).alias("th"), name.alias("host"), said.alias("declared"), t.alias("text"))
-    rows = bounded_batches(rows).mapInArrow(score, "id long, th long, host string, declared string, ll array<double>")
-    k = len(classes)
-    # Evidence of declarations and suffixes as log factors, one literal array for each value that says something.
-    arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    flat = arr([0.0] * k)
-    speaks = lambda lang, right: arr([math.log(right) if c == lang else math.log((1 - right) / max(1, k - 1)) for c in classes])
-    by_declared, by_suffix = flat, flat
-    for lang in known:
-        by_declared = F.when(F.col("declared") == lang, speaks(lang, DECLARED)).otherwise(by_declared)
-    last = F.substring_index("host", ".", -1)
-    for code, lang in SUFFIXES.items():
-        if lang in known:
-            by_suffix = F.when(F.contains("host", F.lit(".")) & (last == code), speaks(lang, SUFFIX)).otherwise(by_suffix)
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    rows = rows.withColumn("evidence", F.when(F.col("ll").isNotNull(), add(add(F.col("ll"), by_declared), by_suffix)))
-    rows = materialize(rows.withColumn("soft", F.when(F.col("evidence").isNotNull(), _normalised(F.col("evidence")))))
+    rows = materialize(bounded_batches(rows).mapInArrow(score, "id long, th long, host string, declared string, text_lang string, near array<int>, evidence array<double>"))
 
     # Soft counts by host, then by parent, then over all: the corpus's prior is flat-smoothed, the others by the one above.
-    sums = [F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(k)]
-    hosts = rows.where("soft is not null").groupBy("host").agg(*sums).withColumn("parent", _parent(F.col("host")))
-    hosts = materialize(hosts)
-    up = [F.sum(f"s{i}").alias(f"p{i}") for i in range(k)]
-    parents = hosts.groupBy("parent").agg(*up)
-    whole = hosts.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
-    whole = [float(whole[f"s{i}"] or 0.0) for i in range(k)]
-    top = [(x + 1.0) / (sum(whole) + k) for x in whole]
-    n_parent = sum((F.col(f"p{i}") for i in range(1, k)), F.col("p0"))
-    parents = parents.select("parent", *[((F.col(f"p{i}") + SMOOTHING * top[i]) / (n_parent + SMOOTHING)).alias(f"q{i}") for i in range(k)])
-    n_host = sum((F.col(f"s{i}") for i in range(1, k)), F.col("s0"))
-    prior = F.array(*[F.log((F.col(f"s{i}") + SMOOTHING * F.col(f"q{i}")) / (n_host + SMOOTHING)) for i in range(k)])
-    priors = materialize(hosts.join(parents, "parent").select(F.col("host").alias("of_host"), prior.alias("prior")))
-    if priors.count() <= BROADCAST_ROWS:
+    soft = rows.where("evidence is not null").select("host", "near", _normalised(F.col("evidence")).alias("soft"))
+    soft = soft.select("host", F.explode(F.arrays_zip("near", "soft")).alias("x")).select("host", F.col("x.near").alias("c"), F.col("x.soft").alias("s"))
+    hosts = materialize(soft.groupBy("host", "c").agg(F.sum("s").alias("s")).withColumn("parent", _parent(F.col("host"))))
+    whole = {r.c: r.s for r in hosts.groupBy("c").agg(F.sum("s").alias("s")).collect()}
+    top = F.array(*[F.lit((whole.get(i, 0.0) + 1.0) / (sum(whole.values()) + k)) for i in range(k)])
+    table = lambda s: F.map_from_entries(F.collect_list(F.struct("c", s)))
+    parents = hosts.groupBy("parent", "c").agg(F.sum("s").alias("p")).groupBy("parent").agg(F.sum("p").alias("n_parent"), table("p").alias("of_parent"))
+    priors = materialize(hosts.groupBy(F.col("host").alias("name"), "parent").agg(F.sum("s").alias("n_host"), table("s").alias("of_host")).join(parents, "parent").drop("parent"))
+    if (priors.agg(F.sum(F.size("of_host") + F.size("of_parent")).alias("n")).first().n or 0) <= BROADCAST_ROWS:
         priors = F.broadcast(priors)
-    out = rows.join(priors, F.col("host") == F.col("of_host"), "left")
-    fused = _normalised(add(F.col("evidence"), F.coalesce("prior", arr([math.log(x) for x in top]))))
-    out = out.withColumn("post", F.when(F.col("evidence").isNotNull(), fused))
+    out = rows.join(priors, F.col("host") == F.col("name"), "left")
+    held = lambda counts, c: F.coalesce(F.element_at(counts, c), F.lit(0.0))
+    n_parent, n_host = F.coalesce("n_parent", F.lit(0.0)), F.coalesce("n_host", F.lit(0.0))
+    above = lambda c: (held("of_parent", c) + SMOOTHING * F.get(top, c)) / (n_parent + SMOOTHING)
+    prior = lambda c: F.log((held("of_host", c) + SMOOTHING * above(c)) / (n_host + SMOOTHING))
+    out = out.withColumn("fused", F.zip_with("near", "evidence", lambda c, x: x + prior(c))).withColumn("post", _normalised(F.col("fused")))
     names = F.array(*map(F.lit, classes))
-    best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
-    lang = F.coalesce(best(F.col("post")), F.lit(UND))
+    lang = F.coalesce(F.get(names, F.element_at("near", F.array_position("post", F.array_max("post")).cast("int"))), F.lit(UND))
     posterior = F.coalesce(F.array_max("post"), F.lit(1.0))
-    return out.select("id", "th", lang.alias("lang"), posterior.alias("posterior"), F.coalesce(best(F.col("ll")), F.lit(UND)).alias("text_lang"), "declared", ((lang != UND) & (posterior >= least)).alias("kept")).withColumnRenamed("id", doc_id)
+    unjudged = F.col("evidence").isNotNull() & F.coalesce(~F.col("declared").isin("", UND, *model.fitted), F.lit(False))
+    return out.select("id", "th", lang.alias("lang"), posterior.alias("posterior"), "text_lang", "declared", (((lang != UND) & (posterior >= least)) | unjudged).alias("kept")).withColumnRenamed("id", doc_id)
 
 
 def drop_rejected(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", **kwargs) -> DataFrame:

@@ -64,3 +64,18 @@ def test_fusion_against_brute_force(spark):
         y = x + np.log((s + L.SMOOTHING * q) / (s.sum() + L.SMOOTHING))
         y = np.exp(y - y.max()) / np.exp(y - y.max()).sum()
         assert got[i].lang == classes[int(y.argmax())] and abs(got[i].posterior - y.max()) < 1e-9
+
+
+def test_rare_and_many_languages(spark):
+    """Spanish is 1 row in 2000; a row a language is too little to reject by; more than 64 languages have models."""
+    d = spark.read.parquet(SF).select("doc_id", "text", "lang")
+    es = [r.text for r in d.where("lang = 'es' and length(text) > 500").orderBy("doc_id").limit(60).collect()]
+    en = d.where("lang = 'en'").select("text").limit(300)
+    many = en.crossJoin(spark.range(200)).select(F.concat_ws(" ", "text", F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(t, "es") for t in es[:30]] + [(es[0][:500], "one")] + [(chr(0x4E00 + 40 * k + i % 7) * 9, f"l{k:03}") for k in range(90) for i in range(12)], "text string, lang string")
+    model = L.fit(many.unionByName(rare))
+    assert len(model.languages) == 93 and "es" in model.fitted and "one" not in model.fitted
+    rows = [(k, t, "es") for k, t in enumerate(es[30:])] + [(100, "\u044b\u044c\u0449" * 300, "one"), (101, "\u044b\u044c\u0449" * 300, "es"), (102, "12", "one"), (103, "\u044b\u044c\u0449" * 300, "")]
+    got = {r.doc_id: r for r in L.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, host=None, declared="lang").collect()}
+    assert {(got[k].lang, got[k].kept) for k in range(len(es) - 30)} == {("es", True)}
+    assert [got[k].kept for k in (100, 101, 102, 103)] == [True, False, False, False]
