@@ -1,13 +1,21 @@
 """License scan: a trained paragraph classifier, confirmed by comparison with templates, in DataFrame functions alone.
 
-A paragraph is a line of a document. Its features are the word 1- and 2-grams that occur in the licence templates (a
-vocabulary of fixed size, below VOCABULARY entries, so its broadcast is bounded whatever the corpus). A softmax regression
-with sparse weights is fitted on the templates, shortened and padded variants of them and plain sentences; the class
-"unknown" takes what isn't a licence, and a threshold calibrated on held-out plain sentences decides. A prediction is
-confirmed where the paragraph holds enough of the rarer n-grams of one template of the predicted family.
+A paragraph is a line of a document or a run of neighbouring lines, of as many lines as the longest template has words:
+hard-wrapped notices fit however narrow they are. Lines without a word (blank, comment marks) end a run. Its features are
+the word 1- and 2-grams that occur in the licence templates (a vocabulary of fixed size, below VOCABULARY entries, so its
+broadcast is bounded whatever the corpus), 2-grams across its line ends included. A softmax regression with sparse weights
+is fitted on the templates, shortened and padded variants of them and plain sentences; the class "unknown" takes what isn't
+a licence, and a threshold calibrated on held-out plain sentences decides. A prediction is confirmed where the paragraph
+holds enough of the rarer n-grams of one template of the predicted family, or all of a short one (title, SPDX tag), and
+isn't of more lines than that template has words; for a run, no other template may have a larger share in it.
+
+A finding is a shortest paragraph: none inside it is a licence of its family. Those of a family that overlap count once, at
+the first one's first line.
 
 The documents are read once: words are exploded and met by the broadcast vocabulary within one stage, and only
-occurrences of vocabulary entries are aggregated, by document and line, with partial sums before the shuffle.
+occurrences of vocabulary entries (and lines without a word) are aggregated, by document and line, with partial sets before
+the shuffle. Runs are formed inside a document's row; only those starts are followed whose next lines together confirm a
+template.
 
 Fitting needs no corpus rows; it is plain gradient descent on the templates at the driver, the same in every run.
 
@@ -22,7 +30,7 @@ import random
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Usual notices by licence family.
@@ -58,6 +66,18 @@ TEMPLATES = {
     "proprietary": ("all rights reserved", "copyright all rights reserved no part of this work may be reproduced without prior written permission", "this document is confidential and proprietary"),
     "public-domain": ("this work is dedicated to the public domain", "this work has been released into the public domain", "cc0 1.0 universal public domain dedication"),
 }
+#: Titles, tags and short forms: confirmed by all of their n-grams.
+SHORT = {
+    "apache": ("apache license version 2.0", "apache license 2.0", "apache 2.0 license", "spdx license identifier apache 2.0"),
+    "bsd": ("bsd license", "bsd 2 clause license", "bsd 3 clause license", "spdx license identifier bsd 2 clause", "spdx license identifier bsd 3 clause"),
+    "cc-by": ("creative commons attribution 4.0 international", "spdx license identifier cc by 4.0"),
+    "cc-by-nc": ("creative commons attribution noncommercial 4.0 international", "spdx license identifier cc by nc 4.0"),
+    "cc-by-sa": ("creative commons attribution sharealike 4.0 international", "spdx license identifier cc by sa 4.0"),
+    "gpl": ("gnu general public license", "gnu gpl", "spdx license identifier gpl 2.0", "spdx license identifier gpl 3.0"),
+    "mit": ("mit license", "spdx license identifier mit"),
+    "mpl": ("mozilla public license", "spdx license identifier mpl 2.0"),
+    "public-domain": ("spdx license identifier cc0 1.0", "spdx license identifier unlicense"),
+}
 #: Ordinary sentences for the unknown class; every second one is held out to calibrate the threshold.
 PLAIN = (
     "the river runs past the old mill and into the lake", "please write your name and address on the first page", "she released the bird under the bridge this morning",
@@ -73,8 +93,10 @@ PLAIN = (
 )
 STOP = frozenset("a an and any are as at be been by for from has have his in into is it its not no of on or that the their this to was were which with you your he she they".split())
 VOCABULARY = 4000
-#: A template is confirmed at this share of its n-grams.
+#: A template is confirmed at this share of its n-grams, one of SHORT at all of them.
 CONFIRM = 0.6
+#: The id of a line without a word among those of n-grams.
+BLANK = -1
 WORD_SPLIT = r"[^a-z0-9.]+|\.(?![0-9])"
 
 
@@ -91,13 +113,20 @@ def _grams(words: list[str]) -> list[str]:
     return sorted({*one, *two})
 
 
+class Template(NamedTuple):
+    family: str
+    grams: frozenset[int]
+    need: float
+    words: int
+
+
 class Model(NamedTuple):
     families: tuple[str, ...]  # the last is unknown
     grams: tuple[str, ...]
     weights: np.ndarray  # gram x family
     bias: np.ndarray
     threshold: float
-    templates: tuple[tuple[str, frozenset[int]], ...]
+    templates: tuple[Template, ...]
 
     def probabilities(self, paragraph: str) -> np.ndarray:
         index = {g: i for i, g in enumerate(self.grams)}
@@ -111,7 +140,7 @@ class Model(NamedTuple):
         index = {g: i for i, g in enumerate(self.grams)}
         have = {index[g] for g in _grams(_words(paragraph)) if g in index}
         k = int(p[:-1].argmax())
-        sure = any(f == self.families[k] and len(have & t) >= CONFIRM * len(t) for f, t in self.templates)
+        sure = any(t.family == self.families[k] and len(have & t.grams) >= t.need for t in self.templates)
         return (self.families[k], float(p[k])) if p[k] >= self.threshold and p[k] > p[-1] and sure else ("unknown", float(p[-1]))
 
 
@@ -119,9 +148,10 @@ class Model(NamedTuple):
 def fitted() -> Model:
     families = (*TEMPLATES, "unknown")
     rng = random.Random(7)
+    texts = {f: (*ts, *SHORT.get(f, ())) for f, ts in TEMPLATES.items()}
     rows: list[tuple[list[str], int]] = []
     for k, family in enumerate(TEMPLATES):
-        for t in TEMPLATES[family]:
+        for t in texts[family]:
             w = _words(t)
             rows += [(w, k)] * 3
             for _ in range(6):
@@ -129,10 +159,10 @@ def fitted() -> Model:
                 cut = w[: max(4, int(len(w) * rng.uniform(0.7, 1)))]
                 rows.append((filler[: rng.randrange(6)] + cut + filler[: rng.randrange(6)], k))
     rows += [(_words(p), len(families) - 1) for p in PLAIN[::2] for _ in range(3)]
-    template_words = sorted({w for ts in TEMPLATES.values() for t in ts for w in _words(t)})
+    template_words = sorted({w for ts in texts.values() for t in ts for w in _words(t)})
     for _ in range(200):  # licence words out of any order
         rows.append(([rng.choice(template_words) for _ in range(rng.randrange(1, 5))], len(families) - 1))
-    grams = tuple(sorted({g for ts in TEMPLATES.values() for t in ts for g in _grams(_words(t))}))
+    grams = tuple(sorted({g for ts in texts.values() for t in ts for g in _grams(_words(t))}))
     assert len(grams) <= VOCABULARY
     index = {g: i for i, g in enumerate(grams)}
     x = np.zeros((len(rows), len(grams)))
@@ -151,7 +181,8 @@ def fitted() -> Model:
         w -= 4.0 * (x.T @ g + 1e-4 * w)
         w = np.sign(w) * np.maximum(np.abs(w) - 2e-4, 0)  # sparse
         b[:-1] -= 4.0 * g.sum(0)[:-1]
-    templates = tuple((f, frozenset(index[g] for g in _grams(_words(t)))) for f, ts in TEMPLATES.items() for t in ts)
+    ids = lambda t: frozenset(index[g] for g in _grams(_words(t)))
+    templates = tuple(Template(f, ids(t), (1 if t in SHORT.get(f, ()) else CONFIRM) * len(ids(t)), len(_words(t))) for f, ts in texts.items() for t in ts)
     model = Model(families, grams, w, b, 0.0, templates)
     held = [model.probabilities(p)[:-1].max() for p in PLAIN[1::2]]
     # Calibrated: above every held-out plain sentence, and never below one half.
@@ -159,39 +190,66 @@ def fitted() -> Model:
 
 
 def _vocabulary(spark: SparkSession, model: Model) -> DataFrame:
-    rows = [(g, i, [float(v) for v in model.weights[i]]) for i, g in enumerate(model.grams)]
-    return spark.createDataFrame(rows, "gram string, gid int, w array<double>").withColumn("key", F.xxhash64("gram"))
+    """The n-grams, and the empty word that a line without one has."""
+    rows = [("", BLANK), *((g, i) for i, g in enumerate(model.grams))]
+    return spark.createDataFrame(rows, "gram string, gid int").withColumn("key", F.xxhash64("gram"))
 
 
 def licence_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """did, th, line (from 0), family, probability of the paragraphs that are licences."""
+    """did, th, line and last (from 0), family, probability of the paragraphs that are licences."""
     model = model or fitted()
+    most = max(t.words for t in model.templates)
     vocabulary = F.broadcast(_vocabulary(docs.sparkSession, model))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("did"), F.xxhash64(body).alias("th"), F.split(F.lower(body), "\n", -1).alias("lines"))
-    rows = rows.select("did", "th", F.posexplode("lines").alias("line", "p"))
-    words = F.split(F.trim(F.regexp_replace("p", WORD_SPLIT, " ")), " +", -1)
-    at = rows.select("did", "th", "line", words.alias("w")).select("did", "th", "line", "w", F.posexplode("w").alias("k", "w0"))
+    words = lambda p: F.split(F.trim(F.regexp_replace(p, WORD_SPLIT, " ")), " +", -1)
+    # All lines' words with the next line's first one behind them, which only ends a pair.
+    rows = rows.select("did", "th", F.transform("lines", words).alias("lines"))
+    rows = rows.select("did", "th", F.posexplode(F.transform("lines", lambda w, i: F.array_append(w, F.coalesce(F.get(F.get("lines", i + 1), F.lit(0)), F.lit(""))))).alias("line", "w"))
+    at = rows.select("did", "th", "line", "w", F.posexplode("w").alias("k", "w0")).where(F.col("k") < F.size("w") - 1)
     # One row a word and the pair it opens; a word alone is a key as well.
-    keys = at.select("did", "th", "line", F.explode(F.array("w0", F.concat_ws(" ", "w0", F.get("w", F.col("k") + 1)))).alias("g"))
+    over = F.col("k") == F.size("w") - 2
+    keys = at.select("did", "th", "line", over.alias("over"), F.explode(F.array("w0", F.concat_ws(" ", "w0", F.get("w", F.col("k") + 1)))).alias("g"))
     met = keys.join(vocabulary, (F.xxhash64("g") == F.col("key")) & (F.col("g") == F.col("gram")))
+    # Presence, not counts; a line's own n-grams and the pair that it opens towards the next one.
+    over = F.col("over") & F.contains("gram", F.lit(" "))
+    lines = met.groupBy("did", "th", "line").agg(F.collect_set(F.when(~over, F.col("gid"))).alias("have"), F.collect_set(F.when(over, F.col("gid"))).alias("ahead"))
+    by = lines.groupBy("did", "th").agg(F.array_sort(F.collect_list(F.struct("line", "have", "ahead"))).alias("ls"))
+    near = by.select("did", "th", F.explode(F.transform("ls", lambda x, i: F.slice("ls", i + 1, most))).alias("near"))
+    near = near.where(~F.array_contains(F.get("near", F.lit(0))["have"], BLANK))
+    # Templates and weights are literals; what is explode(array(x)) is made once a row, where a filter would repeat it.
+    ints = lambda xs: F.array(*map(F.lit, xs))
+    templates = F.array(*[F.struct(ints(sorted(t.grams)).alias("grams"), F.lit(float(t.need)).alias("need"), F.lit(t.words).alias("words"), F.lit(model.families.index(t.family) + 1).alias("f")) for t in model.templates])
+    some = lambda also: F.exists(templates, lambda t: also(t) & (F.size(F.array_intersect("have", t["grams"])) >= t["need"]))
+    once = lambda df, name, x: df.select("*", F.explode(F.array(x)).alias(name))
+    everything = F.array_distinct(F.flatten(F.transform("near", lambda x: F.concat(x["have"], x["ahead"]))))
+    near = once(near, "have", everything).where(some(lambda t: F.lit(True)))
+    runs = near.select("did", "th", F.explode(F.transform("near", lambda x, i: F.slice("near", 1, i + 1))).alias("run"))
+    line, last = F.get("run", F.lit(0))["line"], F.element_at("run", -1)["line"]
+    runs = runs.where((last - line < most) & ~F.exists("run", lambda x: F.array_contains(x["have"], BLANK)))
+    own, ahead = F.transform("run", lambda x: x["have"]), F.transform(F.slice("run", F.lit(1), F.size("run") - 1), lambda x: x["ahead"])
+    runs = once(runs.select("did", "th", line.alias("line"), last.alias("last"), "run"), "have", F.array_distinct(F.flatten(F.concat(own, ahead)))).drop("run")
+    fits = lambda t: F.col("last") - F.col("line") < t["words"]
+    runs = runs.where(some(fits))
     k = len(model.families)
-    # dropDuplicates by line and gram: presence, not counts.
-    seen = met.groupBy("did", "th", "line", "gid").agg(F.first("w").alias("w"))
-    sums = [F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)]
-    by = seen.groupBy("did", "th", "line").agg(*sums, F.collect_list("gid").alias("have"))
-    z = F.array(*[F.col(f"z{i}") + float(model.bias[i]) for i in range(k)])
-    by = by.withColumn("z", z).withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
-    by = by.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)))
+    columns = F.array(*[F.struct(F.lit(float(model.bias[i])).alias("b"), F.array(*[F.lit(float(v)) for v in model.weights[:, i]]).alias("w")) for i in range(k)])
+    runs = once(runs, "z", F.transform(columns, lambda c: F.aggregate("have", c["b"], lambda a, g: a + F.get(c["w"], g))))
+    runs = once(runs, "e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
+    runs = once(runs, "p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)))
     own = F.slice("p", 1, k - 1)
-    by = by.withColumn("best", F.array_max(own)).withColumn("f", F.array_position(own, F.col("best")).cast("int"))
-    by = by.where((F.col("best") >= model.threshold) & (F.col("best") > F.col("p")[k - 1]))
-    sure = F.lit(False)
-    for family, grams in model.templates:
-        enough = F.size(F.array_intersect("have", F.array(*map(F.lit, sorted(grams))))) >= CONFIRM * len(grams)
-        sure = sure | ((F.col("f") == model.families.index(family) + 1) & enough)
+    runs = runs.withColumn("best", F.array_max(own)).withColumn("f", F.array_position(own, F.col("best")).cast("int"))
+    runs = runs.where((F.col("best") >= model.threshold) & (F.col("best") > F.col("p")[k - 1]))
+    share = lambda t: F.size(F.array_intersect("have", t["grams"])) / F.size(t["grams"])
+    runs = once(runs, "most", F.array_max(F.transform(templates, share)))
+    runs = runs.where(some(lambda t: (t["f"] == F.col("f")) & fits(t) & ((F.col("last") == F.col("line")) | (share(t) >= F.col("most")))))
     names = F.array(*map(F.lit, model.families))
-    return by.where(sure).select("did", "th", "line", F.element_at(names, F.col("f")).alias("family"), F.col("best").alias("probability"))
+    shortest = runs.groupBy("did", "th", "line", F.element_at(names, F.col("f")).alias("family")).agg(F.min(F.struct("last", F.col("best").alias("probability"))).alias("x"))
+    shortest = shortest.select("did", "th", "line", "x.last", "family", "x.probability")
+    order = Window.partitionBy("did", "th", "family").orderBy("line")
+    inside = F.min("last").over(order.rowsBetween(1, Window.unboundedFollowing)) <= F.col("last")
+    shortest = shortest.withColumn("inside", F.coalesce(inside, F.lit(False))).where("not inside").drop("inside")
+    overlaps = F.lag("last").over(order) >= F.col("line")
+    return shortest.withColumn("overlaps", F.coalesce(overlaps, F.lit(False))).where("not overlaps").drop("overlaps")
 
 
 def scanned_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:

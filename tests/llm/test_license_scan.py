@@ -26,3 +26,22 @@ def test_plan_equals_model(spark):
         want = [(i, m.predict(x)[0]) for i, x in enumerate(lines) if m.predict(x)[0] != "unknown"]
         assert (r.n_licences, r.families, r.paragraphs) == (len(want), ",".join(sorted({f for _, f in want})), ",".join(f"{i}:{f}" for i, f in want)), r.doc_id
     assert L.scanned_licences(docs(spark, [])).collect() == []
+
+
+def test_wrapped_notices_titles_and_tags(spark):
+    import textwrap
+
+    rows, want = [], []
+    for family, texts in L.TEMPLATES.items():
+        for t in texts:
+            for width, mark in ((72, " * "), (40, "# "), (1, "")):
+                if len(t.split()) > 10:
+                    rows.append("intro\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width, break_long_words=False)) + "\n\nrest")
+                    want.append(family)
+    short = {"MIT License": "mit", "SPDX-License-Identifier: MIT": "mit", "GNU GENERAL PUBLIC LICENSE": "gpl", "// SPDX-License-Identifier: Apache-2.0": "apache", "BSD 3-Clause License": "bsd", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl"}
+    rows, want = rows + list(short), want + list(short.values())
+    split = ["Redistribution and use in source and binary\n\nforms with or without", "he works at mit\nand lost a driving license", "all\n\nrights\n\nreserved"]
+    rows, want = rows + split, want + [""] * len(split)
+    got = {r.doc_id: (r.families, r.n_licences) for r in L.scanned_licences(docs(spark, list(enumerate(rows)))).collect()}
+    assert [(rows[i], got[i][0]) for i in range(len(rows)) if got[i][0] != want[i]] == []
+    assert {got[i][1] for i in range(len(rows)) if want[i]} == {1}
