@@ -254,7 +254,7 @@ def _(spark, d):
 @query("nearest_surface_distance", f"with {CLOUD}, s as (select * from cl where node_id % 10 = 0) select a.node_id, round(min(sqrt((a.x::double - b.x::double) ** 2 + (a.y::double - b.y::double) ** 2 + (a.z::double - b.z::double) ** 2)), 6) as distance from cl a left join s b on (a.x::double - b.x::double) ** 2 + (a.y::double - b.y::double) ** 2 + (a.z::double - b.z::double) ** 2 <= 0.01::double group by 1")
 def _(spark, d):
     p = _doubled(cloud(spark, d))
-    return geometry.signed_distance(p, p.where("node_id % 10 = 0"), 0.1).withColumn("distance", F.round("distance", 6))
+    return geometry.signed_distance(p, p.where("node_id % 10 = 0"), 0.1, reach=0.1).withColumn("distance", F.round("distance", 6))
 
 
 @query("gauss_lobatto", "select 3 as n, 0 as k, 0.0::double as x, round(1.0::double / 6, 9) as w union all select 3, 1, 0.5, round(2.0::double / 3, 9) union all select 3, 2, 1.0, round(1.0::double / 6, 9)")
