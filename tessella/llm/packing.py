@@ -16,6 +16,7 @@ of its own; repeated rows are packed each; an empty table gives no pieces; other
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
@@ -33,10 +34,14 @@ from .common import bounded_batches
 CAPACITY, SEGMENTS, SLACK = 2048, 256, 16
 WINDOW_TOKENS = 4_000_000
 END_ID = 1
-#: Entries of the word cache of a worker; it is emptied when full.
-CACHE = 250_000
+#: Words that a worker's cache takes before it starts anew; what is met again moves over from the one before.
+CACHE = 150_000
+#: Documents that are encoded together, and new words that the tokenizer gets as one text.
+_TOGETHER, _JOINED = 200, 5000
 #: White space and word classes of Latin-1 as the tokenizer's own pattern has them, for texts without other characters.
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t\n\x0b\x0c\r\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: Texts that tell whether a tokenizer treats Latin-1 texts as lower-casing and _LATIN do.
+_PROBES = ("It's A test\x85of 12\xbd \xdcber-Stra\xdfe \xb5m, caf\xe9! a_b \x1c\xa0x\n\n'll '' 'Re <x>", "Hello World", "HELLO wORLD'S", "a  b\tc ", "x-y.z 2024 $$$ \xc9T\xc9")
 _TOKENIZERS: dict = {}
 
 
@@ -52,6 +57,14 @@ def _default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Encoder:
     """A word-level tokenizer with a cache: the ids of a text are those of its words in a row."""
 
@@ -63,36 +76,62 @@ class _Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
-        # Words of Latin-1 texts can be looked up one by one only if the tokenizer cuts texts as _LATIN does.
-        probe = "It's A test\x85of 12\xbd \xdcber-Stra\xdfe \xb5m, caf\xe9! a_b \x1c\xa0x\n\n'll '' 'Re <x>"
-        cut = [probe.lower()[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(probe.lower())] if self.whole.pre_tokenizer else []
-        self.by_word = cut == _LATIN.findall(probe.lower())
+        self.before: dict[str, bytes] = {}
+        spec = json.loads(self.whole.to_str())
+        # The strings of added tokens stand for themselves wherever they are; texts that hold one are encoded whole.
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocab = self.whole.get_vocab(with_added_tokens=False)
+        #: By id: this token ends a word. Null: words can't be told apart within one text.
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool) if suffix else None
+        if suffix:
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        # Words can be looked up one by one only if that gives the same ids as whole texts, in their own case.
+        self.by_word = False
+        self.by_word = all(self._looked_up([_LATIN.findall(p.lower())]) == [self._bytes(self._ids(p))] for p in _PROBES)
+        self.cache.clear()
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), _JOINED):
+            part = new[at : at + _JOINED]
+            if self.ends is not None:
+                ids = np.asarray(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                if len(stop) == len(part):
+                    data, stops = ids.tobytes(), (4 * stop).tolist()
+                    self.cache.update((w, data[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+                    continue
+            for w, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
+                self.cache[w] = self._bytes(e.ids)
+
+    def _looked_up(self, texts: list[list[str]]) -> list[bytes]:
+        if len(self.cache) > CACHE:
+            self.before, self.cache = self.cache, {}
+        new = set().union(*texts).difference(self.cache)
+        if self.before and (known := new.intersection(self.before)):
+            self.cache.update((w, self.before[w]) for w in known)
+            new -= known
+        self._learn(list(new))
+        return [b"".join(map(self.cache.__getitem__, t)) for t in texts]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         words: list[tuple[int, list[str]]] = []
         for k, t in enumerate(texts):
-            if self.by_word and "<|" not in t:
-                try:
-                    t.encode("latin-1")
-                except UnicodeEncodeError:
-                    pass
-                else:
-                    words.append((k, _LATIN.findall(t.lower())))
-                    continue
-            out[k] = self._bytes(self.whole.encode(t, add_special_tokens=False).ids)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = [w for w in set().union(*[found for _, found in words]) if w not in cache]
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = self._bytes(e.ids)
-        for k, found in words:
-            out[k] = b"".join(map(cache.__getitem__, found))
+            low = t.lower()
+            if self.by_word and _latin(t) and not any(x in low for x in self.added):
+                words.append((k, _LATIN.findall(low)))
+            else:
+                out[k] = self._bytes(self._ids(t))
+        for (k, _), data in zip(words, self._looked_up([found for _, found in words])):
+            out[k] = data
         return out
 
 
@@ -102,21 +141,30 @@ def encoder(path: str) -> _Encoder:
     return _TOKENIZERS[path]
 
 
-def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """id, ids (little-endian unsigned 32-bit, with the end token), loss (null: every token), whole (false: may be cut)."""
-    path = tokenizer or _default_path()
+def _encoded(path: str, end_id: int | None):
+    """Batches of id and text -> of id, ids, loss and whole."""
     end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for at in range(0, b.num_rows, _TOGETHER):
+                part = b.slice(at, _TOGETHER)
                 ids = [x + end for x in enc.encode(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), pa.nulls(part.num_rows, pa.int64()), pa.array(np.zeros(part.num_rows, bool))], names=["id", "ids", "loss", "whole"])
+        if len(enc.cache) + len(enc.before) > CACHE:
+            enc.before = {}  # a worker that waits for its next task holds one generation
+
+    return run
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return bounded_batches(docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")))
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return bounded_batches(rows).mapInArrow(run, "id long, ids binary, loss long, whole boolean")
+
+def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:
+    """id, ids (little-endian unsigned 32-bit, with the end token), loss (null: every token), whole (false: may be cut)."""
+    return _rows(docs, doc_id, text).mapInArrow(_encoded(tokenizer or _default_path(), end_id), "id long, ids binary, loss long, whole boolean")
 
 
 def _sequence(pool: _Pool, limits: Limits, cut: bool) -> list[tuple[int, int, int]]:
@@ -194,8 +242,8 @@ class _Pool:
         return item, start, n, n
 
 
-def packed_sequences(tokens: DataFrame, limits: Limits = Limits(), window_tokens: int = WINDOW_TOKENS) -> DataFrame:
-    """Pieces: id, start, length, ids, doc_tokens, sequence_id, offset, of the rows of tokenized() or alike."""
+def _placed(limits: Limits, window_tokens: int):
+    """Batches of items -> batches of their pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -274,10 +322,19 @@ def packed_sequences(tokens: DataFrame, limits: Limits = Limits(), window_tokens
                     held = 0
         yield from drain(True)
 
-    return tokens.mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return run
+
+
+PIECES = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+
+
+def packed_sequences(tokens: DataFrame, limits: Limits = Limits(), window_tokens: int = WINDOW_TOKENS) -> DataFrame:
+    """Pieces: id, start, length, ids, doc_tokens, sequence_id, offset, of the rows of tokenized() or alike."""
+    return tokens.mapInArrow(_placed(limits, window_tokens), PIECES)
 
 
 def packed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """The contract's columns and the ids of every piece."""
-    out = packed_sequences(tokenized(docs, doc_id, text, tokenizer), limits)
+    encode, place = _encoded(tokenizer or _default_path(), END_ID), _placed(limits, WINDOW_TOKENS)
+    out = _rows(docs, doc_id, text).mapInArrow(lambda batches: place(encode(batches)), PIECES)  # one Python worker a task
     return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
