@@ -45,6 +45,17 @@ def packed(df: DataFrame, *apart: str) -> Column:
     return F.struct(*rest) if rest else F.struct(F.lit(0).alias("_"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 

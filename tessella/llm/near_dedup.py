@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import bounded, bounded_batches, has_rows, materialize
+from .common import bounded, bounded_batches, free, has_rows, materialize
 from .components import components
+from .textscan import text_shingles
 
 PERCENT = 75
 BANDS, ROWS, BITS = 32, 4, 2
@@ -62,6 +63,10 @@ def keys_and_signature(m: np.ndarray) -> tuple[np.ndarray, bytes]:
     return h.view(np.int64), np.concatenate(planes).tobytes()
 
 
+#: Documents whose words are hashed together.
+_TOGETHER = 200
+
+
 def plausible_share(percent: int = PERCENT) -> float:
     """Least share of equal b-bit values of a candidate: the one expected at the threshold, less five standard deviations."""
     chance = 2.0**-BITS
@@ -94,17 +99,15 @@ def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n", "cls", "keys", "sig"]
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, _TOGETHER):
+                part = b.slice(at, _TOGETHER)
                 n, cls, keys, sig, known = [], [], [], [], {}
-                for t in part.column("text").to_pylist():
-                    found = S.words(t)
-                    if not found:
+                for own, sh in text_shingles(part.column("text").to_pylist()):
+                    if not own:
                         n.append(0), cls.append(None), keys.append(None), sig.append(None)
                         continue
-                    c = xxhash.xxh3_128_digest(b" ".join(found))
+                    c = xxhash.xxh3_128_digest(own)
                     if c not in known:
-                        sh = S.shingles(found)
                         known[c] = (len(sh), *keys_and_signature(minima(sh)))
                     k = known[c]
                     n.append(k[0]), cls.append(c), keys.append(k[1].tolist()), sig.append(k[2])
@@ -185,6 +188,23 @@ def block_pairs(rows: DataFrame, unit: str, block: str) -> DataFrame:
     return out.withColumns({"x": F.least(block, "other"), "y": F.greatest(block, "other"), "side": (F.col(block) > F.col("other")).cast("int")})
 
 
+#: Shingles of a block: with the rows, they bound the texts that a task compares at once.
+BLOCK_SHINGLES = 1 << 20
+
+
+def place(units: DataFrame, block: int) -> DataFrame:
+    """component, node, n (size) -> component, node, n, x, y, side: every node once for each pair of blocks it is in.
+
+    Blocks are dealt by hash, for a rank within a component would need all its rows in one place.
+    """
+    want = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("n") / F.lit(BLOCK_SHINGLES)))
+    sizes = units.groupBy(F.col("component").alias("c")).agg(want.cast("long").alias("want")).where("want > 1")
+    own = F.when(F.col("want").isNotNull(), F.pmod(F.xxhash64("node"), "want")).otherwise(F.lit(0)).cast("long")
+    members = units.join(sizes, F.col("component") == F.col("c"), "left").select("component", "node", "n", own.alias("block"), F.coalesce("want", F.lit(1)).alias("want"))
+    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("want") - 1)))
+    return pairs.select("component", "node", "n", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
 def _paired_links(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members in grouped(batches, ("key", "x", "y"), ("rep", "sig", "side")):
@@ -215,7 +235,7 @@ def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members in grouped(batches, ("component", "x", "y"), ("rep", "text", "side")):
             ids = np.array([m[0] for m in members], np.int64)
-            sets = [S.shingles(S.words(m[1])) for m in members]
+            sets = [sh for _, sh in text_shingles([m[1] for m in members])]
             side = np.array([m[2] for m in members])
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             right = right if len(right) else left
@@ -242,11 +262,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = block_pairs(hot.select("key", "block", "rep", "sig"), "key", "block").select("key", "x", "y", "side", "rep", "sig").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
         links = links.unionByName(pairs.mapInArrow(_paired_links(least), "a long, b long"))
     candidates = materialize(components(links))
-    # Blocks by rank within a component would need all its rows in one place; hashing deals them out evenly.
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("want"))
-    members = candidates.join(sizes, "component").select("component", F.col("node").alias("rep"), F.when(F.col("want") > 1, F.pmod(F.xxhash64("node"), "want")).otherwise(F.lit(0)).cast("long").alias("block"))
+    sizes = signed.select(F.col("id").alias("node"), "n").join(candidates.select("node"), "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"))
+    placed = place(candidates.join(sizes, "node"), block).select("component", F.col("node").alias("rep"), "x", "y", "side")
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text"))
-    placed = bounded(materialize(block_pairs(members, "component", "block").select("component", "x", "y", "side", "rep")))
+    placed = bounded(materialize(placed))
     sent = texts.join(placed, "rep")
     sent = sent.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "rep")
     confirmed = materialize(sent.mapInArrow(_verified(percent), "a long, b long"))
@@ -262,5 +281,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows that repeat an identifier stay or go together.
     """
-    gone = materialize(near_duplicates(docs, doc_id, text, **kwargs).where("not kept").select(F.col(doc_id).alias("__gone")).distinct())
-    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")
+    (g,) = free(docs, "gone")
+    gone = materialize(near_duplicates(docs, doc_id, text, **kwargs).where("not kept").select(F.col(doc_id).alias(g)).distinct())
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col(g), "left_anti")

@@ -1,42 +1,12 @@
-"""Word shingles as 64-bit hashes, exact Jaccard within bounded groups, and links as spanning forests."""
+"""Hashes of word shingles, exact Jaccard within bounded groups, and links as spanning forests."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 WORDS = 5
 #: Members of a block: two blocks are compared at once, so this bounds what a task holds and the size of its matrices.
 BLOCK = 1024
-_CACHE: dict[bytes, int] = {}
-_LIMIT = 150_000
-
-
-def words(text: str) -> list[bytes]:
-    """Words between [\\x20\\x09-\\x0D], A-Z lower-cased: bytes.lower() and bytes.split() know ASCII alone."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def word_hashes(found: list[bytes]) -> np.ndarray:
-    try:
-        return np.array([_CACHE[w] for w in found], np.uint64)
-    except KeyError:
-        if len(_CACHE) > _LIMIT:
-            _CACHE.clear()
-        for w in set(found).difference(_CACHE):
-            _CACHE[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([_CACHE[w] for w in found], np.uint64)
-
-
-def shingles(found: list[bytes], k: int = WORDS) -> np.ndarray:
-    """Distinct shingles of k words, sorted; fewer words are one shingle, none are none."""
-    n = len(found)
-    if not n:
-        return np.zeros(0, np.uint64)
-    w = word_hashes(found)
-    if n < k:  # the length keeps a short sequence apart from a shingle
-        return np.array([xxhash.xxh3_64_intdigest(w.tobytes(), n)], np.uint64)
-    return np.unique(rolling(w, k))
 
 
 def rolling(w: np.ndarray, k: int = WORDS) -> np.ndarray:
@@ -84,21 +54,20 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
 
 
 def forest(mask: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the components of the matrix: fewer than there are members."""
-    parent = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    """Links that span the components of the matrix, by rows and columns in turn: one for each member reached."""
     out = []
-    for i in np.flatnonzero(mask.any(1)):
-        a = int(left[i])
-        for b in right[np.flatnonzero(mask[i])]:
-            ra, rb = root(a), root(int(b))
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-                out.append((int(ids[a]), int(ids[b])))
+    todo = mask.any(1)
+    for i in np.flatnonzero(todo):
+        if not todo[i]:
+            continue
+        rows, cols, front = np.zeros(len(left), bool), np.zeros(len(right), bool), np.array([i])
+        rows[i] = True
+        while len(front):
+            new = mask[front].any(0) & ~cols
+            cols |= new
+            front = np.flatnonzero(mask[:, new].any(1) & ~rows)
+            rows[front] = True
+        todo &= ~rows
+        root = int(ids[left[i]])
+        out += [(root, int(x)) for x in np.unique(ids[np.concatenate([left[rows], right[cols]])]) if x != root]
     return out
