@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,15 +68,22 @@ class ElementType(NamedTuple):
     level: int | None
 
 
+def _lattice(name: str, level: int) -> ElementType:
+    """A semistructured type; levels without a code of their own follow the same rule."""
+    n = level + 1
+    h, q, qs = proteus_hex(level), proteus_quad(level), proteus_quad(level, True)
+    if name == h:
+        return ElementType(h, CODES.get(h, n**3 * 10_000), n**3, 6, 3, q, qs, None, None, None, "PROTEUS_HEX8", False, True, level)
+    return ElementType(name, CODES.get(name, n**2 * 100_000 + (name == qs)), n**2, 4, 2, None, qs, None, None, None, None, False, True, level)
+
+
 def _all() -> dict[str, ElementType]:
     out = {}
     for name, (n, s, d) in _SIZES.items():
         out[name] = ElementType(name, CODES[name], n, s, d, _SIDE.get(name), _SHELL.get(name), _LOWER.get(name), _HIGHER.get(name), _MACRO.get(name), _MACRO_BASE.get(name), name in SECOND_ORDER, False, None)
     for level in LEVELS:
-        h, q, qs = proteus_hex(level), proteus_quad(level), proteus_quad(level, True)
-        out[h] = ElementType(h, CODES[h], (level + 1) ** 3, 6, 3, q, qs, None, None, None, "PROTEUS_HEX8", False, True, level)
-        out[q] = ElementType(q, CODES[q], (level + 1) ** 2, 4, 2, None, qs, None, None, None, None, False, True, level)
-        out[qs] = ElementType(qs, CODES[qs], (level + 1) ** 2, 4, 2, None, qs, None, None, None, None, False, True, level)
+        for name in (proteus_hex(level), proteus_quad(level), proteus_quad(level, True)):
+            out[name] = _lattice(name, level)
     return out
 
 
@@ -83,6 +91,10 @@ TYPES = _all()
 
 
 def element_type(name: str) -> ElementType:
+    if name not in TYPES and (m := re.fullmatch(r"PROTEUS_(HEX|QUAD|QUADSHELL)(\d+)", name)):
+        level = round(int(m[2]) ** (1 / 3 if m[1] == "HEX" else 1 / 2)) - 1
+        if level > 0 and name in (proteus_hex(level), proteus_quad(level), proteus_quad(level, True)):
+            return _lattice(name, level)
     if name not in TYPES:
         raise ValueError(f"unknown element type {name!r}")
     return TYPES[name]

@@ -12,12 +12,29 @@ from ..mesh import Mesh
 MACRO_TET4 = ((0, 4, 6, 7), (4, 1, 5, 8), (6, 5, 2, 9), (7, 8, 9, 3), (4, 5, 6, 8), (7, 4, 6, 8), (6, 5, 9, 8), (7, 6, 9, 8))
 
 
+#: Local nodes of a table above which it is one literal, walked through, and not an expression for each node.
+UNROLLED = 512
+
+
+def ints(values) -> Column:
+    """An array literal of any length; folded before the query runs."""
+    values = list(values)
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>") if values else F.expr("cast(array() as array<int>)")
+
+
 def picked(nodes: Column, at: tuple[int, ...]) -> Column:
+    if len(at) > UNROLLED:
+        return F.transform(ints(at), lambda k: F.get(nodes, k))
     return F.array(*[F.get(nodes, F.lit(k)) for k in at])
 
 
 def patterned(elements: DataFrame, pattern: tuple[tuple[int, ...], ...]) -> DataFrame:
     """block_id, elem_id, sub, nodes: every element once for each row of a fixed table of local nodes."""
+    if sum(map(len, pattern)) > UNROLLED:
+        width = len(pattern[0])
+        flat = ints(k for p in pattern for k in p)
+        subs = elements.select("block_id", "elem_id", F.col("nodes").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(len(pattern) - 1))).alias("sub"))
+        return subs.select("block_id", "elem_id", "sub", F.transform(F.slice(flat, F.col("sub") * width + 1, F.lit(width)), lambda k: F.get("own", k)).alias("nodes"))
     rows = F.array(*[picked(F.col("nodes"), p) for p in pattern])
     return elements.select("block_id", "elem_id", F.posexplode(rows).alias("sub", "nodes"))
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.elem_types import EDGES, SIDES, corners, element_type, hex_corner, lattice_index, proteus_hex, proteus_quad
+from ..functions.elem_types import EDGES, SIDES, corners, element_type, lattice_index, linear, proteus_hex, proteus_quad
 from ..functions.quadrature import gauss_lobatto
 from ..mesh import Mesh
 from ..storage import materialize
@@ -27,7 +27,7 @@ def levels_of(level: int) -> list[int]:
 
 
 def generate_elements(mesh: Mesh, level: int) -> tuple[DataFrame, int]:
-    """Lattice connectivity of a HEX8 mesh and the number of nodes.
+    """Lattice connectivity of a HEX8, QUAD4 or QUADSHELL4 mesh and the number of nodes.
 
     Corners keep their ids; level - 1 ids an edge, edges by (i, j), counted from the lower corner; (level - 1)^2 ids a
     face, faces by their first element and side, counted from the smallest corner, inner axis toward the smaller of its
@@ -35,7 +35,10 @@ def generate_elements(mesh: Mesh, level: int) -> tuple[DataFrame, int]:
     """
     n0 = mesh.n_nodes()
     inner = level - 1
-    rows = [mesh.elements.select("block_id", "elem_id", F.posexplode(F.array(*[F.struct(F.lit(hex_corner(level, k)).alias("lnode"), F.get("nodes", F.lit(k)).alias("node_id")) for k in range(8)])).alias("k", "s")).select("block_id", "elem_id", "s.lnode", "s.node_id")]
+    kind = linear(mesh.elem_type)
+    solid = kind == "HEX8"
+    at_corners = _AT if solid else _AT[:4]
+    rows = [mesh.elements.select("block_id", "elem_id", F.posexplode(F.array(*[F.struct(F.lit(lattice_index(level, *(level * c for c in p))).alias("lnode"), F.get("nodes", F.lit(k)).alias("node_id")) for k, p in enumerate(at_corners)])).alias("k", "s")).select("block_id", "elem_id", "s.lnode", "s.node_id")]
     if not inner:
         return regathered(rows[0]), n0
 
@@ -43,63 +46,67 @@ def generate_elements(mesh: Mesh, level: int) -> tuple[DataFrame, int]:
     numbers = materialize(dense_ids(graph.edges(mesh), ["i", "j"], "edge"))
     n_edges = numbers.count()
     places = []
-    for a, b in EDGES["HEX8"]:
+    for a, b in EDGES[kind]:
         walk = [lattice_index(level, *(_AT[a][d] * level + (_AT[b][d] - _AT[a][d]) * t for d in range(3))) for t in range(1, level)]
         places.append((a, b, walk))
-    ends = F.array(*[F.struct(F.get("nodes", F.lit(a)).alias("a"), F.get("nodes", F.lit(b)).alias("b"), F.array(*map(F.lit, w)).alias("w")) for a, b, w in places])
+    ends = F.array(*[F.struct(F.get("nodes", F.lit(a)).alias("a"), F.get("nodes", F.lit(b)).alias("b"), graph.ints(w).alias("w")) for a, b, w in places])
     e = mesh.elements.select("block_id", "elem_id", F.explode(ends).alias("s")).select("block_id", "elem_id", F.least("s.a", "s.b").alias("i"), F.greatest("s.a", "s.b").alias("j"), F.when(F.col("s.a") < F.col("s.b"), F.col("s.w")).otherwise(F.reverse("s.w")).alias("w"))
     rows.append(e.join(numbers, ["i", "j"]).select("block_id", "elem_id", "edge", F.posexplode("w").alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("edge") * inner + F.col("t") + n0).alias("node_id")))
 
-    # Faces: eight oriented walks of each side; origin = smallest corner, inner axis to the smaller neighbour.
-    s = graph.sides(mesh)
-    faces = s.groupBy("key").agg(F.min(F.struct("elem_id", "lfi")).alias("first"))
-    faces = materialize(dense_ids(faces, ["first.elem_id", "first.lfi"], "face"))
-    n_faces = faces.count()
-    first_face = n0 + n_edges * inner
-
-    def walk(side: int, origin: int, turn: int) -> list[int]:
-        c = [_AT[k] for k in SIDES["HEX8"][side]]
-        o, u, v = c[origin], c[(origin + turn) % 4], c[(origin - turn) % 4]
-        at = lambda d, i, j: o[d] * level + (u[d] - o[d]) * i + (v[d] - o[d]) * j
-        return [lattice_index(level, *(at(d, i, j) for d in range(3))) for j in range(1, level) for i in range(1, level)]
-
-    lists = F.array(*[F.array(*[F.array(*map(F.lit, walk(side, o, t))) for o in range(4) for t in (1, -1)]) for side in range(6)])
-    low = F.array_position("nodes", F.array_min("nodes")).cast("int") - 1
-    nodes = F.col("nodes")
-    ahead = F.get(nodes, (F.col("o") + 1) % 4)
-    behind = F.get(nodes, (F.col("o") + 3) % 4)
-    f = s.withColumn("o", low).withColumn("turn", F.when(ahead < behind, 0).otherwise(1))
-    f = f.join(faces.select("key", "face"), "key").select("block_id", "elem_id", "face", F.get(F.get(lists, F.col("lfi").cast("int")), F.col("o") * 2 + F.col("turn")).alias("w"))
-    rows.append(f.select("block_id", "elem_id", "face", F.posexplode("w").alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("face") * inner**2 + F.col("t") + first_face).alias("node_id")))
+    first_face = first_cell = n0 + n_edges * inner
+    if solid:
+        # Faces: eight oriented walks of each side; origin = smallest corner, inner axis to the smaller neighbour.
+        s = graph.sides(mesh)
+        faces = s.groupBy("key").agg(F.min(F.struct("elem_id", "lfi")).alias("first"))
+        faces = materialize(dense_ids(faces, ["first.elem_id", "first.lfi"], "face"))
+        n_faces = faces.count()
+
+        def walk(side: int, origin: int, turn: int) -> list[int]:
+            c = [_AT[k] for k in SIDES["HEX8"][side]]
+            o, u, v = c[origin], c[(origin + turn) % 4], c[(origin - turn) % 4]
+            at = lambda d, i, j: o[d] * level + (u[d] - o[d]) * i + (v[d] - o[d]) * j
+            return [lattice_index(level, *(at(d, i, j) for d in range(3))) for j in range(1, level) for i in range(1, level)]
+
+        lists = F.array(*[F.array(*[graph.ints(walk(side, o, t)) for o in range(4) for t in (1, -1)]) for side in range(6)])
+        low = F.array_position("nodes", F.array_min("nodes")).cast("int") - 1
+        nodes = F.col("nodes")
+        ahead = F.get(nodes, (F.col("o") + 1) % 4)
+        behind = F.get(nodes, (F.col("o") + 3) % 4)
+        f = s.withColumn("o", low).withColumn("turn", F.when(ahead < behind, 0).otherwise(1))
+        f = f.join(faces.select("key", "face"), "key").select("block_id", "elem_id", "face", F.get(F.get(lists, F.col("lfi").cast("int")), F.col("o") * 2 + F.col("turn")).alias("w"))
+        rows.append(f.select("block_id", "elem_id", "face", F.posexplode("w").alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("face") * inner**2 + F.col("t") + first_face).alias("node_id")))
+        first_cell = first_face + n_faces * inner**2
 
     # Inside: by arithmetic.
-    first_cell = first_face + n_faces * inner**2
-    inside = [lattice_index(level, x, y, z) for z in range(1, level) for y in range(1, level) for x in range(1, level)]
-    rows.append(mesh.elements.select("block_id", "elem_id", F.posexplode(F.array(*map(F.lit, inside))).alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("elem_id") * inner**3 + F.col("t") + first_cell).alias("node_id")))
+    r = range(1, level)
+    inside = [lattice_index(level, x, y, z) for z in (r if solid else (0,)) for y in r for x in r]
+    rows.append(mesh.elements.select("block_id", "elem_id", F.posexplode(graph.ints(inside)).alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("elem_id") * len(inside) + F.col("t") + first_cell).alias("node_id")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return regathered(out), first_cell + mesh.n_elements() * inner**3
+    return regathered(out), first_cell + mesh.n_elements() * len(inside)
 
 
-def trilinear(level: int, nodes_1d: list[float] | None = None) -> list[tuple[int, int, float]]:
-    """(lattice index, corner, weight) of the trilinear map, uniform or on given 1-D nodes."""
+def multilinear(level: int, nodes_1d: list[float] | None = None, dim: int = 3) -> list[tuple[int, int, float]]:
+    """(lattice index, corner, weight) of the map from an element's corners, uniform or on given 1-D nodes."""
     x1 = nodes_1d or [i / level for i in range(level + 1)]
     out = []
-    for z in range(level + 1):
-        for y in range(level + 1):
-            for x in range(level + 1):
-                for c, (a, b, d) in enumerate(_AT):
-                    w = (x1[x] if a else 1 - x1[x]) * (x1[y] if b else 1 - x1[y]) * (x1[z] if d else 1 - x1[z])
+    r = range(level + 1)
+    for z in r if dim == 3 else (0,):
+        for y in r:
+            for x in r:
+                for c, (a, b, d) in enumerate(_AT[: 2**dim]):
+                    w = (x1[x] if a else 1 - x1[x]) * (x1[y] if b else 1 - x1[y]) * ((x1[z] if d else 1 - x1[z]) if dim == 3 else 1)
                     if w:
                         out.append((lattice_index(level, x, y, z), c, w))
     return out
 
 
 def fill_points(macro: Mesh, elements: DataFrame, level: int, nodes_1d: list[float] | None = None) -> DataFrame:
-    """Lattice coordinates by the trilinear map of each element's corners; one row a node."""
+    """Lattice coordinates by the multilinear map of each element's corners; one row a node."""
     spark = macro.spark
-    w = F.broadcast(spark.createDataFrame(trilinear(level, nodes_1d), "lidx int, corner int, w double"))  # (level + 1)^3 * 8 rows
+    dim = element_type(macro.elem_type).dim
+    w = F.broadcast(spark.createDataFrame(multilinear(level, nodes_1d, dim), "lidx int, corner int, w double"))  # at most (level + 1)^3 * 8 rows
     owner = elements.select("block_id", "elem_id", F.posexplode("nodes").alias("lidx", "lattice_id"))
     owner = owner.groupBy("lattice_id").agg(F.min(F.struct("block_id", "elem_id", "lidx")).alias("o")).select("lattice_id", "o.*")
     corner = macro.incidence().withColumnRenamed("lnode", "corner").join(macro.points, "node_id")
@@ -108,12 +115,13 @@ def fill_points(macro: Mesh, elements: DataFrame, level: int, nodes_1d: list[flo
 
 
 def to_semistructured(mesh: Mesh, level: int, hierarchical: bool = False, gll: bool = False) -> Mesh:
-    if mesh.elem_type != "HEX8":
-        raise ValueError("only HEX8 meshes become semistructured")
+    names = {"HEX8": proteus_hex(level), "QUAD4": proteus_quad(level), "QUADSHELL4": proteus_quad(level, True)}
+    if mesh.elem_type not in names:
+        raise ValueError("only HEX8, QUAD4 and QUADSHELL4 meshes become semistructured")
     rows, _ = generate_elements(mesh, level)
     rows = materialize(rows)
     points = fill_points(mesh, rows, level, gauss_lobatto(level + 1)[0] if gll else None)
-    out = Mesh(points, rows, (replace(mesh.blocks[0], elem_type=proteus_hex(level) if level in (1, 2, 3, 4, 5, 6, 7, 8, 16) else f"LATTICE_HEX{level}"),), 3)
+    out = Mesh(points, rows, (replace(mesh.blocks[0], elem_type=names[mesh.elem_type]),), mesh.dim)
     return hierarchical_renumbering(out) if hierarchical and level > 1 else out
 
 
@@ -129,7 +137,8 @@ def hierarchical_renumbering(mesh: Mesh, keep_corners: bool = False) -> Mesh:
                 return k
         return len(coarse)
 
-    ranks = F.array(*[F.lit(rank(x, y, z)) for z in range(n + 1) for y in range(n + 1) for x in range(n + 1)])
+    r = range(n + 1)
+    ranks = graph.ints(rank(x, y, z) for z in (r if t.dim == 3 else (0,)) for y in r for x in r)
     long = mesh.incidence().withColumn("rank", F.get(ranks, F.col("lnode")))
     # Corners are numbered corner by corner over all elements, the others element by element.
     corner = F.col("rank") == 0

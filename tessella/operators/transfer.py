@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.elem_types import EDGES, element_type, lattice_index, linear
-from ..mesh import Mesh
+from ..functions.elem_types import EDGES, element_type, lattice_index, linear, proteus_quad
+from ..mesh import Block, Mesh
 from . import graph
 
 
@@ -116,6 +116,33 @@ class Restrict:
         return restrict(self.weights, field)
 
 
+class SurfaceRestrict(Restrict):
+    """A restriction between the lattices of a side set; nodes keep the volume's ids."""
+
+    def __init__(self, fine: Mesh, coarse: Mesh, sideset: DataFrame):
+        f, c = side_lattices(fine, sideset), side_lattices(coarse, sideset)
+        self.weights = level_weights(f, c)
+        self._sizes = (c, f)
+
+
+def side_lattices(mesh: Mesh, sideset: DataFrame) -> Mesh:
+    """The sides of a semistructured mesh as quadrilateral lattices over the same points."""
+    from .sets import sideset_sides
+
+    t = element_type(mesh.elem_type)
+    rows = sideset_sides(mesh, sideset).select(F.lit(0).alias("block_id"), (F.col("parent") * t.n_sides + F.col("lfi")).alias("elem_id"), "nodes")
+    used = rows.select(F.explode("nodes").alias("node_id")).distinct()
+    return Mesh(mesh.points.join(used, "node_id", "left_semi"), rows, (Block(0, "sides", proteus_quad(t.level, True)),), mesh.dim)
+
+
+def prolongation_matrix(weights: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The explicit matrix: row pointers (row, start) and entries (k, i, j, value) in the order of rows and columns."""
+    from .numbering import dense_ids
+
+    entries = weights.select(F.col("row").alias("i"), F.col("col").alias("j"), F.col("weight").alias("value"))
+    return graph.row_pointers(entries, n_rows), dense_ids(entries, ["i", "j"], "k")
+
+
 def apply_element_matrix(mesh: Mesh, matrix: list[list[float]], field: DataFrame) -> DataFrame:
     """id, comp, value: one 8 x 8 matrix applied in every micro cell of a semistructured mesh, summed over cells."""
     from .convert import micro_cells

@@ -504,4 +504,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import registry_more  # noqa: E402,F401  the second half of the queries
+from . import registry_lattice, registry_more  # noqa: E402,F401  the other queries

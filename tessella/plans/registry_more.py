@@ -263,55 +263,7 @@ def _(spark, d):
     return spark.createDataFrame([(3, k, round(a, 9), round(b, 9)) for k, (a, b) in enumerate(zip(x, w))], "n int, k int, x double, w double")
 
 
-# --- lattices and transfer ---------------------------------------------------------------------------------------------
-
-
-def _small(spark, d):
-    return G.hex8_cube(spark, 3, 2, 2)
-
-
-@query("to_semistructured_counts", "select 12 as n_elements, 13 * 9 * 9 as n_nodes, 12 * 125 as n_incidences, 13 * 9 * 9 - 1 as max_node")
-def _(spark, d):
-    m = lattice.to_semistructured(_small(spark, d), 4)
-    return m.incidence().agg(F.count_distinct("elem_id").alias("n_elements"), F.count_distinct("node_id").alias("n_nodes"), F.count("*").alias("n_incidences"), F.max("node_id").alias("max_node"))
-
-
-@query("to_semistructured_points", "select distinct cast(i / 12 as double) as x, cast(j / 8 as double) as y, cast(k / 8 as double) as z from (select unnest(range(13)) as i), (select unnest(range(9)) as j), (select unnest(range(9)) as k)".replace("cast(i / 12 as double)", "round(i / 12.0::double, 5)").replace("cast(j / 8 as double)", "round(j / 8.0::double, 5)").replace("cast(k / 8 as double)", "round(k / 8.0::double, 5)"))
-def _(spark, d):
-    m = lattice.to_semistructured(_small(spark, d), 4)
-    return _rounded(m.points.select(*[F.col(c).cast("double").alias(c) for c in "xyz"]), "x", "y", "z")
-
-
-@query("sshex_to_hex8_volume", "select 12 * 27 as n_elements, cast(1 as double) as volume")
-def _(spark, d):
-    m = convert.convert_to(lattice.to_semistructured(_small(spark, d), 3), "HEX8")
-    return geometry.volumes(m).agg(F.count("*").alias("n_elements"), F.round(F.sum("volume"), 5).alias("volume"))
-
-
-@query("derefine", "select distinct round(i / 6.0::double, 5) as x, round(j / 4.0::double, 5) as y, round(k / 4.0::double, 5) as z from (select unnest(range(7)) as i), (select unnest(range(5)) as j), (select unnest(range(5)) as k)")
-def _(spark, d):
-    m = lattice.to_semistructured(_small(spark, d), 4, hierarchical=True)
-    p = lattice.derefine(m, 2).points
-    return _rounded(p.select(*[F.col(c).cast("double").alias(c) for c in "xyz"]), "x", "y", "z")
-
-
-@query("hierarchical_levels", "select 2 as level, 7 * 5 * 5 - 1 as max_node union all select 1, 4 * 3 * 3 - 1 union all select 4, 13 * 9 * 9 - 1")
-def _(spark, d):
-    m = lattice.to_semistructured(_small(spark, d), 4, hierarchical=True)
-    out = None
-    for k in (1, 2, 4):
-        one = lattice.derefine(m, k).max_node_id().select(F.lit(k).alias("level"), F.col("max_node_id").alias("max_node"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("semistructured_surface", "select (3 * 2 + 3 * 2 + 2 * 2) * 2 as n_sides, (3 * 2 + 3 * 2 + 2 * 2) * 2 * 16 as n_quads, 13 * 9 * 9 - 11 * 7 * 7 as n_nodes")
-def _(spark, d):
-    m = lattice.to_semistructured(_small(spark, d), 4)
-    s = materialize(sets.skin_sideset(m))
-    a = s.agg(F.count("*").alias("n_sides"))
-    b = convert.side_surface_quads(m, s).agg(F.count("*").alias("n_quads"))
-    return a.crossJoin(b).crossJoin(sets.nodeset(m, s).agg(F.count("*").alias("n_nodes")))
+# --- transfer ---------------------------------------------------------------------------------------------
 
 
 def _field(mesh, expr):
@@ -345,29 +297,6 @@ def _(spark, d):
     return transfer.restrict_edges(ones, numbers, n).select("id", "value")
 
 
-@query("level_restriction", "select 8 as n, 3.375::double as lowest, 3.375::double as highest")
-def _(spark, d):
-    fine = lattice.to_semistructured(G.hex8_cube(spark, 1, 1, 1), 2, hierarchical=True)
-    r = transfer.Restrict(fine, lattice.derefine(fine, 1)).apply(_field(fine, F.lit(1.0)))
-    return r.agg(F.count("*").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
-
-
-@query("level_prolongation", "select cast(true as boolean) as linear_is_exact, 13 * 9 * 9 as n")
-def _(spark, d):
-    fine = lattice.to_semistructured(_small(spark, d), 4, hierarchical=True)
-    coarse = lattice.derefine(fine, 2)
-    p = transfer.prolongate(transfer.level_weights(fine, coarse), _field(coarse, _linear()))
-    e = p.join(fine.points, F.col("id") == F.col("node_id")).select(F.abs(F.col("value") - _linear()).alias("e"))
-    return e.agg((F.max("e") < 1e-5).alias("linear_is_exact"), F.count("*").alias("n"))
-
-
-@query("prolongation_row_sums", "select 13 * 9 * 9 as n, 1.0::double as lowest, 1.0::double as highest")
-def _(spark, d):
-    fine = lattice.to_semistructured(_small(spark, d), 4, hierarchical=True)
-    w = transfer.level_weights(fine, lattice.derefine(fine, 1)).groupBy("row").agg(F.round(F.sum("weight"), 9).alias("s"))
-    return w.agg(F.count("*").alias("n"), F.min("s").alias("lowest"), F.max("s").alias("highest"))
-
-
 # --- partitions, exchange and packing ----------------------------------------------------------------------------------
 
 PARTS = 4
