@@ -7,17 +7,22 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that the text contracts name: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 #: Largest number of rows that an operator broadcasts by its own decision, after it has counted them.
 BROADCAST_ROWS = 200_000
+#: And of bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only for a local session that names none (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -61,8 +66,18 @@ def has_rows(df: DataFrame) -> bool:
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES; else as it is, to be joined by shuffle.
+
+    Eight bytes stand for a number and for what text and arrays need beside their contents.
+    """
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            size = size + 64 * F.greatest(F.lit(0), F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(0)))
+    n, held = df.agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= BROADCAST_BYTES else df
 
 
 #: What a batch between the JVM and Python may hold. The default of 10,000 rows is 30 MB of ordinary documents on both

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, materialize
+from .common import BROADCAST_ROWS, bounded_batches, free, materialize
 
 BUCKETS = 1 << 16
 #: Labelled rows of each language that the models are fitted on, and the texts that a fitted one has at least.
@@ -203,6 +203,7 @@ def identified(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
 def drop_rejected(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", **kwargs) -> DataFrame:
     """The documents whose language is known, with the input's columns; only the rejected ones' keys travel."""
-    bad = materialize(identified(docs, model, doc_id, text, **kwargs).where("not kept").select(F.col(doc_id).alias("__bad"), F.col("th").alias("__th")).distinct())
-    on = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))) == F.col("__th"))
+    b, h = free(docs, "bad", "h")
+    bad = materialize(identified(docs, model, doc_id, text, **kwargs).where("not kept").select(F.col(doc_id).alias(b), F.col("th").alias(h)).distinct())
+    on = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(b)) & (F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))) == F.col(h))
     return docs.join(bad, on, "left_anti")
