@@ -23,16 +23,21 @@ def brute(rows):
         out = defaultdict(list)
         for a, b in arcs:
             out[a].append(b)
-        start = {h: 0.15 * v.count(verdict) / len(v) for h, v in seen.items() if h and v.count(verdict)}
-        state = dict(start)
-        for _ in range(U.ROUNDS):
-            new = defaultdict(float, start)
+        start = {h: v.count(verdict) / len(v) for h, v in seen.items() if h and 2 * v.count(verdict) >= len(v)}
+        unit = sum(start.values())
+        state = start = {h: w / unit for h, w in start.items()}
+        for _ in range(200):
+            new = defaultdict(float)
             for a, x in state.items():
                 for b in out[a]:
                     new[b] += 0.85 * x / len(out[a])
+            rest = 1 - sum(new.values())
+            for h, w in start.items():
+                new[h] += rest * w
             state = new
-        score[kind] = state
-    bad = lambda h: score["distrust"].get(h, 0) >= U.THRESHOLD and score["distrust"].get(h, 0) > score["trust"].get(h, 0)
+        assert abs(sum(state.values()) - 1) < 1e-9
+        score[kind] = defaultdict(float, {h: x * unit for h, x in state.items()})
+    bad = lambda h: score["distrust"][h] >= max(U.FLOOR, score["trust"][h])
     return sorted((i, h, p, r.name if r else None, r.verdict if r else "block" if bad(h) else "allow") for i, h, p, r, _ in pages)
 
 
@@ -52,5 +57,15 @@ def test_against_brute_force(spark):
     assert [r[4] for r in got if r[0] in (9, 10)] == ["block", "block"]
 
 
+def test_linkers_of_a_popular_blocked_host(spark):
+    """Forty hosts link to one blocked host: those that nobody trusts are blocked, those that a trusted host links to aren't."""
+    hub = '<a href="http://hub.net/x">'
+    rows = [(0, "http://hub.net/es/1", "", "x"), *((i, f"http://h{i}.org/", hub, "x") for i in range(1, 41))]
+    rows.append((99, "http://good.com/", "".join(f'<a href="//h{i}.org/">' for i in range(1, 11)), "x"))
+    got = {r.page_id: r.verdict for r in U.judged_urls(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: "block", 99: "allow"} | {i: "allow" if i <= 10 else "block" for i in range(1, 41)}
+    assert sorted(got.items()) == [(r[0], r[4]) for r in brute(rows)]
+
+
 def test_empty(spark):
     assert U.judged_urls(spark.createDataFrame([], SCHEMA)).collect() == []
