@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, line_dedup, secret_scan, url_filter
+from .common import shared_dir
 from .chat_format import chat_examples, conversation_digests
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
@@ -17,7 +19,7 @@ from .line_dedup import duplicate_lines
 from .near_dedup import near_duplicates
 from .packing import packed_documents
 from .secret_scan import scan_versions, span_digests
-from .url_filter import judged_urls
+from .url_filter import host_of, judged_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +35,35 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's walk over real arcs: customers link to the parts they order; trust starts at well-filled accounts, distrust
+    runs back from dear parts. Six rounds, as the SQL writes them out."""
+    lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
+    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    arcs = pairs.select(F.expr("stack(2, 'trust', a, b, 'distrust', b, a) as (kind, src, dst)"))
+    rich = _table(spark, sf_dir, "customer").where("c_acctbal >= 5000").select(F.lit("trust").alias("kind"), F.concat(F.lit("c"), "c_custkey").alias("host"))
+    dear = _table(spark, sf_dir, "part").where("p_retailprice >= 950").select(F.lit("distrust").alias("kind"), F.concat(F.lit("p"), "p_partkey").alias("host"))
+    seeds = rich.unionByName(dear).withColumn("weight", F.lit(1.0))
+    return url_filter.propagate(arcs, seeds, tolerance=0.0, rounds=6).select("kind", "host", F.round("rank", 9).alias("rank"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's operator over pages, with the models of documents: here the markup's lang attribute, the host's suffix and
+    the host's parents are the evidence beside the text."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), host_of(F.col("url")).alias("host"))
+    return identified(pages, fit(_table(spark, sf_dir, "documents")), doc_id="page_id", host="host").drop("th")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_digests(scan_versions(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """Two runs over one ledger: the first scans every blob, the second finds all of them in the ledger and scans none."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = f"{shared_dir(spark)}/ledger/{uuid.uuid4().hex}"
+    scan_versions(docs, ledger=ledger)
+    return span_digests(scan_versions(docs, ledger=ledger))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +98,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_near_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op8_line_dedup, op9_license_scan, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_near_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op8_line_dedup, op9_license_scan, op10_exact_dedup, url_propagation, language_id_pages)}
 
 
 SQL = {
     "op2_url_filter": url_filter.oracle(),
+    "url_propagation": f"""
+with pairs as (select distinct 'c' || o_custkey as a, 'p' || l_partkey as b from lineitem join orders on l_orderkey = o_orderkey),
+arcs as (select 'trust' as kind, a as src, b as dst from pairs union all select 'distrust', b, a from pairs),
+seeds as (select 'trust' as kind, 'c' || c_custkey as host, 1.0::double as weight from customer where c_acctbal >= 5000 union all select 'distrust', 'p' || p_partkey, 1.0 from part where p_retailprice >= 950),
+{url_filter.walk_sql(6)} select kind, host, round(rank, 9) as rank from s6
+""",
     "op4_secret_scan": secret_scan.oracle(),
     "op6_decontamination": decontaminate.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,

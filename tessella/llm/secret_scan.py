@@ -9,17 +9,18 @@ between them comes from splitting at the same pattern, and running sums of the l
 any match leave after one test per pattern.
 
 Defined results: null text counts as empty and has no findings; empty and very long texts are scanned like any other;
-repeated rows and equal texts get equal findings; an empty table gives none; other columns are ignored.
+repeated rows and equal texts get equal findings; spans that start together are listed in the rules' order; an empty table
+gives none; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, free, materialize
 
 
 class Rule(NamedTuple):
@@ -38,46 +39,47 @@ BASE_RULES = (
 #: What this version adds: the opening line of a private key in text form.
 RULES = (*BASE_RULES, Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1))
 RULE_VERSION = "1"
-#: Spans of a rule in one text; the ledger's schema.
-SPAN = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """array<struct<start, rank, end, kind>> of a rule's matches in a text that has one."""
+def _steps(text: Column, rule: Rule, rank: int) -> Column:
+    """array<struct<rank, i, gap, hit, sized>>: lengths of a rule's matches in a text and of what lies before each."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     sized = found if not rule.group else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     gaps = F.split(text, rule.pattern, -1)
     steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), sized.alias("sized"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(F.length(x["sized"]) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    return F.transform(steps, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["hit"]).cast("long").alias("hit"), F.length(x["sized"]).alias("sized")))
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, text -> blob, spans (start, rank, end, kind; ordered by start, then the rules' order); only blobs with spans."""
+    """blob, text -> blob, spans (start, rank, end, kind; ordered by start, then the rules' order); only blobs with spans.
+
+    Positions are running sums over a blob's matches, sorted within the tasks that the blobs already are dealt to.
+    """
     hit = F.lit(False)
     for r in rules:
         hit = hit | F.col("text").rlike(r.pattern)
-    none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")
-    all_spans = F.concat(*[F.when(F.col("text").rlike(r.pattern), _spans(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)])
-    return blobs.where(hit).select("blob", F.array_sort(all_spans).alias("spans")).where(F.size("spans") > 0)
+    none = F.expr("cast(array() as array<struct<rank:int,i:int,gap:bigint,hit:bigint,sized:int>>)")
+    steps = F.concat(*[F.when(F.col("text").rlike(r.pattern), _steps(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)])
+    rows = blobs.where(hit).select("blob", F.explode(steps).alias("s")).select("blob", "s.*")
+    end = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("end", end)
+    least, kinds = F.array(*[F.lit(r.least) for r in rules]), F.array(*[F.lit(r.kind) for r in rules])
+    rows = rows.where(F.col("sized") >= F.get(least, F.col("rank")))
+    span = F.struct((F.col("end") - F.col("hit")).alias("start"), "rank", "end", F.get(kinds, F.col("rank")).alias("kind"))
+    return rows.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def scan_versions(versions: DataFrame, text: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
-    """versions with `blob` (its text's address) and `spans` (null: none).
+    """versions and, as its last two columns, the address of its text and the spans (null: none). They are called blob and
+    spans, with underscores before them where versions has such columns.
 
-    ledger: a Parquet folder of blob, rule_version, spans that earlier calls have filled; scanned pairs are added to it.
-    It holds every pair that was scanned, those without spans too.
+    ledger: a Parquet folder of blob, rule_version, spans that earlier calls have filled; scanned pairs are added to it,
+    those without spans too. A pair that stands there repeatedly (of calls that ran at once, or were retried) counts once.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     blob = F.sha2(body, 256)
-    addressed = versions.select("*", blob.alias("__blob"))
+    b, s, other = free(versions, "blob", "spans", "found")
+    addressed = versions.select("*", blob.alias(b))
     unseen = versions.select(blob.alias("blob"), body.alias("text"))
     spark = versions.sparkSession
     past = None
@@ -96,16 +98,16 @@ def scan_versions(versions: DataFrame, text: str = "text", ledger: str | None =
         pairs = unseen.select("blob").distinct().join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), "spans")
         new = materialize(pairs)
         new.write.mode("append").parquet(ledger)
-        found = (new if past is None else past.unionByName(new)).where("spans is not null").select("blob", "spans")
-    found = found.select(F.col("blob").alias("__found"), F.col("spans").alias("__spans"))
-    out = addressed.join(found, F.col("__blob") == F.col("__found"), "left").drop("__found")
-    return out
+        found = (new if past is None else past.unionByName(new)).where("spans is not null").select("blob", "spans").dropDuplicates(["blob"])
+    # Few blobs have findings; where they are few enough, copies of one needn't meet in a task.
+    found = bounded(materialize(found)).select(F.col("blob").alias(other), F.col("spans").alias(s))
+    return addressed.join(found, F.col(b) == F.col(other), "left").drop(other)
 
 
 def span_digests(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of what scan_versions() returns."""
     base = [r.kind for r in BASE_RULES]
-    spans = F.coalesce(F.col("__spans"), F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)"))
+    spans = F.coalesce(F.col(f"`{scanned.columns[-1]}`"), F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)"))
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     return scanned.select(F.col(f"`{id_col}`").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in base], F.sha2(said(F.filter(spans, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), said(spans).alias("spans"))

@@ -25,7 +25,7 @@ def brute(t):
 
 def test_against_brute_force(spark):
     rows = list(enumerate(TEXTS + TEXTS))
-    df = clashing(docs(spark, rows), "spans", "blob", "rank")
+    df = clashing(docs(spark, rows), "spans", "blob", "rank", "__blob", "__spans", "_spans", "found")
     for r in S.span_digests(S.scan_versions(df)).collect():
         want = brute(rows[r.doc_id][1])
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == want[:4], rows[r.doc_id]
@@ -40,5 +40,15 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert {r.doc_id: r.n_assign for r in first} == {1: 2, 2: 0}
     assert {r.doc_id: (r.n_assign, r.n_hex) for r in again} == {1: (2, 0), 2: (0, 0), 3: (0, 1)}
     assert spark.read.parquet(ledger).count() == 3
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "2")
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "2")  # as two runs at once leave it
+    twice = S.span_digests(S.scan_versions(docs(spark, [(1, TEXTS[4]), (2, "clean"), (3, TEXTS[9])]), ledger=ledger + "2")).collect()
+    assert sorted(twice) == sorted(again) and spark.read.parquet(ledger + "2").count() == 6
     S.scan_versions(docs(spark, [(1, TEXTS[4])]), ledger=ledger, version="2").collect()
     assert spark.read.parquet(ledger).count() == 4
+
+
+def test_very_many_matches(spark):
+    n = 100_000
+    r = S.span_digests(S.scan_versions(docs(spark, [(1, "token=abcdefgh " * n)]))).first()
+    assert r.n_assign == n and r.spans.endswith(f"assign:{15 * (n - 1)}:{15 * n - 1}")
