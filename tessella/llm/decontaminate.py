@@ -5,17 +5,19 @@ where the same words stand in a row. A window is the ordered set of its shingles
 window exactly if it holds all of its shingles at their offsets, so one necessary shingle - the rarest over all
 documents - is the prefix that has to match before anything else is looked at.
 
-1. One pass over the documents emits the places of shingles that the benchmark has (the benchmark's distinct shingles
-   are broadcast after they were counted; beyond BROADCAST_ROWS they are joined by shuffle instead).
-2. Counts of those places give the order by rarity; each window keeps its rarest shingle, and its places give starts.
-3. A start has to lie inside the document (positional and length bounds).
-4. All shingles of the window are looked up at their places; a start with all of them is a verified occurrence.
+1. The benchmark's shingles are counted over all documents (they are broadcast after they were counted themselves; beyond
+   BROADCAST_ROWS their hashes are joined by shuffle instead). Only counts leave the tasks.
+2. These order a window's shingles by rarity. The rarest one is the window's prefix; a window with a shingle that no
+   document has is out.
+3. A second pass meets the prefixes alone. Each place gives a start, which has to lie inside the document (positional and
+   length bounds), and the words there are compared with the window's, all of them.
 
-No text is shuffled. A passage that very many documents hold costs its places, in proportion to the documents.
+No text is shuffled while the windows are few enough to be broadcast. A passage that very many documents hold costs its
+places, in proportion to the documents.
 
 Defined results: null or empty text and text without word characters have no words and are clean; an item without words
 has no window; repeated documents get equal results; items with equal text count separately; a null item id counts as
-the string "null"; empty tables are fine; other columns are ignored.
+the string "null"; very long texts are read whole; empty tables are fine; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, free, materialize
 
 WINDOW = 10
 SHINGLE = 3
@@ -46,24 +48,14 @@ def windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame
     return rows.select("iid", "w", F.explode(starts).alias("at")).select("iid", F.slice("w", F.col("at"), window).alias("ws"))
 
 
-def _key(parts: list[Column]) -> Column:
-    return F.xxhash64(*parts)
+def _keyed(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
+    """pos and h of every run of words of one of the widths, beside the columns kept; w holds the words.
 
-
-def _places(docs: DataFrame, shingles: DataFrame, q: int, small: bool) -> DataFrame:
-    """did, th, nw, pos, sid of every place of a shingle of q words."""
-    rows = docs.select("did", "th", words(F.col("text")).alias("w"))
-    at = rows.select("did", "th", "w", F.posexplode("w").alias("pos", "w0"))
-    parts = [F.col("w0"), *[F.get("w", F.col("pos") + k) for k in range(1, q)]]
-    mine = shingles.where(F.col("q") == q).select(F.col("h").alias("sh"), F.col("s").alias("ss"), "sid")
-    if small:
-        joined = at.join(F.broadcast(mine), _key(parts) == F.col("sh"))
-        same = F.lit(True)
-        for k, p in enumerate(parts):
-            same = same & (p == F.col("ss")[k])
-        return joined.where(same).select("did", "th", F.size("w").alias("nw"), "pos", "sid")
-    spelt = at.select("did", "th", F.size("w").alias("nw"), "pos", F.array(*parts).alias("s"))
-    return spelt.join(mine, F.col("s") == F.col("ss")).select("did", "th", "nw", "pos", "sid")
+    A run over a text's end hashes like a shorter one, which costs a comparison only."""
+    at = rows.select(*keep, "w", F.posexplode("w").alias("pos", "w0"))
+    parts = [F.col("w0"), *[F.get("w", F.col("pos") + k) for k in range(1, max(widths))]]
+    keys = [F.xxhash64(*parts[:q]) for q in widths]
+    return at.select(*keep, "pos", (keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).alias("h"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -72,36 +64,33 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("did"), F.xxhash64(t).alias("th"), t.alias("text"))
 
     by_item = materialize(windows(items, item_id, item_text, window).distinct())
-    distinct = by_item.select("ws").distinct().select(F.xxhash64("ws").alias("wid"), "ws", F.least(F.lit(SHINGLE), F.size("ws")).alias("q"))
-    parts = distinct.select("wid", "ws", "q", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("q"))).alias("off")).select("wid", F.size("ws").alias("len"), "q", "off", F.expr("slice(ws, off + 1, q)").alias("s"))
-    parts = materialize(parts.withColumn("sid", F.xxhash64("s", F.lit(1))))
-    spelt = F.expr("case q when 1 then xxhash64(s[0]) when 2 then xxhash64(s[0], s[1]) else xxhash64(s[0], s[1], s[2]) end")
-    shingles = parts.select("q", "s", "sid").distinct().withColumn("h", spelt)
+    distinct = by_item.select("ws").distinct().select(F.xxhash64("ws").alias("wid"), F.xxhash64(F.lit(1), "ws").alias("wid2"), "ws", F.least(F.lit(SHINGLE), F.size("ws")).alias("q"))
+    parts = distinct.select("wid", "wid2", "ws", "q", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("q"))).alias("off"))
+    spelt = F.expr("case q when 1 then xxhash64(ws[off]) when 2 then xxhash64(ws[off], ws[off + 1]) else xxhash64(ws[off], ws[off + 1], ws[off + 2]) end")
+    parts = materialize(parts.withColumn("h", spelt))
     small = parts.count() <= broadcast_rows
-    widths = [r.q for r in parts.select("q").distinct().collect()]  # at most SHINGLE values
-
-    places = None
-    for q in sorted(widths):
-        one = _places(rows, shingles, q, small)
-        places = one if places is None else places.unionByName(one)
-    if places is None:
+    hint = F.broadcast if small else (lambda df: df)
+    widths = sorted(r.q for r in parts.select("q").distinct().collect())  # at most SHINGLE values
+    if not widths:
         found = rows.select("did", "th").where("false").withColumns({"n_hit": F.lit(0), "n_items": F.lit(0), "ids": F.array(F.lit(""))})
     else:
-        places = materialize(places.distinct())
-        # The rarest shingle of each window; a shingle that no document has rules the window out.
-        counts = places.groupBy("sid").agg(F.count("*").alias("n"))
-        ranked = parts.join(counts, "sid").groupBy("wid", "len").agg(F.min(F.struct("n", "sid", "off")).alias("m"), F.count("*").alias("have"), F.min("q").alias("q"))
-        need = ranked.where("have = len - q + 1").select("wid", "len", F.col("m.sid").alias("sid"), F.col("m.off").alias("off"))
-        start = (F.col("pos") - F.col("off")).alias("start")
-        starts = places.join(need, "sid").select("did", "th", "nw", "wid", "len", start).where("start >= 0 and start + len <= nw")
-        # Each start's shingles, looked up at their places.
-        asked = starts.join(parts.select(F.col("wid").alias("pw"), "off", "sid", F.col("q").alias("pq")), F.col("wid") == F.col("pw")).select("did", "th", "wid", "len", "start", (F.col("start") + F.col("off")).alias("pos"), "sid", "pq")
-        there = places.select(F.col("did").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), F.col("sid").alias("s2"))
-        met = asked.join(there, F.col("did").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("pos") == F.col("p2")) & (F.col("sid") == F.col("s2")))
-        hits = materialize(met.groupBy("did", "th", "wid", "len", "start").agg(F.count("*").alias("n"), F.min("pq").alias("pq")).where("n = len - pq + 1").select("did", "th", "wid", "len", "start"))
+        split = rows.select("did", "th", words(F.col("text")).alias("w"))
+        met = _keyed(split, widths).join(hint(parts.select("h").distinct()), "h")
+        counts = materialize(met.groupBy("h").agg(F.count("*").alias("n")))
+        ranked = parts.join(counts, "h").groupBy("wid", "wid2").agg(F.min(F.struct("n", "h", "off")).alias("m"), F.count("*").alias("have"), F.min("q").alias("q"), F.min("ws").alias("ws"))
+        prefixes = materialize(ranked.where("have = size(ws) - q + 1").select("wid", "wid2", "ws", F.col("m.h").alias("ph"), F.col("m.off").alias("off")))
+        start = F.col("pos") - F.col("off")
+        if small:
+            places = _keyed(split, widths, "did", "th", "w").join(F.broadcast(prefixes), F.col("h") == F.col("ph"))
+            places = places.select("did", "th", "w", "wid", "wid2", "ws", start.alias("start"))
+        else:
+            places = _keyed(split, widths, "did", "th").join(prefixes, F.col("h") == F.col("ph")).select(F.col("did").alias("d2"), F.col("th").alias("t2"), "wid", "wid2", "ws", start.alias("start")).where("start >= 0")
+            places = split.join(places, F.col("did").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
+        held = places.where("start >= 0 and start + size(ws) <= size(w)").where(F.slice("w", F.col("start") + 1, F.size("ws")) == F.col("ws"))
+        hits = materialize(held.select("did", "th", "wid", "wid2", F.size("ws").alias("len"), "start").distinct())
         covered = hits.select("did", "th", F.explode(F.expr("sequence(start, start + len - 1)")).alias("p")).distinct().groupBy("did", "th").agg(F.count("*").alias("n_hit"))
-        ids = by_item.select(F.xxhash64("ws").alias("wid"), "iid")
-        whose = hits.select("did", "th", "wid").distinct().join(ids, "wid").select("did", "th", "iid").distinct().groupBy("did", "th").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("iid")).alias("ids"))
+        ids = by_item.select(F.xxhash64("ws").alias("wid"), F.xxhash64(F.lit(1), "ws").alias("wid2"), "iid")
+        whose = hits.select("did", "th", "wid", "wid2").distinct().join(ids, ["wid", "wid2"]).select("did", "th", "iid").distinct().groupBy("did", "th").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("iid")).alias("ids"))
         w2 = whose.withColumnsRenamed({"did": "d3", "th": "t3"})
         found = covered.join(w2, F.col("did").eqNullSafe(F.col("d3")) & (F.col("th") == F.col("t3"))).select("did", "th", "n_hit", "n_items", "ids")
     found = found.withColumnsRenamed({"did": "fd", "th": "ft"})
@@ -116,9 +105,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **kwargs) -> DataFrame:
     """The documents that hold no window of any item, with the input's columns. Only the keys of contaminated ones are shuffled with them."""
-    bad = contamination(docs, items, doc_id, text, **kwargs).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("th").alias("__th")).distinct()
+    b, h = free(docs, "bad", "h")
+    bad = contamination(docs, items, doc_id, text, **kwargs).where("contaminated").select(F.col("doc_id").alias(b), F.col("th").alias(h)).distinct()
     bad = materialize(bad)
-    on = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("__th"))
+    on = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(b)) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col(h))
     return docs.join(bad, on, "left_anti")
 
 
