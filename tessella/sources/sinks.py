@@ -22,34 +22,44 @@ from .raw import DTYPES
 
 
 def write_columns(df: DataFrame, columns: dict[str, str], id_col: str = "id") -> int:
-    """columns: file path -> column; the suffix gives the type. Returns the number of rows. Ids have to be 0..n-1."""
-    n = df.count()
+    """columns: file path -> column; the suffix gives the type. Returns the number of rows.
+
+    Ids have to be 0..n-1, each once: every task tells its first and last one and whether they follow each other, and
+    these runs have to follow each other too, or the call fails.
+    """
     kinds = {p: np.dtype(DTYPES[p.rsplit(".", 1)[-1]]) for p in columns}
-    for p, d in kinds.items():
+    for p in kinds:
+        if "://" in p:
+            raise ValueError(f"{p}: column files are written to a folder that all executors see as a path")
         os.makedirs(os.path.dirname(p) or ".", exist_ok=True)
-        with open(p, "wb") as f:
-            f.truncate(n * d.itemsize)
+        open(p, "wb").close()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = 0
+        first, last, dense = None, None, True
         for b in batches:
             if not b.num_rows:
                 continue
             ids = b.column("__id").to_numpy()
-            cuts = np.flatnonzero(np.diff(ids) != 1) + 1
+            dense = dense and bool((np.diff(ids) == 1).all()) and last in (None, int(ids[0]) - 1) and int(ids[0]) >= 0
+            if not dense:
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([int(ids[-1])]), pa.array([False])], names=["first", "last", "dense"])
+                return
+            first, last = int(ids[0]) if first is None else first, int(ids[-1])
             for k, p in enumerate(columns):
                 x = b.column(f"c{k}").to_numpy(zero_copy_only=False).astype(kinds[p])
                 with open(p, "r+b") as f:
-                    for at, run in zip([0, *cuts], np.split(x, cuts)):
-                        f.seek(int(ids[at]) * kinds[p].itemsize)
-                        f.write(run.tobytes())
-            rows += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["rows"])
-
-    picked = df.select(F.col(id_col).cast("long").alias("__id"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns.values())])
-    written = picked.repartitionByRange("__id").sortWithinPartitions("__id").mapInArrow(put, "rows long").agg(F.sum("rows")).first()[0] or 0
-    if written != n:
-        raise RuntimeError(f"{written} of {n} rows were written")
+                    f.seek(int(ids[0]) * kinds[p].itemsize)
+                    f.write(x.tobytes())
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([last]), pa.array([True])], names=["first", "last", "dense"])
+
+    picked = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("__id"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns.values())])
+    runs = sorted(picked.repartitionByRange("__id").sortWithinPartitions("__id").mapInArrow(put, "first long, last long, dense boolean").collect())  # a row a task
+    n = 0
+    for r in runs:
+        if not r.dense or r.first != n:
+            raise ValueError(f"ids have to be 0..n-1, each once; this fails near {r.first if r.first != n else r.last}")
+        n = r.last + 1
     return n
 
 

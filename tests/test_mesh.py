@@ -78,6 +78,35 @@ def test_sideset_and_split_reads(spark, tmp_path):
     assert got.rdd.getNumPartitions() == 10 and got.where("c0 <> id").count() == 0 and got.count() == 1000
 
 
+@pytest.mark.parametrize("ids", [[0, 0, 2], [1, 2, 3], [0, 1, 3], [0, None, 1], [-1, 0, 1], [0, 1, 1, 2]])
+def test_columns_with_wrong_ids_are_refused(spark, tmp_path, ids):
+    df = spark.createDataFrame([(i, float(k)) for k, i in enumerate(ids)], "id long, value double")
+    with pytest.raises(ValueError, match="ids have to be"):
+        sinks.write_array(df, str(tmp_path / "a.float64"))
+
+
+def test_fields_grids_descriptions_and_matrices(spark, tmp_path):
+    m = G.hex8_cube(spark, 2, 1, 1)
+    path = sinks.write_field(m, str(tmp_path), "f", ones(m, F.col("node_id") * 0.5))
+    assert [r.value for r in raw.read_array(spark, path).orderBy("id").collect()] == [0.5 * i for i in range(12)]
+    mapping = spark.createDataFrame([(0, 3), (1, 0)], "id long, source long")
+    assert sorted((r.id, r.value) for r in raw.read_mapped_field(spark, path, mapping).collect()) == [(0, 1.5), (1, 0.0)]
+    grid = spark.range(24).selectExpr("id % 4 as ix", "id div 4 % 3 as iy", "id div 12 as iz", "0 as comp", "cast(id as float) as value")
+    sinks.write_grid(grid, str(tmp_path / "g"), (4, 3, 2), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
+    back, meta = raw.read_grid(spark, str(tmp_path / "g"), shift=1.0, scale=2.0)
+    assert meta["nx"] == 4 and {(r.ix, r.iy, r.iz): r.value for r in back.collect()} == {(i % 4, i // 4 % 3, i // 12): 2.0 * (i + 1) for i in range(24)}
+    sinks.write_csr(graph.node_to_node(m), 12, str(tmp_path / "c"))
+    pointers = raw.read_array(spark, str(tmp_path / "c" / "rowptr.int32")).select(F.col("id").alias("row"), F.col("value").alias("start"))
+    columns = raw.read_array(spark, str(tmp_path / "c" / "colidx.int32")).select(F.col("id").alias("k"), F.col("value").cast("long").alias("j"))
+    same = lambda x: sorted((r.i, r.j) for r in x.collect())
+    assert same(graph.from_row_pointers(pointers, columns)) == same(graph.node_to_node(m))
+    sinks.write_mesh(m, str(tmp_path / "m"))
+    again = raw.mesh_from_description(spark, {"type": "file", "path": "m"}, str(tmp_path))
+    assert again.n_elements() == 2 and raw.mesh_from_description(spark, {"type": "sqare", "nx": 2, "ny": 3}).n_elements() == 6
+    with pytest.raises(ValueError):
+        raw.mesh_from_description(spark, {"type": "file"})
+
+
 def test_refinement_and_volume(spark):
     m = convert.refine(G.tet4_cube(spark, 1, 1, 1))
     v = geometry.volumes(m).agg(F.count("*"), F.min("volume"), F.sum("volume")).first()
