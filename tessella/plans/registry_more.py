@@ -251,10 +251,14 @@ def _(spark, d):
     return _rounded(geometry.node_normals(square(spark, d, "QUAD4")), "nx", "ny", "nz", digits=6)
 
 
-@query("nearest_surface_distance", f"with {CLOUD}, s as (select * from cl where node_id % 10 = 0) select a.node_id, round(min(sqrt((a.x::double - b.x::double) ** 2 + (a.y::double - b.y::double) ** 2 + (a.z::double - b.z::double) ** 2)), 6) as distance from cl a left join s b on (a.x::double - b.x::double) ** 2 + (a.y::double - b.y::double) ** 2 + (a.z::double - b.z::double) ** 2 <= 0.01::double group by 1")
+_OUTER = " or ".join(f"{c} <= 0 or {c} >= 0.999999" for c in "xyz")
+
+
+@query("nearest_surface_distance", f"with {DIMS}, {PTS}, {CLOUD}, s as (select x::double as x, y::double as y, z::double as z from pts where {_OUTER}) select a.node_id, round(min(sqrt((a.x::double - b.x) ** 2 + (a.y::double - b.y) ** 2 + (a.z::double - b.z) ** 2)), 6) as distance from cl a, s b group by 1")
 def _(spark, d):
-    p = _doubled(cloud(spark, d))
-    return geometry.signed_distance(p, p.where("node_id % 10 = 0"), 0.1, reach=0.1).withColumn("distance", F.round("distance", 6))
+    """From every point of the cloud to the nearest node of the cube's surface."""
+    surface = _doubled(cube(spark, d).points).where(_OUTER)
+    return geometry.signed_distance(_doubled(cloud(spark, d)), surface, 0.1).withColumn("distance", F.round("distance", 6))
 
 
 @query("gauss_lobatto", "select 3 as n, 0 as k, 0.0::double as x, round(1.0::double / 6, 9) as w union all select 3, 1, 0.5, round(2.0::double / 3, 9) union all select 3, 2, 1.0, round(1.0::double / 6, 9)")
