@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +37,17 @@ WINDOW_TOKENS = 4_000_000
 END_ID = 1
 #: Words that a worker's cache takes before it starts anew; what is met again moves over from the one before.
 CACHE = 150_000
-#: Documents that are encoded together, and new words that the tokenizer gets as one text.
-_TOGETHER, _JOINED = 200, 5000
+#: Rows and bytes of text that are encoded together, new words that the tokenizer gets as one text.
+_TOGETHER, _TOGETHER_BYTES, _JOINED = 1000, 1 << 22, 5000
 #: White space and word classes of Latin-1 as the tokenizer's own pattern has them, for texts without other characters.
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t\n\x0b\x0c\r\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
-#: Texts that tell whether a tokenizer treats Latin-1 texts as lower-casing and _LATIN do.
+#: The same over several runs, whose ends stay as blanks.
+_LATIN_RUNS = re.compile(_LATIN.pattern + "| ")
+#: Latin-1 in lower case, with a blank for all that the tokenizer takes for white space.
+_FOLDED = np.array([ord(" ") if chr(c) in "\t\n\x0b\x0c\r\x85\xa0" else ord(chr(c).lower()) for c in range(256)], np.uint8)
+#: Texts that tell whether a tokenizer treats Latin-1 texts as _FOLDED and _LATIN do.
 _PROBES = ("It's A test\x85of 12\xbd \xdcber-Stra\xdfe \xb5m, caf\xe9! a_b \x1c\xa0x\n\n'll '' 'Re <x>", "Hello World", "HELLO wORLD'S", "a  b\tc ", "x-y.z 2024 $$$ \xc9T\xc9")
+_BYTES = pa.large_binary()
 _TOKENIZERS: dict = {}
 
 
@@ -57,16 +63,16 @@ def _default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _latin(text: str) -> bool:
+def _latin(text: str) -> bytes | None:
     try:
-        text.encode("latin-1")
+        return text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        return None
 
 
 class _Encoder:
-    """A word-level tokenizer with a cache: the ids of a text are those of its words in a row."""
+    """A word-level tokenizer with a cache: the ids of a text are those of its words in a row, so also those of its runs
+    between white space, each a word or several. A blank, the end of a run, has no ids."""
 
     def __init__(self, path: str):
         import os
@@ -75,7 +81,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {" ": b""}
         self.before: dict[str, bytes] = {}
         spec = json.loads(self.whole.to_str())
         # The strings of added tokens stand for themselves wherever they are; texts that hold one are encoded whole.
@@ -88,8 +94,8 @@ class _Encoder:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
         # Words can be looked up one by one only if that gives the same ids as whole texts, in their own case.
         self.by_word = False
-        self.by_word = all(self._looked_up([_LATIN.findall(p.lower())]) == [self._bytes(self._ids(p))] for p in _PROBES)
-        self.cache.clear()
+        self.by_word = self._looked_up([p.encode("latin-1") for p in _PROBES]) == [self._bytes(self._ids(p)) for p in _PROBES]
+        self.cache = {" ": b""}
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -105,32 +111,58 @@ class _Encoder:
                 ids = np.asarray(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
                 stop = np.flatnonzero(self.ends[ids]) + 1
                 if len(stop) == len(part):
-                    data, stops = ids.tobytes(), (4 * stop).tolist()
-                    self.cache.update((w, data[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+                    self.cache.update(zip(part, self._cut(ids.tobytes(), 4 * stop)))
                     continue
             for w, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
                 self.cache[w] = self._bytes(e.ids)
 
-    def _looked_up(self, texts: list[list[str]]) -> list[bytes]:
+    @staticmethod
+    def _cut(data: bytes, stops: np.ndarray) -> list[bytes]:
+        stops = stops.tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _words_ids(self, words: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
-            self.before, self.cache = self.cache, {}
-        new = set().union(*texts).difference(self.cache)
-        if self.before and (known := new.intersection(self.before)):
+            self.before, self.cache = self.cache, {" ": b""}
+        new = set(words).difference(self.cache)
+        if self.before:
+            known = [w for w in new if w in self.before]
             self.cache.update((w, self.before[w]) for w in known)
-            new -= known
+            new.difference_update(known)
         self._learn(list(new))
-        return [b"".join(map(self.cache.__getitem__, t)) for t in texts]
+        return list(map(self.cache.__getitem__, words))
+
+    def _looked_up(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of Latin-1 texts: cut after blanks, each different run's words looked up, the ids gathered in the runs' order."""
+        if not texts:
+            return []
+        data = _FOLDED[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+        ends = np.flatnonzero(data == 32) + 1
+        runs = pa.Array.from_buffers(_BYTES, len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(data)]).dictionary_encode()
+        # The different runs lie one after another, so that their words can be found in one text.
+        *_, own, different = runs.dictionary.buffers()
+        found = _LATIN_RUNS.findall(str(different.slice(0, int(np.frombuffer(own, np.int64)[len(runs.dictionary)])), "latin-1"))
+        ids = self._words_ids(found)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        blank = sizes == 0
+        if blank.sum() != len(runs.dictionary):  # words without ids
+            blank = np.fromiter((w == " " for w in found), bool, len(found))
+        stops = np.cumsum(sizes)[blank]
+        every = pa.Array.from_buffers(_BYTES, len(stops), [None, pa.py_buffer(np.concatenate([[0], stops])), pa.py_buffer(b"".join(ids))]).take(runs.indices)
+        upto = np.frombuffer(every.buffers()[1], np.int64)
+        last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts])) + 1
+        return self._cut(every.buffers()[2].to_pybytes(), upto[last])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        words: list[tuple[int, list[str]]] = []
+        plain: list[tuple[int, bytes]] = []
         for k, t in enumerate(texts):
             low = t.lower()
-            if self.by_word and _latin(t) and not any(x in low for x in self.added):
-                words.append((k, _LATIN.findall(low)))
+            if self.by_word and (data := _latin(t)) is not None and not any(x in low for x in self.added):
+                plain.append((k, data))
             else:
                 out[k] = self._bytes(self._ids(t))
-        for (k, _), data in zip(words, self._looked_up([found for _, found in words])):
+        for (k, _), data in zip(plain, self._looked_up([data for _, data in plain])):
             out[k] = data
         return out
 
@@ -141,6 +173,19 @@ def encoder(path: str) -> _Encoder:
     return _TOKENIZERS[path]
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most _TOGETHER rows and about _TOGETHER_BYTES, or a row."""
+    sizes = pc.binary_length(b.column("text")).to_pylist()
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if k > start and (k - start == _TOGETHER or held + n > _TOGETHER_BYTES):
+            yield b.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if sizes:
+        yield b.slice(start)
+
+
 def _encoded(path: str, end_id: int | None):
     """Batches of id and text -> of id, ids, loss and whole."""
     end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
@@ -148,8 +193,7 @@ def _encoded(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for at in range(0, b.num_rows, _TOGETHER):
-                part = b.slice(at, _TOGETHER)
+            for part in _slices(b):
                 ids = [x + end for x in enc.encode(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), pa.nulls(part.num_rows, pa.int64()), pa.array(np.zeros(part.num_rows, bool))], names=["id", "ids", "loss", "whole"])
         if len(enc.cache) + len(enc.before) > CACHE:

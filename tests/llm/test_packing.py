@@ -65,3 +65,18 @@ def test_whole_examples_keep_all_limits(spark):
         assert sum(r.length for r in ps) <= 1024 and len(ps) <= 4
         assert sum(rows[r.id][2] for r in ps) <= 512 or [r.id for r in ps] == [500]
     assert len(seqs) < 1.15 * max(sum(len(b) // 4 for _, b, *_ in rows) / 1024, sum(x for _, _, x, _ in rows) / 512)
+
+
+def test_ids_of_odd_texts_equal_whole_encodings():
+    """Latin-1 with every white space and control character, contractions, added tokens, other scripts, empties."""
+    import random
+
+    from tessella.llm.packing import _default_path, encoder
+
+    enc = encoder(_default_path())
+    assert enc.by_word
+    rng = random.Random(5)
+    signs = "".join(map(chr, range(256))) + "   '''sstdrelmv  \n\t\x1c\x85"
+    texts = ["", " ", "  \n", "\x1c", "<|endoftext|> Hi", "日本 x", "x" * 20000, "\xa0\x85", "a " * 300000, *("".join(rng.choices(signs, k=rng.randint(0, 80))) for _ in range(2000))]
+    assert enc.encode(texts) == [enc._bytes(enc._ids(t)) for t in texts]
+    assert enc.encode([]) == [] and enc.encode(["", " "]) == [b"", b""]
