@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +85,8 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 #: What a batch between the JVM and Python may hold. The default of 10,000 rows is 30 MB of ordinary documents on both
 #: sides at once, and any amount of long ones.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Rows of a batch of a few numbers each: about a megabyte.
+NUMBER_ROWS = 20_000
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -91,3 +95,15 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
+
+
+@contextmanager
+def number_batches(spark: SparkSession) -> Iterator[None]:
+    """Larger batches for what runs inside: rows of a few numbers, whose bytes stay far below BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(NUMBER_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
