@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, decontamination and packing, each over all that came before."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, decontamination and packing, each over all that came before.
+
+Null and empty texts count as equal and empty: exact dedup leaves one, near dedup and decontamination leave it, packing makes
+it a document of its end token. Rows that repeat identifier and text are exact copies. An empty table passes as one. Texts
+are read whole, and other columns are carried up to packing, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays: the one with the most code points, then the smallest identifier."""
     return drop_exact_duplicates(docs)
 
 
@@ -34,6 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, placed in sequences of at most 2048 tokens."""
     return packed_documents(docs).drop("ids")
 
 
