@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, secret_scan, url_filter
+from . import decontaminate, hard_negatives, line_dedup, secret_scan, url_filter
 from .common import shared_dir
 from .chat_format import chat_examples, conversation_digests
 from .decontaminate import contamination
@@ -20,6 +20,7 @@ from .near_dedup import near_duplicates
 from .packing import packed_documents
 from .secret_scan import scan_versions, span_digests
 from .url_filter import host_of, judged_urls
+from .whitening import whitened_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,8 +98,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_near_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op8_line_dedup, op9_license_scan, op10_exact_dedup, url_propagation, language_id_pages)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_near_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op8_line_dedup, op9_license_scan, op10_exact_dedup, op11_embedding_whitening, op13_hard_negatives, url_propagation, language_id_pages)}
 
 
 SQL = {
@@ -112,6 +121,7 @@ seeds as (select 'trust' as kind, 'c' || c_custkey as host, 1.0::double as weigh
     "op4_secret_scan": secret_scan.oracle(),
     "op6_decontamination": decontaminate.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     "op7_chat_format": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
 w as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from c),
