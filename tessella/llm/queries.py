@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, line_dedup, secret_scan, url_filter
+from . import decontaminate, hard_negatives, line_dedup, page_text, secret_scan, url_filter
 from .common import shared_dir
 from .chat_format import chat_examples, conversation_digests
 from .decontaminate import contamination
@@ -102,12 +102,16 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_rows(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_texts(_table(spark, sf_dir, "pages"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_near_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op8_line_dedup, op9_license_scan, op10_exact_dedup, op11_embedding_whitening, op13_hard_negatives, url_propagation, language_id_pages)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_near_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_chat_format, op8_line_dedup, op9_license_scan, op10_exact_dedup, op11_embedding_whitening, op12_html_extraction, op13_hard_negatives, url_propagation, language_id_pages)}
 
 
 SQL = {
@@ -121,6 +125,7 @@ seeds as (select 'trust' as kind, 'c' || c_custkey as host, 1.0::double as weigh
     "op4_secret_scan": secret_scan.oracle(),
     "op6_decontamination": decontaminate.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_html_extraction": page_text.ORACLE_SQL,
     "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     "op7_chat_format": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
