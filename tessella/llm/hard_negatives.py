@@ -285,7 +285,7 @@ def hard_negatives(df: DataFrame, vec_id: str = "vec_id", label: str = "label",
 #: DuckDB: every anchor against every row, by definition.
 ORACLE_SQL = """
 with g as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [cast(floor(256 * c::double) as bigint) for c in embedding] as x from embeddings
-where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0),
+where vec_id is not null and label is not null and embedding is not null and len([c for c in embedding if c is null or not isfinite(c)]) = 0),
 s as (select a.vec_id as a, r.vec_id as r, a.label = r.label as same, list_sum([u[1] * u[2] for u in list_zip(a.x, r.x)])::bigint as score from g a join g r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
 p as (select a, r as p, score as ps from s where same qualify row_number() over (partition by a order by score desc, r) <= 5),
 n as (select p.a, p.p, p.ps, s.r, s.score, row_number() over (partition by p.a, p.p order by s.score desc, s.r) as rank from p join s on s.a = p.a and not s.same and 80 * p.ps <= 100 * s.score and 100 * s.score <= 100 * p.ps)
