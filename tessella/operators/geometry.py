@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.elem_types import corners, element_type
 from ..mesh import Mesh
-from ..storage import materialize
 
 _HEX = ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1))
 Matrix = list[list[Column]]
@@ -104,39 +103,10 @@ def node_normals(mesh: Mesh) -> DataFrame:
     return s.select("node_id", *[(F.col(f"s{c}") / size).alias(f"n{c}") for c in "xyz"])
 
 
-def _nearest_within(points: DataFrame, surface: DataFrame, cell: float) -> DataFrame:
-    """node_id, distance of the points that have a surface point within one cell's reach. Points meet only surface points
-    of the 27 buckets around them, so the join is by equality."""
-    key = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0.0)) / cell)
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(d).alias("d")) for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1)])
-    p = points.select("node_id", "x", "y", "z", F.explode(around).alias("o")).select("node_id", "x", "y", "z", (key("x") + F.col("o.a")).alias("kx"), (key("y") + F.col("o.b")).alias("ky"), (key("z") + F.col("o.d")).alias("kz"))
-    s = surface.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), key("x").alias("kx"), key("y").alias("ky"), key("z").alias("kz"))
-    d = sum(((F.coalesce(F.col(c), F.lit(0.0)) - F.coalesce(F.col(f"s{c}"), F.lit(0.0))) ** 2 for c in "xyz"), F.lit(0.0))
-    return p.join(s, ["kx", "ky", "kz"]).groupBy("node_id").agg(F.sqrt(F.min(d)).alias("distance")).where(F.col("distance") <= cell)
-
-
-def signed_distance(points: DataFrame, surface: DataFrame, cell: float, reach: float | None = None) -> DataFrame:
-    """node_id, distance from points to the nearest of some surface points (node_id, x, y, z); null beyond `reach`, if one
-    is given, and without a finite surface point. Points that have none within a cell are searched again with cells twice
-    as wide, until the cell spans everything."""
-    if reach is not None:
-        return points.select("node_id").join(_nearest_within(points, surface, reach), "node_id", "left")
-    finite = lambda c: F.coalesce(F.abs(F.coalesce(F.col(c), F.lit(0.0))) < float("inf"), F.lit(False))
-    surface = materialize(surface.select("node_id", "x", "y", "z").where(finite("x") & finite("y") & finite("z")))
-    left = materialize(points.select("node_id", "x", "y", "z").where(finite("x") & finite("y") & finite("z")))
-    everything = left.select("x", "y", "z").unionByName(surface.select("x", "y", "z"))
-    ends = everything.agg(*[f(F.coalesce(F.col(c), F.lit(0.0))).alias(f"{n}{c}") for c in "xyz" for n, f in (("a", F.min), ("b", F.max))]).first()
-    found = None
-    if surface.limit(1).count():
-        span = sum((ends[f"b{c}"] - ends[f"a{c}"] for c in "xyz"), 0.0) if ends["ax"] is not None else 0.0
-        while left.limit(1).count():
-            near = materialize(_nearest_within(left, surface, cell))
-            found = near if found is None else found.unionByName(near)
-            if cell > span:
-                break
-            left, cell = materialize(left.join(near.select("node_id"), "node_id", "left_anti")), 2 * cell
-    if found is None:
-        return points.select("node_id", F.lit(None).cast("double").alias("distance"))
-    return points.select("node_id").join(found, "node_id", "left")
-
+def signed_distance(points: DataFrame, surface: DataFrame, reach: float | None = None) -> DataFrame:
+    """node_id, distance from points to the nearest of some surface points (node_id, x, y, z), without a sign: points have no
+    side (`distance.distance_to_surface` has one). Null beyond `reach`, if one is given, and without a finite surface point."""
+    from .distance import distance_to_points
 
+    out = distance_to_points(points, surface)
+    return out if reach is None else out.withColumn("distance", F.when(F.col("distance") <= reach, F.col("distance")))

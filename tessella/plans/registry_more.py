@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elem_types import EDGES
 from ..functions.quadrature import gauss_lobatto
-from ..operators import arrays, convert, geometry, graph, lattice, order, partition, sets, transfer
+from ..operators import arrays, convert, distance, geometry, graph, lattice, order, partition, sets, transfer
 from ..sources import generate as G
 from ..storage import materialize
 from .registry import CELLS, CLOUD, DIMS, FLATPTS, HEX, INC, PTS, QUAD, TET, TETPTS, TRI, _rounded, cells, cloud, cube, edges_sql, query, sides_sql, square, sub_sql, table, vector
@@ -258,7 +258,27 @@ _OUTER = " or ".join(f"{c} <= 0 or {c} >= 0.999999" for c in "xyz")
 def _(spark, d):
     """From every point of the cloud to the nearest node of the cube's surface."""
     surface = _doubled(cube(spark, d).points).where(_OUTER)
-    return geometry.signed_distance(_doubled(cloud(spark, d)), surface, 0.1).withColumn("distance", F.round("distance", 6))
+    return geometry.signed_distance(_doubled(cloud(spark, d)), surface).withColumn("distance", F.round("distance", 6))
+
+
+#: The skin's triangles of a cube, spelt out: the six sides of a cell on the boundary, each cut from its first corner.
+_SKIN = f"""{HEX}, {PTS}, sd as (select e, unnest([[0, 1, 5, 4], [1, 2, 6, 5], [2, 3, 7, 6], [3, 0, 4, 7], [0, 3, 2, 1], [4, 5, 6, 7]]) as f, nodes from el),
+fc as (select e, [nodes[k + 1] for k in f] as q from sd), once as (select any_value(q) as q from fc group by list_sort(q) having count(*) = 1),
+tv as (select unnest([[q[1], q[2], q[3]], [q[1], q[3], q[4]]]) as v, row_number() over () as r from once),
+tr as (select a.x::double as ax, a.y::double as ay, a.z::double as az, b.x::double - a.x as ux, b.y::double - a.y as uy, b.z::double - a.z as uz, c.x::double - a.x as vx, c.y::double - a.y as vy, c.z::double - a.z as vz
+from tv join pts a on a.node_id = v[1] join pts b on b.node_id = v[2] join pts c on c.node_id = v[3])"""
+#: Closest point by regions of the plane's barycentric coordinates: inside, or else the nearest of the three edges.
+_TO_TRIANGLE = """pr as (select node_id, x, y, z, ux, uy, uz, vx, vy, vz, x - ax as px, y - ay as py, z - az as pz from cl, tr),
+dt as (select *, ux*ux+uy*uy+uz*uz as uu, ux*vx+uy*vy+uz*vz as uv, vx*vx+vy*vy+vz*vz as vv, px*ux+py*uy+pz*uz as pu, px*vx+py*vy+pz*vz as pv, px*px+py*py+pz*pz as pp from pr),
+bc as (select *, (vv*pu - uv*pv) / (uu*vv - uv*uv) as s, (uu*pv - uv*pu) / (uu*vv - uv*uv) as t from dt),
+cp as (select *, case when s >= 0 and t >= 0 and s + t <= 1 then [[s, t]] else [[greatest(0, least(1, pu / uu)), 0.0], [0.0, greatest(0, least(1, pv / vv))], [1 - greatest(0, least(1, (pv - pu - uv + uu) / (uu - 2*uv + vv))), greatest(0, least(1, (pv - pu - uv + uu) / (uu - 2*uv + vv)))]] end as ends from bc),
+dd as (select node_id, x, y, z, list_min([(px - e[1]*ux - e[2]*vx)**2 + (py - e[1]*uy - e[2]*vy)**2 + (pz - e[1]*uz - e[2]*vz)**2 for e in ends]) as d2 from cp)"""
+
+
+@query("signed_surface_distance", f"with {_SKIN}, {CLOUD.replace('embedding[1] as', 'embedding[1]::double as').replace('embedding[2] as', 'embedding[2]::double as').replace('embedding[3] as', 'embedding[3]::double as')}, {_TO_TRIANGLE} select node_id, round(case when x > 0 and x < 1 and y > 0 and y < 1 and z > 0 and z < 1 then -1 else 1 end * sqrt(min(d2)), 9) as distance from dd group by node_id, x, y, z")
+def _(spark, d):
+    """From every point of the cloud to the cube's skin, negative inside."""
+    return distance.distance_to_surface(cloud(spark, d), sets.skin(cube(spark, d))).select("node_id", F.round("distance", 9).alias("distance"))
 
 
 @query("gauss_lobatto", "select 3 as n, 0 as k, 0.0::double as x, round(1.0::double / 6, 9) as w union all select 3, 1, 0.5, round(2.0::double / 3, 9) union all select 3, 2, 1.0, round(1.0::double / 6, 9)")

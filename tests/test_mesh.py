@@ -149,7 +149,7 @@ def test_distance_of_points_beyond_one_cell(spark):
     points = [(0, 0.0, 0.0, 0.0), (1, 0.05, 0.0, 0.0), (2, 0.33, 0.2, 0.0), (3, -40.0, 7.0, 3.0), (4, 0.0, 0.0, None)]
     surface = [(0, 0.0, 0.0, 0.0), (9, 0.6, 0.2, 0.05)]
     df = lambda rows: spark.createDataFrame(rows, "node_id long, x double, y double, z double")
-    got = {r.node_id: r.distance for r in geometry.signed_distance(df(points), df(surface), 0.1).collect()}
+    got = {r.node_id: r.distance for r in geometry.signed_distance(df(points), df(surface)).collect()}
     want = {i: min(math.dist([v or 0.0 for v in p], s) for _, *s in surface) for i, *p in points}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
-    assert [r.distance for r in geometry.signed_distance(df(points), df([]), 0.1).collect()] == [None] * 5
+    assert [r.distance for r in geometry.signed_distance(df(points), df([])).collect()] == [None] * 5
