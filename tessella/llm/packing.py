@@ -377,8 +377,8 @@ def packed_sequences(tokens: DataFrame, limits: Limits = Limits(), window_tokens
     return tokens.mapInArrow(_placed(limits, window_tokens), PIECES)
 
 
-def packed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, limits: Limits = Limits()) -> DataFrame:
-    """The contract's columns and the ids of every piece."""
+def packed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, limits: Limits = Limits(segments=CAPACITY)) -> DataFrame:
+    """The contract's columns and the ids of every piece. By itself the number of pieces in a sequence of documents has no limit."""
     encode, place = _encoded(tokenizer or _default_path(), END_ID), _placed(limits, WINDOW_TOKENS)
     out = _rows(docs, doc_id, text).mapInArrow(lambda batches: place(encode(batches)), PIECES)  # one Python worker a task
     return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")

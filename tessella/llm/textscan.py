@@ -15,6 +15,7 @@ _RNG = np.random.default_rng(77)
 #: A random number for each byte, and powers of an odd one, and of its inverse, for its place.
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = 0x9E3779B97F4A7C15
+_SHORT = 32
 #: Bytes that are summed at once: what a pass holds stays in the processor's cache.
 _PIECE = 1 << 15
 
@@ -29,7 +30,8 @@ _POWER, _INVERSE = _series(_ODD, 2 * _PIECE), _series(pow(_ODD, -1, 1 << 64), 2
 def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word between [\\x20\\x09-\\x0D], and its first byte's place.
 
-    A word's hash is a polynomial of its bytes: a difference of running sums, freed of the word's place.
+    The hash of a word of up to _SHORT bytes is a polynomial of them: a difference of running sums, freed of the word's
+    place. Modulo a power of two such polynomials of long regular words meet for any base, so those have a hash of their own.
     """
     a = np.frombuffer(data, np.uint8)
     edge = np.zeros(len(a) + 2, bool)
@@ -51,6 +53,8 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         h[i:j] = (total[stop[i:j] - base] - total[s]) * inverse[s]
         i = j
     h ^= (stop - start).astype(np.uint64) << np.uint64(48)
+    for i in np.flatnonzero(stop - start > _SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : stop[i]], 1)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)

@@ -12,7 +12,7 @@ each round joins ranks to edges (a skewed source is an ordinary skewed join) and
 
 Defined results: a null url or one without '://' has empty host and path, no rule and no links, and is allowed; a null
 html has no links; of rules of equal length the first one listed wins; repeated rows are judged alike; very long urls and
-pages are read whole; an empty table gives an empty table; other columns are ignored.
+pages are read whole; without a seed host nothing is trusted or distrusted; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def propagate(arcs: DataFrame, seeds: DataFrame, damping: float = DAMPING, toler
     out = arcs.groupBy("kind", "src").agg((F.lit(damping) / F.count("*")).alias("w"))
     arcs = materialize(arcs.join(out, ["kind", "src"]))
     state = seen = restart
-    if not has_rows(arcs):
+    if not totals or not has_rows(arcs):
         return state
     for k in range(1, rounds + 1):
         moved = state.withColumnRenamed("host", "src").join(arcs, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("w")).alias("rank"))
@@ -85,7 +85,7 @@ def propagate(arcs: DataFrame, seeds: DataFrame, damping: float = DAMPING, toler
         if k % LOOK_EVERY == 0:
             state = materialize(state)
             both = state.unionByName(seen.select("kind", "host", (-F.col("rank")).alias("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("d"))
-            if max(r.d for r in both.groupBy("kind").agg(F.sum("d").alias("d")).collect()) <= tolerance:
+            if max((r.d for r in both.groupBy("kind").agg(F.sum("d").alias("d")).collect()), default=0.0) <= tolerance:
                 break
             seen = state
     return state

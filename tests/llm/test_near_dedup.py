@@ -101,3 +101,14 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {n: min(part) for part in (names[:21], names[21:41], names[41:]) for n in part}
     assert got == want
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_long_regular_words_are_told_apart(spark):
+    """Polynomials of these words modulo a power of two are equal for any odd base."""
+    df = docs(spark, [(1, thue_morse(1024)), (2, thue_morse(1024, 1)), (3, thue_morse(1024)), (4, "x " + thue_morse(2048) + " y"), (5, "x " + thue_morse(2048, 1) + " y")])
+    out = {r.doc_id: r.component_id for r in N.near_duplicates(df).collect()}
+    assert out == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}

@@ -80,3 +80,15 @@ def test_ids_of_odd_texts_equal_whole_encodings():
     texts = ["", " ", "  \n", "\x1c", "<|endoftext|> Hi", "日本 x", "x" * 20000, "\xa0\x85", "a " * 300000, *("".join(rng.choices(signs, k=rng.randint(0, 80))) for _ in range(2000))]
     assert enc.encode(texts) == [enc._bytes(enc._ids(t)) for t in texts]
     assert enc.encode([]) == [] and enc.encode(["", " "]) == [b"", b""]
+
+
+def test_many_short_and_repeated_texts_leave_little_padding(spark):
+    df = docs(spark, [(i % 5000, "a b") for i in range(10_000)])
+    rows = P.packed_documents(df).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    total = sum(r.length for r in rows)
+    per = defaultdict(int)
+    for r in rows:
+        per[r.sequence_id] += r.length
+    assert total == 10_000 * rows[0].doc_tokens
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in per.values()) < 0.01 * total

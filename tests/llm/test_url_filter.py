@@ -69,3 +69,9 @@ def test_linkers_of_a_popular_blocked_host(spark):
 
 def test_empty(spark):
     assert U.judged_urls(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_links_without_any_seed(spark):
+    rows = [(1, "http://a.org/", "<a href=http://b.org/>", ""), (2, "http://b.org/", "<a href='//a.org/x'>", "")]
+    out = U.judged_urls(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.page_id, r.host, r.rule, r.verdict, r.trust, r.distrust) for r in out) == [(1, "a.org", None, "allow", 0.0, 0.0), (2, "b.org", None, "allow", 0.0, 0.0)]
