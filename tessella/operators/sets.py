@@ -186,16 +186,18 @@ def disconnected_faces(mesh: Mesh, sharp: DataFrame) -> DataFrame:
     return mesh.elements.select("elem_id").join(hit, "elem_id", "left_anti")
 
 
-def propagate(side_links: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, cut_every: int = 8) -> DataFrame:
+def propagate(side_links: DataFrame, seeds: DataFrame, max_rounds: int | None = None, cut_every: int = 8) -> DataFrame:
     """side: everything reached from the seeds over accepted links (a, b), the seeds included; breadth first."""
     links = materialize(side_links.select("a", "b").distinct())
     seen = materialize(seeds.select(F.col("side")).distinct())
     front, k = seen, 0
-    while k < max_rounds:
+    while True:
         nxt = front.withColumnRenamed("side", "a").join(links, "a").select(F.col("b").alias("side")).distinct().join(seen, "side", "left_anti")
         nxt = materialize(nxt)
         if not nxt.limit(1).count():
             break
+        if max_rounds is not None and k >= max_rounds:
+            raise RuntimeError(f"more can be reached after {max_rounds} rounds")
         seen, front, k = seen.unionByName(nxt), nxt, k + 1
         if k % cut_every == 0:
             seen = materialize(seen)

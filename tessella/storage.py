@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of local sessions that name none; the setting can't be changed in a running session.
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only for a local session that names none (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tessella-"))
+        d = _LOCAL[0]
     return d.rstrip("/")
 
 
