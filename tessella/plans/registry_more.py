@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elem_types import EDGES
 from ..functions.quadrature import gauss_lobatto
-from ..operators import arrays, convert, distance, geometry, graph, lattice, order, partition, sets, transfer
+from ..operators import arrays, convert, distance, geometry, graph, lattice, order, partition, sets, solve, transfer
 from ..sources import generate as G
 from ..storage import materialize
 from .registry import CELLS, CLOUD, DIMS, FLATPTS, HEX, INC, PTS, QUAD, TET, TETPTS, TRI, _rounded, cells, cloud, cube, edges_sql, query, sides_sql, square, sub_sql, table, vector
@@ -281,6 +281,37 @@ def _(spark, d):
     return distance.distance_to_surface(cloud(spark, d), sets.skin(cube(spark, d))).select("node_id", F.round("distance", 9).alias("distance"))
 
 
+def _on_edge(mesh):
+    """Nodes of the unit square's boundary."""
+    return mesh.points.where("x <= 0 or y <= 0 or x >= 0.999999 or y >= 0.999999")
+
+
+@query("poisson_square", f"with {DIMS}, {FLATPTS} select node_id as id, round(x::double * (1 - x::double) * y::double * (1 - y::double), 6) as value from pts")
+def _(spark, d):
+    """The Poisson problem whose solution is x (1 - x) y (1 - y): on right triangles the scheme is exact for it."""
+    mesh, h = square(spark, d, "TRI3"), 1.0 / cells(spark, d)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    load = mesh.points.select(F.col("node_id").alias("id"), (h * h * (2 * x * (1 - x) + 2 * y * (1 - y))).alias("value"))
+    zero = _on_edge(mesh).select(F.col("node_id").alias("id"), F.lit(0.0).alias("value"))
+    return solve.solve_with_fixed(solve.stiffness(mesh), load, zero).values.select("id", F.round("value", 6).alias("value"))
+
+
+@query("diffused_distance", f"with {DIMS}, {FLATPTS} select node_id as id, round(0.6 * x::double + 0.8 * y::double, 5) as value, round(0.6::double, 5) as x, round(0.8::double, 5) as y from pts")
+def _(spark, d):
+    """The distance to a plane, known on the square's boundary alone."""
+    mesh = square(spark, d, "TRI3")
+    known = _on_edge(mesh).select(F.col("node_id").alias("id"), (0.6 * F.col("x").cast("double") + 0.8 * F.col("y").cast("double")).alias("value"), F.lit(0.6).alias("x"), F.lit(0.8).alias("y"), F.lit(0.0).alias("z"))
+    out = solve.diffused_distance(mesh, known)
+    return out.distance.join(out.normals, "id").select("id", *[F.round(c, 5).alias(c) for c in ("value", "x", "y")])
+
+
+@query("stiffness_tri3", f"with {QUAD}, w as (select n + 1 as w, n from dims), g as (select i, i % w as x, i // w as y, n, w from w, lateral (select unnest(range(w * w)) as i)), o as (select unnest([[0, 0], [1, 0], [-1, 0], [0, 1], [0, -1], [1, -1], [-1, 1]]) as o) select i, i + o[1] + o[2] * w as j, case when o = [0, 0] then (4.0 - (case when x in (0, n) then 2 else 0 end) - (case when y in (0, n) then 2 else 0 end) + (case when x in (0, n) and y in (0, n) then 1 else 0 end)) when o[1] * o[2] <> 0 then 0.0 when o[1] = 0 then (case when x in (0, n) then -0.5 else -1.0 end) else (case when y in (0, n) then -0.5 else -1.0 end) end::double as value from g, o where x + o[1] between 0 and n and y + o[2] between 0 and n")
+def _(spark, d):
+    """The matrix of the five-point star, with halves along the boundary."""
+    m = solve.stiffness(square(spark, d, "TRI3"))
+    return m.select("i", "j", (F.round("value", 3) + 0.0).alias("value"))
+
+
 @query("gauss_lobatto", "select 3 as n, 0 as k, 0.0::double as x, round(1.0::double / 6, 9) as w union all select 3, 1, 0.5, round(2.0::double / 3, 9) union all select 3, 2, 1.0, round(1.0::double / 6, 9)")
 def _(spark, d):
     x, w = gauss_lobatto(3)
