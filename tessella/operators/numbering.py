@@ -49,3 +49,22 @@ def regathered(long: DataFrame, node: str = "node_id") -> DataFrame:
     """(block_id, elem_id, lnode, node) -> elements."""
     by = long.groupBy("block_id", "elem_id").agg(F.sort_array(F.collect_list(F.struct("lnode", F.col(node).alias("n")))).alias("x"))
     return by.select("block_id", "elem_id", F.transform("x", lambda s: s["n"]).alias("nodes"))
+
+
+def running_total(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """id, start: for keys 0..n-1 the sum of `value` over smaller keys, and the total at n. Ranges of keys are summed first, so
+    only a sum a range meets in one place; within a range a window runs."""
+    from pyspark.sql import Window as W
+
+    fixed = materialize(counts.select(F.col(key).alias("id"), F.col(value).alias("v"), F.shiftright(F.col(key).cast("long"), RANGE_BITS).alias("r")))
+    ranges = fixed.groupBy("r").agg(F.sum("v").alias("s"), F.max("id").alias("last"))
+    before = ranges.select("r", (F.sum("s").over(W.orderBy("r")) - F.col("s")).alias("before"), F.sum("s").over(W.orderBy("r")).alias("upto"), "last")
+    before = materialize(before)
+    inner = W.partitionBy("r").orderBy("id")
+    starts = fixed.withColumn("own", F.sum("v").over(inner) - F.col("v")).join(F.broadcast(before), "r").select("id", (F.col("own") + F.col("before")).alias("start"))
+    total = before.agg((F.max("last") + 1).alias("id"), F.max("upto").alias("start")).where("id is not null")
+    return starts.unionByName(total)
+
+
+#: Keys of a range of a running total.
+RANGE_BITS = 16

@@ -133,11 +133,11 @@ def packed_nodes(mesh: Mesh, per_pack: int) -> DataFrame:
     rows = seen.join(own, "node_id").withColumn("class", F.when(F.col("pack") != F.col("owner"), 2).when(F.col("last") > F.col("owner"), 1).otherwise(0))
     rows = rows.withColumn("local_id", F.row_number().over(W.partitionBy("pack").orderBy("class", "touch")) - 1)
     counts = rows.where("class < 2").groupBy("pack").agg(F.count("*").alias("c"))
-    from .numbering import dense_ids
+    from .numbering import dense_ids, running_total
 
-    numbered = dense_ids(counts, ["pack"], "k")
-    total = numbered.select("pack", "k", "c")
-    offsets = total.select(F.col("pack").alias("op"), (F.sum("c").over(W.orderBy("pack")) - F.col("c")).alias("offset"))
+    numbered = materialize(dense_ids(counts, ["pack"], "k"))
+    starts = running_total(numbered, "k", "c").select(F.col("id").alias("k"), F.col("start").alias("offset"))
+    offsets = numbered.join(starts, "k").select(F.col("pack").alias("op"), "offset")
     owned = rows.where("class < 2").join(offsets, F.col("pack") == F.col("op")).select(F.col("node_id").alias("on"), (F.col("offset") + F.col("local_id")).alias("packed_id"))
     return rows.join(owned, F.col("node_id") == F.col("on")).select("pack", "node_id", "class", "packed_id", "local_id")
 

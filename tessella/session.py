@@ -15,6 +15,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.python.filterPushdown.enabled", "true")  # ids of column files down to their byte ranges
         .config("spark.driver.memory", os.environ.get("TESSELLA_DRIVER_MEMORY", memory))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -23,18 +23,18 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
-def _cells(spark: SparkSession, nx: int, ny: int, nz: int) -> DataFrame:
+def _cells(spark: SparkSession, nx: int, ny: int, nz: int, slabs: int | None = None) -> DataFrame:
     if min(nx, ny, nz) < 1:
         raise ValueError("a mesh needs at least one cell along each axis")
     e = F.col("id")
-    return spark.range(nx * ny * nz).select(e.alias("e"), (e % nx).alias("cx"), (_div(e, nx) % ny).alias("cy"), _div(e, nx * ny).alias("cz"))
+    return spark.range(0, nx * ny * nz, 1, slabs).select(e.alias("e"), (e % nx).alias("cx"), (_div(e, nx) % ny).alias("cy"), _div(e, nx * ny).alias("cz"))
 
 
 
-def _lattice(spark: SparkSession, mx: int, my: int, mz: int, first: int = 0) -> DataFrame:
+def _lattice(spark: SparkSession, mx: int, my: int, mz: int, first: int = 0, slabs: int | None = None) -> DataFrame:
     """node_id and lattice place of mx * my * mz points, x fastest."""
     i = F.col("id")
-    return spark.range(mx * my * mz).select((i + first).alias("node_id"), (i % mx).alias("ix"), (_div(i, mx) % my).alias("iy"), _div(i, mx * my).alias("iz"))
+    return spark.range(0, mx * my * mz, 1, slabs).select((i + first).alias("node_id"), (i % mx).alias("ix"), (_div(i, mx) % my).alias("iy"), _div(i, mx * my).alias("iz"))
 
 
 def _axis(place: Column, lo: float, hi: float, n: int) -> Column:
@@ -42,8 +42,8 @@ def _axis(place: Column, lo: float, hi: float, n: int) -> Column:
     return (F.lit(float(lo)) + place * F.lit((float(hi) - float(lo)) / n)).cast("float")
 
 
-def _box_points(spark: SparkSession, nx: int, ny: int, nz: int, box: Box) -> DataFrame:
-    p = _lattice(spark, nx + 1, ny + 1, nz + 1)
+def _box_points(spark: SparkSession, nx: int, ny: int, nz: int, box: Box, slabs: int | None = None) -> DataFrame:
+    p = _lattice(spark, nx + 1, ny + 1, nz + 1, slabs=slabs)
     return p.select("node_id", _axis(F.col("ix"), box[0], box[3], nx).alias("x"), _axis(F.col("iy"), box[1], box[4], ny).alias("y"), _axis(F.col("iz"), box[2], box[5], nz).alias("z"))
 
 
@@ -59,9 +59,10 @@ def hex8_reference_cube(spark: SparkSession) -> Mesh:
     return hex8_cube(spark, 1, 1, 1)
 
 
-def hex8_cube(spark: SparkSession, nx: int, ny: int, nz: int, box: Box = UNIT) -> Mesh:
-    rows = _cells(spark, nx, ny, nz).select(F.col("e").alias("elem_id"), F.array(*[_vertex(nx, ny, c) for c in CORNERS]).alias("nodes"))
-    return _one(_box_points(spark, nx, ny, nz, box), rows, "HEX8")
+def hex8_cube(spark: SparkSession, nx: int, ny: int, nz: int, box: Box = UNIT, slabs: int | None = None) -> Mesh:
+    """`slabs` sets the number of partitions, each a run of cells (or nodes) along z."""
+    rows = _cells(spark, nx, ny, nz, slabs).select(F.col("e").alias("elem_id"), F.array(*[_vertex(nx, ny, c) for c in CORNERS]).alias("nodes"))
+    return _one(_box_points(spark, nx, ny, nz, box, slabs), rows, "HEX8")
 
 
 def tet4_cube(spark: SparkSession, nx: int, ny: int, nz: int, box: Box = UNIT) -> Mesh:

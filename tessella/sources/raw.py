@@ -1,20 +1,24 @@
-"""Mesh folders: headerless column files, side sets and grids, read in byte ranges by a Python data source."""
+"""Mesh folders: headerless column files, side sets and grids, read in byte ranges by a Python data source.
+
+Paths are read by the executors themselves, with conditions on `id` taken down to the byte ranges (where the session has
+spark.sql.python.filterPushdown.enabled). URIs of a store that only Spark reads go through its reader of fixed-length records.
+"""
 
 from __future__ import annotations
 
 import os
 import re
 from dataclasses import replace
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..functions.elem_types import NAMES, element_type, type_of_size
 from ..mesh import Block, Mesh
+from . import files
 
 # What a file's suffix says about its numbers; "raw" is the default of its role.
 DTYPES = {"float16": "<f2", "float32": "<f4", "float64": "<f8", "int16": "<i2", "int32": "<i4", "int64": "<i8", "uint8": "<u1", "uint16": "<u2", "uint32": "<u4", "uint64": "<u8"}
@@ -31,6 +35,20 @@ def dtype_of(path: str, raw: str = "int32") -> str:
     return suffix
 
 
+def _length(paths: list[str], kinds: list[str]) -> int:
+    """Rows of equally long columns."""
+    sizes = {files.size(p) // np.dtype(DTYPES[k]).itemsize for p, k in zip(paths, kinds)}
+    if len(sizes) != 1:
+        raise ValueError(f"columns differ in length: {sorted(sizes)}")
+    return sizes.pop()
+
+
+def _array(x: np.ndarray, kind: str) -> pa.Array:
+    """Numbers as the type that Spark has for them."""
+    wide = {"float16": np.float32, "uint8": np.int16, "uint16": np.int32, "uint32": np.int64}.get(kind)
+    return pa.array(x.astype(wide) if wide else x)
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, stop: int):
         self.first, self.stop = first, stop
@@ -42,15 +60,34 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = options["paths"].split("\n")
         self.kinds = options["kinds"].split(",")
-        sizes = {os.path.getsize(p) // np.dtype(DTYPES[k]).itemsize for p, k in zip(self.paths, self.kinds)}
-        if len(sizes) != 1:
-            raise ValueError(f"columns differ in length: {sorted(sizes)}")
-        self.n = sizes.pop()
+        self.n = _length(self.paths, self.kinds)
+        self.low, self.stop = 0, self.n
         width = max(np.dtype(DTYPES[k]).itemsize for k in self.kinds)
         self.rows = max(1, int(options.get("splitbytes", SPLIT_BYTES)) // width)
 
+    def pushFilters(self, filters):
+        """Bounds on id narrow the rows that are read; a list of ids does too, and is left to Spark as well."""
+        for f in filters:
+            if getattr(f, "attribute", None) != ("id",):
+                yield f
+            elif isinstance(f, EqualTo):
+                self.low, self.stop = max(self.low, f.value), min(self.stop, f.value + 1)
+            elif isinstance(f, GreaterThanOrEqual):
+                self.low = max(self.low, f.value)
+            elif isinstance(f, GreaterThan):
+                self.low = max(self.low, f.value + 1)
+            elif isinstance(f, LessThanOrEqual):
+                self.stop = min(self.stop, f.value + 1)
+            elif isinstance(f, LessThan):
+                self.stop = min(self.stop, f.value)
+            elif isinstance(f, In) and f.value and all(isinstance(v, int) for v in f.value):
+                self.low, self.stop = max(self.low, min(f.value)), min(self.stop, max(f.value) + 1)
+                yield f
+            elif not isinstance(f, IsNotNull):
+                yield f
+
     def partitions(self):
-        return [_Range(a, min(self.n, a + self.rows)) for a in range(0, self.n, self.rows)] or [_Range(0, 0)]
+        return [_Range(a, min(self.stop, a + self.rows)) for a in range(self.low, self.stop, self.rows)] or [_Range(0, 0)]
 
     def read(self, part):
         step = 1 << 20
@@ -59,14 +96,72 @@ class _Reader(DataSourceReader):
             cols = [pa.array(np.arange(a, b, dtype=np.int64))]
             for p, k in zip(self.paths, self.kinds):
                 d = np.dtype(DTYPES[k])
-                x = np.fromfile(p, d, b - a, offset=a * d.itemsize)
-                wide = {"float16": np.float32, "uint8": np.int16, "uint16": np.int32, "uint32": np.int64}.get(k)
-                cols.append(pa.array(x.astype(wide) if wide else x))
+                cols.append(_array(np.fromfile(files.local(p), d, b - a, offset=a * d.itemsize), k))
             yield pa.RecordBatch.from_arrays(cols, names=["id", *[f"c{i}" for i in range(len(self.paths))]])
 
 
+class _Run(WriterCommitMessage):
+    """What a task has written: its first and last id (0 and -1 if none), and whether they follow each other."""
+
+    def __init__(self, first: int, last: int, dense: bool):
+        self.first, self.last, self.dense = first, last, dense
+
+
+class _Writer(DataSourceArrowWriter):
+    """Every task puts its run of rows at its place in a file beside the target. Only when all are there, and their ids are
+    0..n-1, each once, do these files take the targets' names; otherwise they go and the targets stay as they were. A task
+    that runs again writes the same bytes at the same places."""
+
+    def __init__(self, options: dict):
+        self.paths = options["paths"].split("\n")
+        self.kinds = options["kinds"].split(",")
+        self.beside = [os.path.join(os.path.dirname(p), f".{os.path.basename(p)}.{options['token']}") for p in self.paths]
+
+    def write(self, iterator):
+        first, last, dense = None, None, True
+        for b in iterator:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            dense = bool((np.diff(ids) == 1).all()) and last in (None, int(ids[0]) - 1) and int(ids[0]) >= 0
+            first, last = int(ids[0]) if first is None else first, int(ids[-1])
+            if not dense:
+                break
+            for c, (path, kind) in enumerate(zip(self.beside, self.kinds)):
+                d = np.dtype(DTYPES[kind])
+                x = b.column(c + 1).to_numpy(zero_copy_only=False).astype(d)
+                os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+                with open(os.open(path, os.O_RDWR | os.O_CREAT, 0o644), "r+b") as f:
+                    f.seek(int(ids[0]) * d.itemsize)
+                    f.write(x.tobytes())
+        for _ in iterator:  # the rest is taken, so that Spark sees the task through
+            pass
+        return _Run(0, -1, True) if first is None else _Run(first, last, dense)
+
+    def commit(self, messages):
+        n = 0
+        for r in sorted((m for m in messages if m is not None and m.first <= m.last), key=lambda r: (r.first, r.last)):
+            if not r.dense or r.first != n:
+                raise ValueError(f"{NOT_DENSE}; this fails near {r.first if r.first != n else r.last}")
+            n = r.last + 1
+        for target, path in zip(self.paths, self.beside):
+            if not n:
+                os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+                open(path, "wb").close()
+            os.replace(path, target)
+
+    def abort(self, messages):
+        for path in self.beside:
+            if os.path.exists(path):
+                os.remove(path)
+
+
+NOT_DENSE = "ids have to be 0..n-1, each once"
+
+
 class RawColumns(DataSource):
-    """format("raw_columns"): options paths (newline-separated), kinds (comma-separated), splitBytes."""
+    """format("raw_columns"): options paths (newline-separated), kinds (comma-separated), splitBytes; to write, a token of its
+    own for each write, and rows (id, then a column a path) sorted by id within partitions."""
 
     @classmethod
     def name(cls) -> str:
@@ -78,14 +173,45 @@ class RawColumns(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
+    def writer(self, schema, overwrite):
+        return _Writer(self.options)
+
 
 def read_columns(spark: SparkSession, paths: list[str], raw: str = "int32", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """id, c0, c1, ...: the files' numbers side by side; only the files asked for are opened."""
+    return columns_of_kinds(spark, paths, [dtype_of(p, raw) for p in paths], split_bytes)
+
+
+def columns_of_kinds(spark: SparkSession, paths: list[str], kinds: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The same with each file's type given."""
+    if any(map(files.is_remote, paths)):
+        return _remote_columns(spark, paths, kinds)
     spark.dataSource.register(RawColumns)
-    kinds = [dtype_of(p, raw) for p in paths]
     return spark.read.format("raw_columns").option("paths", "\n".join(paths)).option("kinds", ",".join(kinds)).option("splitBytes", str(split_bytes)).load()
 
 
+def _remote_columns(spark: SparkSession, paths: list[str], kinds: list[str]) -> DataFrame:
+    """Equal records of every file meet by their number; each pair of records is decoded at once."""
+    n = _length(paths, kinds)
+    schema = "id long, " + ", ".join(f"c{i} {SPARK[k]}" for i, k in enumerate(kinds))
+    if not n:
+        return spark.createDataFrame([], schema)
+    rows = files.record_rows(n)
+    met = None
+    for i, (p, k) in enumerate(zip(paths, kinds)):
+        own = files.records(spark, p, rows * np.dtype(DTYPES[k]).itemsize).withColumnRenamed("data", f"d{i}")
+        met = own if met is None else met.join(own, "record")
+
+    def decoded(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                first = b.column("record")[at].as_py() * rows
+                cols = [_array(np.frombuffer(b.column(f"d{i}")[at].as_buffer(), DTYPES[k]), k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + rows)), *cols], names=["id", *[f"c{i}" for i in range(len(kinds))]])
+
+    return met.mapInArrow(decoded, schema)
+
+
 def read_array(spark: SparkSession, path: str, raw: str = "float32", as_type: str | None = None) -> DataFrame:
     """id, value."""
     df = read_columns(spark, [path], raw).withColumnRenamed("c0", "value")
@@ -93,28 +219,29 @@ def read_array(spark: SparkSession, path: str, raw: str = "float32", as_type: st
 
 
 def find_files(folder: str, pattern: str) -> list[str]:
-    return sorted(str(p) for p in Path(folder).glob(pattern))
+    return files.matching(folder, pattern)
 
 
 def file_size(path: str) -> int:
-    return os.path.getsize(path)
+    return files.size(path)
 
 
 def _connectivity(folder: str) -> list[str]:
-    found = {int(m[1]): str(p) for p in Path(folder).iterdir() if (m := re.fullmatch(r"i(\d+)\.(raw|int16|int32|int64)", p.name))}
+    found = {int(m[1]): f"{folder.rstrip('/')}/{n}" for n in files.names(folder) if (m := re.fullmatch(r"i(\d+)\.(raw|int16|int32|int64)", n))}
     if sorted(found) != list(range(len(found))) or not found:
         raise FileNotFoundError(f"{folder}: connectivity columns are missing")
     return [found[k] for k in range(len(found))]
 
 
 def _coordinates(folder: str) -> list[str]:
+    there = set(files.names(folder))
     for names in (("x", "y", "z"), ("x0", "x1", "x2")):
         found = []
         for n in names:
-            got = [p for e in ("raw", "float16", "float32", "float64") if (p := Path(folder) / f"{n}.{e}").exists()]
+            got = [p for e in ("raw", "float16", "float32", "float64") if (p := f"{n}.{e}") in there]
             if not got:
                 break
-            found.append(str(got[0]))
+            found.append(f"{folder.rstrip('/')}/{got[0]}")
         if found:
             return found
     raise FileNotFoundError(f"{folder}: no coordinates")
@@ -138,8 +265,7 @@ def read_points(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
 def read_meta(folder: str) -> dict:
     import yaml
 
-    path = Path(folder) / "meta.yaml"
-    return yaml.safe_load(path.read_text()) or {} if path.exists() else {}
+    return yaml.safe_load(files.text(f"{folder.rstrip('/')}/meta.yaml") or "") or {}
 
 
 def read_mesh(spark: SparkSession, folder: str, use_macro: bool = False) -> Mesh:
@@ -165,13 +291,55 @@ def read_mesh(spark: SparkSession, folder: str, use_macro: bool = False) -> Mesh
     return mesh.to_macro() if use_macro else mesh
 
 
+def _element_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """elem_id, lnode, local of a folder's i*.int16."""
+    rows = read_block(spark, folder)
+    return rows.select("elem_id", F.posexplode("nodes").alias("lnode", "local"))
+
+
+def _led_back(long: DataFrame, block: Block) -> DataFrame:
+    by = long.groupBy("elem_id").agg(F.sort_array(F.collect_list(F.struct("lnode", "node_id"))).alias("x"))
+    return by.select(F.lit(block.block_id).alias("block_id"), "elem_id", F.transform("x", lambda s: s["node_id"].cast("long")).alias("nodes"))
+
+
+def _starts(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    return read_array(spark, path).select(F.col("id").alias(key), F.col("value").cast("long").alias(value))
+
+
+def read_packed(spark: SparkSession, folder: str) -> Mesh:
+    """A folder of packs as a mesh whose nodes are numbered by packs; node_mapping leads back to the ids before."""
+    meta = read_meta(folder)
+    at = f"{folder}/{meta['block']}"
+    coordinates = sorted(files.matching(folder, "x[0-9].*"))
+    rows = read_columns(spark, coordinates, raw="float32")
+    points = rows.select(F.col("id").alias("node_id"), *[(F.col(f"c{k}").cast("float") if k < len(coordinates) else F.lit(None).cast("float")).alias(c) for k, c in enumerate("xyz")])
+    owned, ghost = _starts(spark, f"{at}/owned_nodes_ptr.int64", "pack", "first"), _starts(spark, f"{at}/ghost_ptr.int64", "pack", "ghosts")
+    after = owned.select((F.col("pack") - 1).alias("pack"), F.col("first").alias("stop"))
+    bounds = owned.join(after, "pack").join(ghost, "pack")
+    long = _element_columns(spark, at).withColumn("pack", F.call_function("div", F.col("elem_id"), F.lit(int(meta["elements_per_pack"])))).join(bounds, "pack")
+    beyond = F.col("local") - (F.col("stop") - F.col("first"))
+    long = long.withColumn("ghost", F.when(beyond >= 0, F.col("ghosts") + beyond))
+    far = _starts(spark, files.matching(at, "ghost_idx.*")[0], "ghost", "there")
+    long = long.join(far, "ghost", "left").select("elem_id", "lnode", F.coalesce("there", F.col("first") + F.col("local")).alias("node_id"))
+    block = Block(0, str(meta["block"]), meta["element_type"])
+    back = _starts(spark, files.matching(folder, "node_map.*")[0], "node_id", "source_id")
+    return Mesh(points, _led_back(long, block), (block,), int(meta["spatial_dimension"]), back)
+
+
+def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """block_id, elem_id, nodes of a folder of fixed-size blocks, with the nodes' ids of the whole mesh."""
+    meta = read_meta(folder)
+    starts = _starts(spark, f"{folder}/node_offset.int64", "k", "start")
+    long = _element_columns(spark, folder).withColumn("k", F.call_function("div", F.col("elem_id"), F.lit(int(meta["block_size"])))).join(starts, "k")
+    back = _starts(spark, files.matching(folder, "node_mapping.*")[0], "at", "node_id")
+    return _led_back(long.withColumn("at", F.col("start") + F.col("local")).join(back, "at"), Block(0, "default", meta["element_type"]))
+
+
 def read_sideset(spark: SparkSession, folder: str, block_id: int = 0) -> DataFrame:
     parent, lfi = find_files(folder, "parent.*"), find_files(folder, "lfi.*")
     if not parent or not lfi:
         raise FileNotFoundError(f"{folder}: no side set")
-    spark.dataSource.register(RawColumns)
-    kinds = [dtype_of(parent[0], "int32"), dtype_of(lfi[0], "int16")]
-    rows = spark.read.format("raw_columns").option("paths", f"{parent[0]}\n{lfi[0]}").option("kinds", ",".join(kinds)).load()
+    rows = columns_of_kinds(spark, [parent[0], lfi[0]], [dtype_of(parent[0], "int32"), dtype_of(lfi[0], "int16")])
     return rows.select(F.col("c0").cast("long").alias("parent"), F.col("c1").cast("short").alias("lfi"), F.lit(block_id).alias("block_id"))
 
 

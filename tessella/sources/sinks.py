@@ -1,66 +1,53 @@
 """Writers: headerless ordered columns, mesh folders, side sets, grids and text templates.
 
 A column file holds its numbers in the order of their ids. Rows are range-partitioned and sorted by id; each task writes
-its own run of the file at its place (ids are dense), so nothing is collected. Files are reached by path, as in the
-format: the folder has to be one that all executors see.
+its own run at its place in a file beside the target (ids are dense), which takes the target's name on commit, so nothing is
+collected and a failed write leaves what was there. Files are reached by path, as in the format: the folder has to be one
+that all executors see.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+import uuid
 from pathlib import Path
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.elem_types import element_type
 from ..mesh import Mesh
-from .raw import DTYPES
+from ..operators.numbering import dense_ids, running_total
+from ..storage import materialize
+from . import files
+from .raw import DTYPES, NOT_DENSE, RawColumns
 
 
-def write_columns(df: DataFrame, columns: dict[str, str], id_col: str = "id") -> int:
+def write_columns(df: DataFrame, columns: dict[str, str], id_col: str = "id", ordered: bool = False) -> int:
     """columns: file path -> column; the suffix gives the type. Returns the number of rows.
 
-    Ids have to be 0..n-1, each once: every task tells its first and last one and whether they follow each other, and
-    these runs have to follow each other too, or the call fails.
+    Ids have to be 0..n-1, each once, or the call fails; files that were there before are replaced when all is written and
+    stay as they were if anything fails. `ordered` says that every partition is a run of ids in their order already, as those
+    of a range are: then nothing is shuffled.
     """
-    kinds = {p: np.dtype(DTYPES[p.rsplit(".", 1)[-1]]) for p in columns}
-    for p in kinds:
-        if "://" in p:
+    paths = [files.local(p) for p in columns]
+    for p in paths:
+        if files.is_remote(p):
             raise ValueError(f"{p}: column files are written to a folder that all executors see as a path")
-        os.makedirs(os.path.dirname(p) or ".", exist_ok=True)
-        open(p, "wb").close()
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last, dense = None, None, True
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column("__id").to_numpy()
-            dense = dense and bool((np.diff(ids) == 1).all()) and last in (None, int(ids[0]) - 1) and int(ids[0]) >= 0
-            if not dense:
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([int(ids[-1])]), pa.array([False])], names=["first", "last", "dense"])
-                return
-            first, last = int(ids[0]) if first is None else first, int(ids[-1])
-            for k, p in enumerate(columns):
-                x = b.column(f"c{k}").to_numpy(zero_copy_only=False).astype(kinds[p])
-                with open(p, "r+b") as f:
-                    f.seek(int(ids[0]) * kinds[p].itemsize)
-                    f.write(x.tobytes())
-        if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([last]), pa.array([True])], names=["first", "last", "dense"])
-
-    picked = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("__id"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns.values())])
-    runs = sorted(picked.repartitionByRange("__id").sortWithinPartitions("__id").mapInArrow(put, "first long, last long, dense boolean").collect())  # a row a task
-    n = 0
-    for r in runs:
-        if not r.dense or r.first != n:
-            raise ValueError(f"ids have to be 0..n-1, each once; this fails near {r.first if r.first != n else r.last}")
-        n = r.last + 1
-    return n
+    df.sparkSession.dataSource.register(RawColumns)
+    picked = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns.values())])
+    rows = picked if ordered else picked.repartitionByRange("id").sortWithinPartitions("id")
+    kinds = [p.rsplit(".", 1)[-1] for p in paths]
+    try:
+        rows.write.format("raw_columns").mode("append").option("paths", "\n".join(paths)).option("kinds", ",".join(kinds)).option("token", uuid.uuid4().hex).save()
+    except Exception as e:
+        if found := re.search(rf"{NOT_DENSE}; this fails near -?\d+", str(e)):
+            raise ValueError(found[0]) from None
+        raise
+    return os.path.getsize(paths[0]) // np.dtype(DTYPES[kinds[0]]).itemsize
 
 
 def write_array(df: DataFrame, path: str) -> int:
@@ -68,9 +55,9 @@ def write_array(df: DataFrame, path: str) -> int:
     return write_columns(df, {path: "value"})
 
 
-def _block(rows: DataFrame, folder: str, width: int, index: str) -> int:
+def _block(rows: DataFrame, folder: str, width: int, index: str, ordered: bool = False) -> int:
     cols = [F.get("nodes", F.lit(k)).alias(f"n{k}") for k in range(width)]
-    return write_columns(rows.select("elem_id", *cols), {f"{folder}/i{k}.{index}": f"n{k}" for k in range(width)}, "elem_id")
+    return write_columns(rows.select("elem_id", *cols), {f"{folder}/i{k}.{index}": f"n{k}" for k in range(width)}, "elem_id", ordered)
 
 
 def write_mesh(mesh: Mesh, folder: str, index: str = "int32", real: str = "float32") -> None:
@@ -92,15 +79,13 @@ def write_mesh(mesh: Mesh, folder: str, index: str = "int32", real: str = "float
             n = _block(mesh.elements.where(F.col("block_id") == b.block_id), f"{folder}/blocks/{b.name}", t.n_nodes, index)
             lines += [f"- name: {b.name}", f"  element_type: {t.name}", f"  elem_num_nodes: {t.n_nodes}", f"  n_elements: {n}"]
     lines += ["points:", *[f"- {c}: {c}.{real}" for c in names], "rpath: true"]
-    Path(folder, "meta.yaml").write_text("\n".join(lines) + "\n")
+    write_meta(folder, lines)
     if mesh.node_mapping is not None:
         write_columns(mesh.node_mapping, {f"{folder}/node_mapping.{index}": "source_id"}, "node_id")
 
 
 def write_sideset(sideset: DataFrame, folder: str, index: str = "int32") -> None:
     """parent, lfi in the order of (parent, lfi), and meta.yaml with the files' true names."""
-    from ..operators.numbering import dense_ids
-
     rows = dense_ids(sideset.select("parent", "lfi"), ["parent", "lfi"], "id")
     n = write_columns(rows, {f"{folder}/parent.{index}": "parent", f"{folder}/lfi.int16": "lfi"})
     Path(folder, "meta.yaml").write_text(f"parent: parent.{index}\nlfi: lfi.int16\nn_sides: {n}\nrpath: true\n")
@@ -143,13 +128,83 @@ def xdmf_of_grid(n: tuple[int, int, int], origin: tuple[float, ...], delta: tupl
 def write_csr(graph: DataFrame, n: int, folder: str, values: bool = True, index: str = "int32", real: str = "float64") -> None:
     """rowptr (n + 1 entries), colidx and values of a graph or matrix (i, j[, value])."""
     from ..operators.graph import row_pointers
-    from ..operators.numbering import dense_ids
 
     write_columns(row_pointers(graph, n).select(F.col("row").alias("id"), "start"), {f"{folder}/rowptr.{index}": "start"})
     rows = dense_ids(graph, ["i", "j"], "id")
     write_columns(rows, {f"{folder}/colidx.{index}": "j"} | ({f"{folder}/values.{real}": "value"} if values and "value" in graph.columns else {}))
 
 
+def write_hex8_cube(spark: SparkSession, folder: str, nx: int, ny: int, nz: int, box: tuple[float, ...] = (0.0, 0.0, 0.0, 1.0, 1.0, 1.0), z_chunk: int = 16, index: str = "int32", real: str = "float32") -> None:
+    """A cube's folder, slab by slab: a task makes and writes z_chunk layers of cells or nodes. Nothing is shuffled or sorted,
+    and a task holds a batch."""
+    from . import generate as G
+
+    mesh = G.hex8_cube(spark, nx, ny, nz, box, slabs=-(-nz // z_chunk))
+    os.makedirs(folder, exist_ok=True)
+    n_nodes = write_columns(mesh.points, {f"{folder}/{c}.{real}": c for c in "xyz"}, "node_id", ordered=True)
+    n = _block(mesh.elements, folder, 8, index, ordered=True)
+    write_meta(folder, [f"spatial_dimension: {mesh.dim}", "elem_num_nodes: 8", "element_type: HEX8", f"n_elements: {n}", f"n_nodes: {n_nodes}", "elements:", *[f"- i{k}: i{k}.{index}" for k in range(8)], "points:", *[f"- {c}: {c}.{real}" for c in "xyz"], "rpath: true"])
+
+
+def write_meta(folder: str, lines: list[str]) -> None:
+    """meta.yaml, in place of the old one at once."""
+    beside = Path(folder, f".meta.yaml.{uuid.uuid4().hex}")
+    beside.write_text("\n".join(lines) + "\n")
+    os.replace(beside, Path(folder, "meta.yaml"))
+
+
+def write_packed(mesh: Mesh, folder: str, max_nodes: int = 1 << 15, index: str = "int32", real: str = "float32") -> int:
+    """A single-block mesh in packs: node_map and points by packed id, and in the block's folder the elements in local ids of
+    16 bits, where each pack's owned nodes and ghosts begin, how many of the owned are shared, and the ghosts' packed ids.
+    Returns the number of packs."""
+    from ..operators import partition
+
+    per = partition.elements_per_pack(mesh, max_nodes)
+    nodes = materialize(partition.packed_nodes(mesh, per))
+    own = nodes.where("class < 2").select(F.col("packed_id").alias("id"), "node_id")
+    most = nodes.groupBy("pack").agg(F.max("local_id").alias("m")).agg(F.max("m")).first()[0]
+    if most is not None and most >= 1 << 15:
+        raise ValueError(f"a pack has {most + 1} nodes; local ids of 16 bits reach to {1 << 15}")
+    os.makedirs(folder, exist_ok=True)
+    write_columns(own, {f"{folder}/node_map.{index}": "node_id"})
+    write_columns(own.join(mesh.points, "node_id"), {f"{folder}/x{k}.{real}": c for k, c in enumerate("xyz"[: mesh.dim])})
+    block = mesh.blocks[0]
+    at, width = f"{folder}/{block.name}", element_type(block.elem_type).n_nodes
+    _block(partition.packed_elements(mesh, per), at, width, "int16")
+    n_packs = -(-mesh.n_elements() // per)
+    counts = nodes.groupBy("pack").agg(*[F.sum(F.col("class").isin(*k).cast("long")).alias(c) for c, k in (("owned", (0, 1)), ("shared", (1,)), ("ghosts", (2,)))])
+    table = materialize(mesh.spark.range(n_packs).withColumnRenamed("id", "pack").join(counts, "pack", "left").fillna(0))
+    for name, column in (("owned_nodes_ptr", "owned"), ("ghost_ptr", "ghosts")):
+        write_columns(running_total(table, "pack", column), {f"{at}/{name}.int64": "start"})
+    write_columns(table, {f"{at}/n_shared.int64": "shared"}, "pack")
+    ghosts = dense_ids(nodes.where("class = 2").select("pack", "local_id", "packed_id"), ["pack", "local_id"], "id")
+    write_columns(ghosts, {f"{at}/ghost_idx.{index}": "packed_id"})
+    write_meta(folder, [f"spatial_dimension: {mesh.dim}", f"element_type: {block.elem_type}", f"n_packs: {n_packs}", f"elements_per_pack: {per}", f"block: {block.name}"])
+    return n_packs
+
+
+def write_blocks(mesh: Mesh, folder: str, size: int = 1 << 15, index: str = "int32") -> int:
+    """A single-block mesh's elements in blocks of `size`, each with local ids of 16 bits by first touch; node_mapping leads a
+    block's local ids back, node_offset says where each block's begin. Returns the number of blocks."""
+    width = element_type(mesh.elem_type).n_nodes
+    long = mesh.elements.select(F.call_function("div", F.col("elem_id"), F.lit(size)).alias("k"), "elem_id", F.posexplode("nodes").alias("lnode", "node_id"))
+    seen = long.groupBy("k", "node_id").agg(F.min(F.struct("elem_id", "lnode")).alias("touch"))
+    nodes = materialize(seen.withColumn("local", F.row_number().over(W.partitionBy("k").orderBy("touch")) - 1))
+    sizes = materialize(nodes.groupBy("k").agg(F.count("*").alias("n")))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most > 1 << 15:
+        raise ValueError(f"a block has {most} nodes; local ids of 16 bits reach to {1 << 15}")
+    local = long.join(nodes.select("k", "node_id", "local"), ["k", "node_id"]).groupBy("elem_id").agg(F.sort_array(F.collect_list(F.struct("lnode", "local"))).alias("x"))
+    os.makedirs(folder, exist_ok=True)
+    n = _block(local.select("elem_id", F.transform("x", lambda s: s["local"]).alias("nodes")), folder, width, "int16")
+    starts = materialize(running_total(sizes, "k", "n"))
+    write_columns(starts, {f"{folder}/node_offset.int64": "start"})
+    at = nodes.join(starts.select(F.col("id").alias("k"), "start"), "k").select((F.col("start") + F.col("local")).alias("id"), "node_id")
+    write_columns(at, {f"{folder}/node_mapping.{index}": "node_id"})
+    write_meta(folder, [f"element_type: {mesh.elem_type}", f"n_elements: {n}", f"block_size: {size}", f"n_blocks: {-(-n // size)}"])
+    return -(-n // size)
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Parquet, one folder a table."""
     for name, df in tables.items():
