@@ -284,3 +284,17 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     (g,) = free(docs, "gone")
     gone = materialize(near_duplicates(docs, doc_id, text, **kwargs).where("not kept").select(F.col(doc_id).alias(g)).distinct())
     return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col(g), "left_anti")
+
+
+#: DuckDB: all classes of equal sets against each other by shared shingles, and what the links reach.
+ORACLE_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)]) end as g from d),
+c as (select list_sort(g) as g, min(doc_id) as c, len(any_value(g)) as n from g where len(g) > 0 group by list_sort(g)),
+t as (select c, n, unnest(g) as x from c),
+p as (select a.c as a, b.c as b from t a join t b using (x) where a.c <> b.c group by a.c, b.c having 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+r as (select a as node, a as root from p union select p.b, r.root from r join p on p.a = r.node),
+m as (select node, min(root) as root from r group by node)
+select g.doc_id, len(g.g)::bigint as n_shingles, coalesce(m.root, c.c, g.doc_id) as component_id, g.doc_id = coalesce(m.root, c.c, g.doc_id) as kept
+from g left join c on len(g.g) > 0 and list_sort(g.g) = c.g left join m on m.node = c.c
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, line_dedup, page_text, secret_scan, url_filter
+from . import decontaminate, hard_negatives, line_dedup, near_dedup, page_text, secret_scan, url_filter
 from .common import shared_dir
 from .chat_format import chat_examples, conversation_digests
 from .decontaminate import contamination
@@ -122,6 +122,7 @@ arcs as (select 'trust' as kind, a as src, b as dst from pairs union all select
 seeds as (select 'trust' as kind, 'c' || c_custkey as host, 1.0::double as weight from customer where c_acctbal >= 5000 union all select 'distrust', 'p' || p_partkey, 1.0 from part where p_retailprice >= 950),
 {url_filter.walk_sql(6)} select kind, host, round(rank, 9) as rank from s6
 """,
+    "op3_near_dedup": near_dedup.ORACLE_SQL,
     "op4_secret_scan": secret_scan.oracle(),
     "op6_decontamination": decontaminate.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
