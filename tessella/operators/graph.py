@@ -127,7 +127,29 @@ def sides(mesh: Mesh, corners_only: bool = False) -> DataFrame:
 
 
 def dual(mesh: Mesh) -> DataFrame:
-    """block1, e1, block2, e2: elements that share exactly as many corner nodes as a side has, in both blocks' types."""
+    """block1, e1, block2, e2: elements that share exactly as many corner nodes as a side has, in both blocks' types.
+
+    Neighbours meet by a side's sorted corners, in one aggregation; the count is taken in the pair's row. Elements that share
+    that many corners without sharing a side (degenerate meshes) are found by `dual_by_count` alone.
+    """
+
+    def rows(elements: DataFrame, t: str) -> DataFrame:
+        base, at = SIDES[linear(t)], corners(t)
+        n = len(base[0])
+        keys = F.array(*[F.array_sort(picked(F.col("nodes"), tuple(at[k] for k in s))) for s in base if len(s) == n])
+        own = F.struct("block_id", "elem_id", F.array_distinct(picked(F.col("nodes"), at)).alias("c")).alias("e")
+        return elements.select(own, F.explode(keys).alias("key"))
+
+    met = by_type(mesh, rows).groupBy("key").agg(F.collect_list("e").alias("m")).where(F.size("m") > 1)
+    pairs = met.select(F.size("key").alias("size"), "m", F.explode("m").alias("a")).select("size", "a", F.explode("m").alias("b"))
+    other = (F.col("a.block_id") != F.col("b.block_id")) | (F.col("a.elem_id") != F.col("b.elem_id"))
+    found = pairs.where(other & (F.size(F.array_intersect("a.c", "b.c")) == F.col("size")))
+    return found.select(F.col("a.block_id").alias("block1"), F.col("a.elem_id").alias("e1"), F.col("b.block_id").alias("block2"), F.col("b.elem_id").alias("e2")).distinct()
+
+
+def dual_by_count(mesh: Mesh) -> DataFrame:
+    """The same by counting shared corners of all pairs of elements around a node: for meshes whose elements may share corners
+    that aren't a side's."""
 
     def rows(elements: DataFrame, t: str) -> DataFrame:
         n = len(SIDES[linear(t)][0])

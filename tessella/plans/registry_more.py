@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elem_types import EDGES
 from ..functions.quadrature import gauss_lobatto
-from ..operators import arrays, convert, distance, geometry, graph, lattice, order, partition, sets, solve, transfer
+from ..operators import arrays, convert, distance, geometry, graph, lattice, order, partition, regions, sets, solve, transfer
 from ..sources import generate as G
 from ..storage import materialize
 from .registry import CELLS, CLOUD, DIMS, FLATPTS, HEX, INC, PTS, QUAD, TET, TETPTS, TRI, _rounded, cells, cloud, cube, edges_sql, query, sides_sql, square, sub_sql, table, vector
@@ -286,6 +286,42 @@ def _on_edge(mesh):
     return mesh.points.where("x <= 0 or y <= 0 or x >= 0.999999 or y >= 0.999999")
 
 
+_CUBE_SIDES = "fc as (select e, lfi, list_sort([nodes[k + 1] for k in f]) as key from (select e, unnest(range(6)) as lfi, unnest([[0, 1, 5, 4], [1, 2, 6, 5], [2, 3, 7, 6], [3, 0, 4, 7], [3, 2, 1, 0], [4, 5, 6, 7]]) as f, nodes from el)), sk as (select any_value(e) as e, any_value(lfi) as lfi from fc group by key having count(*) = 1)"
+
+
+@query("surface_patches", f"with {HEX}, {_CUBE_SIDES}, nu as (select row_number() over (order by e, lfi) - 1 as elem_id, lfi from sk) select elem_id, min(elem_id) over (partition by lfi) as patch from nu")
+def _(spark, d):
+    """The skin of the cube falls into its six faces; its elements are numbered by parent and side."""
+    return regions.surface_patches(sets.skin(cube(spark, d)), 0.9)
+
+
+@query("select_surface", f"with {HEX}, {_CUBE_SIDES}, nu as (select row_number() over (order by e, lfi) - 1 as elem_id, lfi from sk) select elem_id from nu where lfi = 5")
+def _(spark, d):
+    return regions.select_surface(sets.skin(cube(spark, d)), (0.5, 0.45, 1.2), 0.9)
+
+
+def _hops_sql(levels: int) -> str:
+    """Levels of a queue's search written out: l<k>(node, place), each after the last."""
+    out = "l0 as (select 0::bigint as node, 0::bigint as place)"
+    for k in range(1, levels + 1):
+        seen = " union all ".join(f"select node from l{i}" for i in range(max(0, k - 2), k))
+        out += f", r{k} as (select j, min(place) as parent from l{k - 1} join g on g.i = node where j not in ({seen}) group by j), l{k} as (select j as node, row_number() over (order by parent, j) - 1 + (select max(place) + 1 from l{k - 1}) as place from r{k})"
+    return out
+
+
+@query("nodes_by_hops", f"with {HEX}, {INC}, g as (select distinct a.v as i, b.v as j from inc a join inc b using (e)), {_hops_sql(32)}, a as ({' union all '.join(f'select {k} as level, * from l{k}' for k in range(33))}) select node, level, place from a where place < (select (n + 1) * (n + 1) * (n + 1) // 8 from dims) and node is not null")
+def _(spark, d):
+    """An eighth of the cube's nodes, from its corner along the elements."""
+    n = cells(spark, d)
+    return regions.nodes_by_hops(graph.node_to_node(cube(spark, d)), 0, (n + 1) ** 3 // 8)
+
+
+@query("submesh_around", f"with {TET}, {TETPTS}, m as (select count(*) // 10 as m from pts), near as (select node_id from pts order by (x::double - 0.3) ** 2 + (y::double - 0.6) ** 2 + (z::double - 0.2) ** 2, node_id limit (select m from m)), hit as (select distinct e from {'(select e, unnest(nodes) as v from el)'} join near on v = node_id), k as (select e, nodes, row_number() over (order by e) - 1 as elem_id from el join hit using (e)), ids as (select v, row_number() over (order by v) - 1 as w from (select distinct unnest(nodes) as v from k)), f as (select elem_id, unnest(range(4)) as k, unnest(nodes) as v from k) select elem_id, list(w order by k) as nodes from f join ids using (v) group by elem_id")
+def _(spark, d):
+    mesh = cube(spark, d, "TET4")
+    return regions.submesh_around(mesh, (0.3, 0.6, 0.2), mesh.n_nodes() // 10).elements.select("elem_id", "nodes")
+
+
 @query("poisson_square", f"with {DIMS}, {FLATPTS} select node_id as id, round(x::double * (1 - x::double) * y::double * (1 - y::double), 6) as value from pts")
 def _(spark, d):
     """The Poisson problem whose solution is x (1 - x) y (1 - y): on right triangles the scheme is exact for it."""
