@@ -5,12 +5,14 @@ hard-wrapped notices fit however narrow they are. Lines without a word (blank, c
 the word 1- and 2-grams that occur in the licence templates (a vocabulary of fixed size, below VOCABULARY entries, so its
 broadcast is bounded whatever the corpus), 2-grams across its line ends included. A softmax regression with sparse weights
 is fitted on the templates, shortened and padded variants of them and plain sentences; the class "unknown" takes what isn't
-a licence, and a threshold calibrated on held-out plain sentences decides. A prediction is confirmed where the paragraph
-holds enough of the rarer n-grams of one template of the predicted family, or all of a short one (title, SPDX tag), and
-isn't of more lines than that template has words; for a run, no other template may have a larger share in it.
+a licence, and a threshold decides that is calibrated on held-out variants of the notices and held-out plain sentences:
+the one with the fewest errors, which are reported with the model. A prediction is confirmed where the paragraph holds enough
+of the rarer n-grams of one template of the predicted family, or all of a short one (title, SPDX tag) in hardly more words than
+it has, and isn't of more lines than that template has words. A template of another family that fits better rules it out: a
+notice of the Lesser GPL holds most of one of the GPL, and is none.
 
 A finding is a shortest paragraph: none inside it is a licence of its family. Those of a family that overlap count once, at
-the first one's first line.
+the first one's first line; one that lies inside a longer run of another family, or goes over into one, is part of it.
 
 The documents are read once: words are exploded and met by the broadcast vocabulary within one stage, and only
 occurrences of vocabulary entries (and lines without a word) are aggregated, by document and line, with partial sets before
@@ -50,6 +52,29 @@ TEMPLATES = {
     "cc-by": ("licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
     "cc-by-nc": ("licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"),
     "cc-by-sa": ("licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
+    "cc-by-nd": ("licensed under cc by nd 4.0", "this work is licensed under a creative commons attribution noderivatives 4.0 international license"),
+    "cc-by-nc-sa": ("licensed under cc by nc sa 4.0", "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license"),
+    "cc-by-nc-nd": ("licensed under cc by nc nd 4.0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4.0 international license"),
+    "agpl": (
+        "released under the gnu agpl v3 license",
+        "licensed under the gnu affero general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        "you should have received a copy of the gnu affero general public license along with this program",
+    ),
+    "lgpl": (
+        "released under the gnu lgpl v2.1 license",
+        "licensed under the gnu lesser general public license version 2.1",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "you should have received a copy of the gnu lesser general public license along with this library",
+    ),
+    "isc": (
+        "released under the isc license",
+        "licensed under the isc license",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "boost": ("distributed under the boost software license version 1.0", "licensed under the boost software license version 1.0"),
+    "epl": ("licensed under the eclipse public license version 2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"),
+    "eupl": ("licensed under the european union public licence version 1.2", "licensed under the eupl version 1.2"),
     "gpl": (
         "this work is licensed under the gnu general public license version 3",
         "released under the gnu gpl v3 license",
@@ -63,11 +88,22 @@ TEMPLATES = {
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     ),
     "mpl": ("licensed under the mozilla public license version 2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    "proprietary": ("all rights reserved", "copyright all rights reserved no part of this work may be reproduced without prior written permission", "this document is confidential and proprietary"),
+    "proprietary": ("copyright all rights reserved no part of this work may be reproduced without prior written permission", "this document is confidential and proprietary"),
     "public-domain": ("this work is dedicated to the public domain", "this work has been released into the public domain", "cc0 1.0 universal public domain dedication"),
 }
-#: Titles, tags and short forms: confirmed by all of their n-grams.
+#: Titles, tags and short forms: confirmed by all of their n-grams, in a paragraph of at most SLACK words more. Parts around
+#: a bar may stand apart, by APART words at most.
 SHORT = {
+    "agpl": ("gnu affero general public license", "gnu agpl", "spdx license identifier agpl 3.0"),
+    "boost": ("boost software license", "boost software license version 1.0", "spdx license identifier bsl 1.0"),
+    "cc-by-nc-nd": ("creative commons attribution noncommercial noderivatives 4.0 international", "spdx license identifier cc by nc nd 4.0"),
+    "cc-by-nc-sa": ("creative commons attribution noncommercial sharealike 4.0 international", "spdx license identifier cc by nc sa 4.0"),
+    "cc-by-nd": ("creative commons attribution noderivatives 4.0 international", "spdx license identifier cc by nd 4.0"),
+    "epl": ("eclipse public license", "eclipse public license version 2.0", "spdx license identifier epl 2.0"),
+    "eupl": ("european union public licence", "spdx license identifier eupl 1.2"),
+    "isc": ("isc license", "spdx license identifier isc"),
+    "lgpl": ("gnu lesser general public license", "gnu lgpl", "spdx license identifier lgpl 2.1", "spdx license identifier lgpl 3.0"),
+    "proprietary": ("all rights reserved", "copyright | all rights reserved"),
     "apache": ("apache license version 2.0", "apache license 2.0", "apache 2.0 license", "spdx license identifier apache 2.0"),
     "bsd": ("bsd license", "bsd 2 clause license", "bsd 3 clause license", "spdx license identifier bsd 2 clause", "spdx license identifier bsd 3 clause"),
     "cc-by": ("creative commons attribution 4.0 international", "spdx license identifier cc by 4.0"),
@@ -95,6 +131,8 @@ STOP = frozenset("a an and any are as at be been by for from has have his in int
 VOCABULARY = 4000
 #: A template is confirmed at this share of its n-grams, one of SHORT at all of them.
 CONFIRM = 0.6
+#: Words that a paragraph may have beside a short template's own, and beside one of two parts.
+SLACK, APART = 2, 16
 #: The id of a line without a word among those of n-grams.
 BLANK = -1
 WORD_SPLIT = r"[^a-z0-9.]+|\.(?![0-9])"
@@ -113,11 +151,16 @@ def _grams(words: list[str]) -> list[str]:
     return sorted({*one, *two})
 
 
+def _template_grams(text: str) -> list[str]:
+    return sorted({g for part in text.split("|") for g in _grams(_words(part))})
+
+
 class Template(NamedTuple):
     family: str
     grams: frozenset[int]
     need: float
     words: int
+    most: int  # words of a paragraph that it may confirm
 
 
 class Model(NamedTuple):
@@ -127,6 +170,7 @@ class Model(NamedTuple):
     bias: np.ndarray
     threshold: float
     templates: tuple[Template, ...]
+    error: float = 0.0  # mean of the shares of held-out notices missed and of held-out plain sentences taken for one
 
     def probabilities(self, paragraph: str) -> np.ndarray:
         index = {g: i for i, g in enumerate(self.grams)}
@@ -138,9 +182,12 @@ class Model(NamedTuple):
         """Family and probability, as the Spark plan has them."""
         p = self.probabilities(paragraph)
         index = {g: i for i, g in enumerate(self.grams)}
-        have = {index[g] for g in _grams(_words(paragraph)) if g in index}
+        words = _words(paragraph)
+        have = {index[g] for g in _grams(words) if g in index}
         k = int(p[:-1].argmax())
-        sure = any(t.family == self.families[k] and len(have & t.grams) >= t.need for t in self.templates)
+        shares = [(t.family == self.families[k], len(have & t.grams) >= t.need, len(have & t.grams) / len(t.grams)) for t in self.templates if len(words) <= t.most]
+        other = max((share for own, _, share in shares if not own), default=0.0)
+        sure = any(own and enough and share >= other for own, enough, share in shares)
         return (self.families[k], float(p[k])) if p[k] >= self.threshold and p[k] > p[-1] and sure else ("unknown", float(p[-1]))
 
 
@@ -150,19 +197,21 @@ def fitted() -> Model:
     rng = random.Random(7)
     texts = {f: (*ts, *SHORT.get(f, ())) for f, ts in TEMPLATES.items()}
     rows: list[tuple[list[str], int]] = []
+
+    def varied(rng: random.Random, w: list[str], plain: tuple[str, ...], least: float) -> list[str]:
+        filler = _words(rng.choice(plain))
+        return filler[: rng.randrange(6)] + w[: max(4, int(len(w) * rng.uniform(least, 1)))] + filler[: rng.randrange(6)]
+
     for k, family in enumerate(TEMPLATES):
         for t in texts[family]:
             w = _words(t)
             rows += [(w, k)] * 3
-            for _ in range(6):
-                filler = _words(rng.choice(PLAIN[::2]))
-                cut = w[: max(4, int(len(w) * rng.uniform(0.7, 1)))]
-                rows.append((filler[: rng.randrange(6)] + cut + filler[: rng.randrange(6)], k))
+            rows += [(varied(rng, w, PLAIN[::2], 0.7), k) for _ in range(6)]
     rows += [(_words(p), len(families) - 1) for p in PLAIN[::2] for _ in range(3)]
     template_words = sorted({w for ts in texts.values() for t in ts for w in _words(t)})
     for _ in range(200):  # licence words out of any order
         rows.append(([rng.choice(template_words) for _ in range(rng.randrange(1, 5))], len(families) - 1))
-    grams = tuple(sorted({g for ts in texts.values() for t in ts for g in _grams(_words(t))}))
+    grams = tuple(sorted({g for ts in texts.values() for t in ts for g in (*_template_grams(t), *_grams(_words(t)))}))
     assert len(grams) <= VOCABULARY
     index = {g: i for i, g in enumerate(grams)}
     x = np.zeros((len(rows), len(grams)))
@@ -181,12 +230,27 @@ def fitted() -> Model:
         w -= 4.0 * (x.T @ g + 1e-4 * w)
         w = np.sign(w) * np.maximum(np.abs(w) - 2e-4, 0)  # sparse
         b[:-1] -= 4.0 * g.sum(0)[:-1]
-    ids = lambda t: frozenset(index[g] for g in _grams(_words(t)))
-    templates = tuple(Template(f, ids(t), (1 if t in SHORT.get(f, ()) else CONFIRM) * len(ids(t)), len(_words(t))) for f, ts in texts.items() for t in ts)
-    model = Model(families, grams, w, b, 0.0, templates)
-    held = [model.probabilities(p)[:-1].max() for p in PLAIN[1::2]]
-    # Calibrated: above every held-out plain sentence, and never below one half.
-    return model._replace(threshold=float(max(0.5, min(0.9, max(held)))))
+
+    def template(family: str, t: str) -> Template:
+        ids, n, short = frozenset(index[g] for g in _template_grams(t)), len(_words(t)), t in SHORT.get(family, ())
+        return Template(family, ids, (1 if short else CONFIRM) * len(ids), n, n + (APART if "|" in t else SLACK) if short else 1 << 30)
+
+    model = Model(families, grams, w, b, 0.0, tuple(template(f, t) for f, ts in texts.items() for t in ts))
+    # Held out: other variants with other filler, titles as they are, and sentences that weren't trained on.
+    rng = random.Random(8)
+    notices = [(" ".join(varied(rng, _words(t), PLAIN[1::2], 0.9)) if t in TEMPLATES[f] else t.replace("|", "x 2020"), f) for f, ts in texts.items() for t in ts for _ in range(2)]
+    judged = [(model.probabilities(p), model.predict(p)[0], f) for p, f in [*notices, *((p, "unknown") for p in PLAIN[1::2])]]
+    n = (len(notices), len(judged) - len(notices))
+
+    def error(threshold: float) -> float:
+        said = [g if p[:-1].max() >= threshold else "unknown" for p, g, _ in judged]
+        wrong = [a != f for a, (_, _, f) in zip(said, judged)]
+        return (sum(wrong[: n[0]]) / n[0] + sum(wrong[n[0] :]) / n[1]) / 2
+
+    grid = [i / 100 for i in range(30, 96)]
+    least = min(map(error, grid))
+    best = [t for t in grid if error(t) <= least + 1e-12]
+    return model._replace(threshold=best[len(best) // 2], error=least)
 
 
 def _vocabulary(spark: SparkSession, model: Model) -> DataFrame:
@@ -209,17 +273,17 @@ def licence_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     at = rows.select("did", "th", "line", "w", F.posexplode("w").alias("k", "w0")).where(F.col("k") < F.size("w") - 1)
     # One row a word and the pair it opens; a word alone is a key as well.
     over = F.col("k") == F.size("w") - 2
-    keys = at.select("did", "th", "line", over.alias("over"), F.explode(F.array("w0", F.concat_ws(" ", "w0", F.get("w", F.col("k") + 1)))).alias("g"))
+    keys = at.select("did", "th", "line", over.alias("over"), (F.size("w") - 1).alias("words"), F.explode(F.array("w0", F.concat_ws(" ", "w0", F.get("w", F.col("k") + 1)))).alias("g"))
     met = keys.join(vocabulary, (F.xxhash64("g") == F.col("key")) & (F.col("g") == F.col("gram")))
     # Presence, not counts; a line's own n-grams and the pair that it opens towards the next one.
     over = F.col("over") & F.contains("gram", F.lit(" "))
-    lines = met.groupBy("did", "th", "line").agg(F.collect_set(F.when(~over, F.col("gid"))).alias("have"), F.collect_set(F.when(over, F.col("gid"))).alias("ahead"))
-    by = lines.groupBy("did", "th").agg(F.array_sort(F.collect_list(F.struct("line", "have", "ahead"))).alias("ls"))
+    lines = met.groupBy("did", "th", "line").agg(F.collect_set(F.when(~over, F.col("gid"))).alias("have"), F.collect_set(F.when(over, F.col("gid"))).alias("ahead"), F.max("words").alias("words"))
+    by = lines.groupBy("did", "th").agg(F.array_sort(F.collect_list(F.struct("line", "have", "ahead", "words"))).alias("ls"))
     near = by.select("did", "th", F.explode(F.transform("ls", lambda x, i: F.slice("ls", i + 1, most))).alias("near"))
     near = near.where(~F.array_contains(F.get("near", F.lit(0))["have"], BLANK))
     # Templates and weights are literals; what is explode(array(x)) is made once a row, where a filter would repeat it.
     ints = lambda xs: F.array(*map(F.lit, xs))
-    templates = F.array(*[F.struct(ints(sorted(t.grams)).alias("grams"), F.lit(float(t.need)).alias("need"), F.lit(t.words).alias("words"), F.lit(model.families.index(t.family) + 1).alias("f")) for t in model.templates])
+    templates = F.array(*[F.struct(ints(sorted(t.grams)).alias("grams"), F.lit(float(t.need)).alias("need"), F.lit(t.words).alias("words"), F.lit(t.most).alias("most"), F.lit(model.families.index(t.family) + 1).alias("f")) for t in model.templates])
     some = lambda also: F.exists(templates, lambda t: also(t) & (F.size(F.array_intersect("have", t["grams"])) >= t["need"]))
     once = lambda df, name, x: df.select("*", F.explode(F.array(x)).alias(name))
     everything = F.array_distinct(F.flatten(F.transform("near", lambda x: F.concat(x["have"], x["ahead"]))))
@@ -228,8 +292,8 @@ def licence_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     line, last = F.get("run", F.lit(0))["line"], F.element_at("run", -1)["line"]
     runs = runs.where((last - line < most) & ~F.exists("run", lambda x: F.array_contains(x["have"], BLANK)))
     own, ahead = F.transform("run", lambda x: x["have"]), F.transform(F.slice("run", F.lit(1), F.size("run") - 1), lambda x: x["ahead"])
-    runs = once(runs.select("did", "th", line.alias("line"), last.alias("last"), "run"), "have", F.array_distinct(F.flatten(F.concat(own, ahead)))).drop("run")
-    fits = lambda t: F.col("last") - F.col("line") < t["words"]
+    runs = once(runs.select("did", "th", line.alias("line"), last.alias("last"), F.aggregate("run", F.lit(0), lambda a, x: a + x["words"]).alias("words"), "run"), "have", F.array_distinct(F.flatten(F.concat(own, ahead)))).drop("run")
+    fits = lambda t: (F.col("last") - F.col("line") < t["words"]) & (F.col("words") <= t["most"])
     runs = runs.where(some(fits))
     k = len(model.families)
     columns = F.array(*[F.struct(F.lit(float(model.bias[i])).alias("b"), F.array(*[F.lit(float(v)) for v in model.weights[:, i]]).alias("w")) for i in range(k)])
@@ -240,8 +304,9 @@ def licence_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     runs = runs.withColumn("best", F.array_max(own)).withColumn("f", F.array_position(own, F.col("best")).cast("int"))
     runs = runs.where((F.col("best") >= model.threshold) & (F.col("best") > F.col("p")[k - 1]))
     share = lambda t: F.size(F.array_intersect("have", t["grams"])) / F.size(t["grams"])
-    runs = once(runs, "most", F.array_max(F.transform(templates, share)))
-    runs = runs.where(some(lambda t: (t["f"] == F.col("f")) & fits(t) & ((F.col("last") == F.col("line")) | (share(t) >= F.col("most")))))
+    other = lambda t: F.when((t["f"] != F.col("f")) & (F.col("words") <= t["most"]), share(t)).otherwise(0.0)
+    runs = once(runs, "other", F.array_max(F.transform(templates, other)))
+    runs = runs.where(some(lambda t: (t["f"] == F.col("f")) & fits(t) & (share(t) >= F.col("other"))))
     names = F.array(*map(F.lit, model.families))
     shortest = runs.groupBy("did", "th", "line", F.element_at(names, F.col("f")).alias("family")).agg(F.min(F.struct("last", F.col("best").alias("probability"))).alias("x"))
     shortest = shortest.select("did", "th", "line", "x.last", "family", "x.probability")
@@ -249,7 +314,13 @@ def licence_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     inside = F.min("last").over(order.rowsBetween(1, Window.unboundedFollowing)) <= F.col("last")
     shortest = shortest.withColumn("inside", F.coalesce(inside, F.lit(False))).where("not inside").drop("inside")
     overlaps = F.lag("last").over(order) >= F.col("line")
-    return shortest.withColumn("overlaps", F.coalesce(overlaps, F.lit(False))).where("not overlaps").drop("overlaps")
+    shortest = shortest.withColumn("overlaps", F.coalesce(overlaps, F.lit(False))).where("not overlaps").drop("overlaps")
+    # A wrapped notice's first lines alone may be one of a plainer family; the run that goes on counts.
+    order = Window.partitionBy("did", "th").orderBy("line", F.desc("last"))
+    longer = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("last")
+    goes_on = (F.lead("line").over(order) <= F.col("last")) & (F.lead("last").over(order) > F.col("last"))
+    shortest = shortest.withColumn("part", F.coalesce(longer, F.lit(False)) | F.coalesce(goes_on, F.lit(False)))
+    return shortest.where("not part").drop("part")
 
 
 def scanned_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
@@ -264,3 +335,13 @@ def scanned_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     keys = docs.select(F.col(f"`{doc_id}`").alias("did"), F.xxhash64(body).alias("th"))
     out = keys.join(by, F.col("did").cast("long").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft")), "left")
     return out.select(F.col("did").alias("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_licences"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("paragraphs", F.lit("")).alias("paragraphs"))
+
+
+#: DuckDB: the notices that the given tables hold, found as they are written.
+ORACLE_SQL = r"""
+with l as (select doc_id, unnest(range(len(x))) as line, unnest(x) as s from (select doc_id, string_split(lower(coalesce(text, '')), chr(10)) as x from documents)),
+f as (select doc_id, line, case when contains(s, 'licensed under the apache license, version 2.0') then 'apache' when contains(s, 'released under the mit license') then 'mit'
+when contains(s, 'licensed under the gnu general public license, version 3') then 'gpl' when contains(s, 'licensed under cc by-nc 4.0') then 'cc-by-nc' when contains(s, 'all rights reserved') then 'proprietary' end as family from l),
+g as (select doc_id, count(*) as n, string_agg(distinct family, ',' order by family) as families, string_agg(line || ':' || family, ',' order by line) as paragraphs from f where family is not null group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_licences, coalesce(families, '') as families, coalesce(paragraphs, '') as paragraphs from documents left join g using (doc_id)
+"""

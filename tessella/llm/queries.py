@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, line_dedup, near_dedup, page_text, secret_scan, url_filter
+from . import decontaminate, hard_negatives, license_scan, line_dedup, near_dedup, page_text, secret_scan, url_filter
 from .common import shared_dir
 from .chat_format import chat_examples, conversation_digests
 from .decontaminate import contamination
@@ -127,6 +127,7 @@ seeds as (select 'trust' as kind, 'c' || c_custkey as host, 1.0::double as weigh
     "op6_decontamination": decontaminate.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op12_html_extraction": page_text.ORACLE_SQL,
+    "op9_license_scan": license_scan.ORACLE_SQL,
     "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     "op7_chat_format": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
