@@ -112,29 +112,38 @@ def permuted(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 def cuthill_mckee(graph: DataFrame, n: int) -> DataFrame:
     """node, new_id by breadth-first numbering, level by level.
 
-    The seed has the least degree (then id); each further component starts at its lowest id. Within a level, nodes
-    follow their lowest-numbered neighbour before, then degree (row length), then id. A level is a join and a dense
-    numbering; nothing is gathered per node.
+    The seed has the least degree (then id) and its component comes first; each further one, in the order of their lowest
+    ids, starts at that id. Within a level, nodes follow their lowest-numbered neighbour before, then degree (row length),
+    then id. All components advance together, so rounds follow the longest of them; a level is a join of its rim and a dense
+    numbering, and one numbering by component, level and place ends it.
     """
+    from .regions import linked_groups
+
     spark = graph.sparkSession
     edges = materialize(graph.select("i", "j"))
     degree = edges.groupBy("i").agg(F.count("*").alias("d"))
-    nodes = materialize(spark.range(n).select(F.col("id").alias("node")).join(degree, F.col("node") == F.col("i"), "left").select("node", F.coalesce("d", F.lit(0)).alias("d")))
-    done = spark.createDataFrame([], "node long, new_id long")
-    count, front, first = 0, None, True
-    while count < n:
-        if front is None:
-            left = nodes.join(done, "node", "left_anti")
-            seed = (left.orderBy("d", "node") if first else left.orderBy("node")).limit(1)
-            level, first = materialize(seed.select("node", F.lit(count).cast("long").alias("new_id"))), False
-        else:
-            reached = edges.join(front, F.col("i") == F.col("node")).groupBy("j").agg(F.min("new_id").alias("parent")).join(done, F.col("j") == F.col("node"), "left_anti")
-            ranked = reached.join(nodes, F.col("j") == F.col("node")).select("node", "parent", "d")
-            level = materialize(dense_ids(ranked, ["parent", "d", "node"], "new_id", count).select("node", "new_id"))
-        size = level.count()
-        if not size:
-            front = None
-            continue
-        done = materialize(done.unionByName(level))
-        count, front = count + size, level
-    return done
+    groups = linked_groups(edges.select(F.col("i").alias("a"), F.col("j").alias("b"))).members.select(F.col("node").alias("g"), "group")
+    nodes = spark.range(n).select(F.col("id").alias("node")).join(degree, F.col("node") == F.col("i"), "left").join(groups, F.col("node") == F.col("g"), "left")
+    nodes = materialize(nodes.select("node", F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("group", "node").alias("group")))
+    first = nodes.orderBy("d", "node").select("node", "group").first()
+    if first is None:
+        return nodes.select("node", F.col("node").alias("new_id"))
+    # A component's lowest id names it; that of the seed starts elsewhere and goes before the others.
+    seeds = nodes.where("node = group").select(F.when(F.col("group") == first["group"], F.lit(first["node"])).otherwise(F.col("node")).alias("node"), "group")
+    order_ = F.when(F.col("group") == first["group"], F.lit(-1).cast("long")).otherwise(F.col("group"))
+    rim = materialize(dense_ids(seeds.withColumn("o", order_), ["o"], "place").select("node", "place"))
+    levels, before = [rim.withColumn("level", F.lit(0))], rim.limit(0)
+    while True:
+        reached = edges.join(rim.select(F.col("node").alias("i"), "place"), "i").groupBy("j").agg(F.min("place").alias("parent"))
+        new = reached.join(rim.select(F.col("node").alias("j")), "j", "left_anti").join(before.select(F.col("node").alias("j")), "j", "left_anti")
+        ranked = new.join(nodes, F.col("j") == F.col("node")).select("node", "parent", "d")
+        level = materialize(dense_ids(ranked, ["parent", "d", "node"], "place").select("node", "place"))
+        if not level.limit(1).count():
+            break
+        levels.append(level.withColumn("level", F.lit(len(levels))))
+        before, rim = rim, level
+    met = levels[0]
+    for level in levels[1:]:
+        met = met.unionByName(level)
+    met = met.join(nodes, "node").withColumn("o", order_)
+    return dense_ids(met.select("node", "o", "level", "place"), ["o", "level", "place"], "new_id").select("node", "new_id")

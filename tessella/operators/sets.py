@@ -79,9 +79,7 @@ def surface_mesh(mesh: Mesh, sideset: DataFrame, name: str = "surface") -> Mesh:
     """The side set as a mesh of its own; nodes numbered by first touch, node_mapping leads back."""
     rows = dense_ids(sideset_sides(mesh, sideset), ["block_id", "parent", "lfi"], "elem_id")
     rows = rows.select(F.lit(0).alias("block_id"), "elem_id", "nodes")
-    t = element_type(mesh.blocks[0].elem_type)
-    kind = element_type(t.side_type).shell_type or t.side_type
-    return _compacted(mesh, rows, (Block(0, name, kind),))
+    return _compacted(mesh, rows, (Block(0, name, side_type_of(mesh)),))
 
 
 def _compacted(mesh: Mesh, rows: DataFrame, blocks: tuple[Block, ...]) -> Mesh:
@@ -115,6 +113,8 @@ def split_block(mesh: Mesh, chosen: DataFrame, name: str) -> Mesh:
     first = chosen.groupBy("elem_id").agg(F.min("pos").alias("pos"))
     taken = dense_ids(first.join(mesh.elements, "elem_id"), ["pos"], "new").select(F.lit(0).alias("block_id"), F.col("new").alias("elem_id"), "nodes")
     rest = dense_ids(mesh.elements.join(first, "elem_id", "left_anti"), ["elem_id"], "new").select(F.lit(1).alias("block_id"), F.col("new").alias("elem_id"), "nodes")
+    if len(mesh.blocks) != 1:
+        raise ValueError("a mesh of one block is split")
     old = mesh.blocks[0]
     return replace(mesh, elements=taken.unionByName(rest), blocks=(Block(0, name, old.elem_type), Block(1, old.name, old.elem_type)))
 
@@ -211,23 +211,29 @@ def side_links(sides: DataFrame, least: int = 2) -> DataFrame:
     return long.withColumnRenamed("side", "a").join(other, "node_id").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
 
 
+def side_type_of(mesh: Mesh) -> str:
+    """The one type of all sides' surfaces; an error for blocks whose sides differ."""
+    kinds = {element_type(element_type(b.elem_type).side_type).shell_type or element_type(b.elem_type).side_type for b in mesh.blocks}
+    if len(kinds) != 1:
+        raise ValueError(f"sides of several types don't make one block: {sorted(kinds)}")
+    return kinds.pop()
+
+
 def sideset_from_seed(mesh: Mesh, point: tuple[float, float, float], threshold: float) -> DataFrame:
     """parent, lfi, block_id: the boundary side nearest to a point, and all reached from it over neighbours whose unit
     normals have an absolute cosine above the threshold."""
-    skin_ = dense_ids(boundary(mesh), ["block_id", "parent", "lfi"], "side")
-    shell = Mesh(mesh.points, skin_.select(F.lit(0).alias("block_id"), F.col("side").alias("elem_id"), "nodes"), (Block(0, "s", "QUADSHELL4"),), mesh.dim)
-    n_corner = len(SIDES[linear(mesh.blocks[0].elem_type)][0])
-    long = shell.elements.select(F.col("elem_id").alias("side"), F.explode(F.slice("nodes", 1, n_corner)).alias("node_id")).join(mesh.points, "node_id")
+    from .regions import linked_groups, smooth_links
+
+    skin_ = materialize(dense_ids(boundary(mesh), ["block_id", "parent", "lfi"], "side"))
+    kind = side_type_of(mesh)
+    shell = Mesh(mesh.points, skin_.select(F.lit(0).alias("block_id"), F.col("side").alias("elem_id"), "nodes"), (Block(0, "s", kind),), mesh.dim)
+    long = shell.elements.select(F.col("elem_id").alias("side"), F.explode(F.slice("nodes", 1, len(corners(kind)))).alias("node_id")).join(mesh.points, "node_id")
     mid = long.groupBy("side").agg(*[F.avg(F.coalesce(F.col(c), F.lit(0.0)).cast("double")).alias(c) for c in "xyz"])
     d = sum(((F.col(c) - float(p)) * (F.col(c) - float(p)) for c, p in zip("xyz", point)), F.lit(0.0))
-    seed = mid.select("side", d.alias("d")).orderBy("d", "side").limit(1)
-    normals = face_normals(shell).select(F.col("elem_id").alias("side"), "nx", "ny", "nz")
-    a = normals.select(F.col("side").alias("a"), *[F.col(c).alias(f"a{c}") for c in ("nx", "ny", "nz")])
-    b = normals.select(F.col("side").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("nx", "ny", "nz")])
-    cos = F.abs(sum((F.col(f"a{c}") * F.col(f"b{c}") for c in ("nx", "ny", "nz")), F.lit(0.0)))
-    linked = side_links(shell.elements.select(F.col("elem_id").alias("side"), F.slice("nodes", 1, n_corner).alias("nodes")))
-    accepted = linked.join(a, "a").join(b, "b").where(cos > threshold).select("a", "b")
-    return propagate(accepted, seed.select("side")).join(skin_, "side").select("parent", "lfi", "block_id")
+    seed = mid.select("side", d.alias("d")).orderBy("d", "side").limit(1).select("side")
+    groups = materialize(linked_groups(smooth_links(shell, threshold).select(F.col("e1").alias("a"), F.col("e2").alias("b"))).members)
+    reached = groups.join(groups.join(seed, F.col("node") == F.col("side")).select("group"), "group", "left_semi").select(F.col("node").alias("side"))
+    return reached.unionByName(seed).distinct().join(skin_, "side").select("parent", "lfi", "block_id")
 
 
 def nearest_elements(mesh: Mesh, point: tuple[float, float, float], n: int) -> DataFrame:

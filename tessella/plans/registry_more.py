@@ -179,7 +179,16 @@ def _(spark, d):
     return m.incidence().agg(F.count_distinct("elem_id").alias("n_elements"), F.count_distinct("node_id").alias("n_nodes"), F.min("node_id").alias("first_node"))
 
 
-@query("cuthill_mckee")
+def _bandwidth_sql(levels: int) -> str:
+    """Levels of the numbering written out: l<k>(node, place); at every step the least place before, then degree, then id."""
+    out = "dg as (select i, count(*) as d from g group by i), l0 as (select i as node, 0::bigint as place from dg order by d, i limit 1)"
+    for k in range(1, levels + 1):
+        seen = " union all ".join(f"select node from l{i}" for i in range(max(0, k - 2), k))
+        out += f", r{k} as (select j, min(place) as parent from l{k - 1} join g on g.i = node where j not in ({seen}) group by j), l{k} as (select j as node, row_number() over (order by parent, d, j) - 1 + (select max(place) + 1 from l{k - 1}) as place from r{k} join dg on dg.i = j)"
+    return out
+
+
+@query("cuthill_mckee", f"with {TRI}, {INC}, g as (select distinct a.v as i, b.v as j from inc a join inc b using (e)), {_bandwidth_sql(72)} {' union all '.join(f'select node, place as new_id from l{k}' for k in range(73))}")
 def _(spark, d):
     n = cells(spark, d)
     return order.cuthill_mckee(graph.node_to_node(square(spark, d, "TRI3")), (n + 1) ** 2)

@@ -139,6 +139,26 @@ def test_cuthill_mckee_is_a_permutation(spark):
     assert sorted(r.new_id for r in order.cuthill_mckee(g, 9).collect()) == list(range(9))
 
 
+def test_cuthill_mckee_of_several_components(spark):
+    """Against a plain queue: the first component has the least degree, the others start at their lowest ids."""
+    links = [(0, 1), (1, 2), (0, 2), (5, 4), (5, 6), (5, 7), (6, 7), (9, 8)]
+    both = {(a, b) for a, b in links} | {(b, a) for a, b in links}
+    g = spark.createDataFrame(sorted(both), "i long, j long")
+    near = {i: sorted(b for a, b in both if a == i) for i in range(11)}
+    want, todo = [], list(range(11))
+    seed = min(todo, key=lambda i: (len(near[i]), i))
+    while todo:
+        level = [seed]
+        while level:
+            want += level
+            todo = [i for i in todo if i not in level]
+            place = {v: want.index(v) for v in level}
+            new = {j for v in level for j in near[v] if j in todo}
+            level = sorted(new, key=lambda j: (min(place[v] for v in near[j] if v in place), len(near[j]), j))
+        seed = min(todo, default=0)
+    assert [r.node for r in order.cuthill_mckee(g, 11).orderBy("new_id").collect()] == want
+
+
 def test_rules():
     for n in (2, 3, 5, 7, 9, 17):
         x, w = gauss_lobatto(n)
