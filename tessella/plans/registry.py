@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.elem_types import HEX8_SIDES, SIDES, elem_types, side_tables
+from ..functions.elem_types import HEX8_SIDES, elem_types, side_tables
 from ..mesh import Mesh
 from ..operators import geometry, graph, sets
 from ..sources import generate as G
+from . import spelled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,7 +75,7 @@ DIMS = "dims as (select greatest(2, cast(floor(cbrt(count(*)) + 1e-9) as bigint)
 CELLS = f"{DIMS}, cells as (select e, n, e % n as cx, (e // n) % n as cy, e // (n * n) as cz, (n + 1) as w, (n + 1) * (n + 1) as h from (select n, unnest(range(n * n * n)) as e from dims)), based as (select *, cx + cy * w + cz * h as b from cells)"
 HEX = f"{CELLS}, el as (select e, [b, b + 1, b + w + 1, b + w, b + h, b + h + 1, b + h + w + 1, b + h + w] as nodes from based)"
 PTS = "pts as (select id as node_id, cast(0.0 + (id % (n + 1)) * (1.0 / n) as float) as x, cast(0.0 + ((id // (n + 1)) % (n + 1)) * (1.0 / n) as float) as y, cast(0.0 + (id // ((n + 1) * (n + 1))) * (1.0 / n) as float) as z from (select n, unnest(range((n + 1) * (n + 1) * (n + 1))) as id from dims))"
-FACES = str([list(f) for f in G.CELL_FACES])
+FACES = str([list(f) for f in spelled.CELL_FACES])
 TET = f"""{CELLS}, corner as (select e, n, [b, b + 1, b + w + 1, b + w, b + h, b + h + 1, b + h + w + 1, b + h + w] as v, e + w * h as c from based),
 el as (select e * 12 + s as e, [v[f[1] + 1], v[f[2 + s % 2] + 1], v[f[3 + s % 2] + 1], c] as nodes from (select *, {FACES}[s // 2 + 1] as f from (select *, unnest(range(12)) as s from corner)))"""
 TETPTS = PTS.replace("pts as", "grid as") + ", pts as (select * from grid union all select e + w * h, cast((cx + 0.5) * (1.0 / n) as float), cast((cy + 0.5) * (1.0 / n) as float), cast((cz + 0.5) * (1.0 / n) as float) from cells)"
@@ -88,8 +89,8 @@ CLOUD = "cl as (select vec_id as node_id, embedding[1] as x, embedding[2] as y,
 
 def sides_sql(kind: str) -> str:
     """si(e, lfi, nodes, key) from el."""
-    t = str([list(s) for s in SIDES[kind]])
-    n = len(SIDES[kind])
+    t = str([list(s) for s in spelled.SIDES[kind]])
+    n = len(spelled.SIDES[kind])
     return f"si as (select e, s as lfi, [nodes[k + 1] for k in {t}[s + 1]] as nodes, list_sort([nodes[k + 1] for k in {t}[s + 1]]) as key from (select *, unnest(range({n})) as s from el))"
 
 
@@ -228,12 +229,12 @@ def _(spark, d):
     return elem_types(spark)
 
 
-@query("side_tables", "select elem_type, lfi, k, lnode from (values " + ", ".join(f"('{n}', {s}, {k}, {v})" for n, t in SIDES.items() for s, side in enumerate(t) for k, v in enumerate(side)) + ") t(elem_type, lfi, k, lnode)")
+@query("side_tables", "select elem_type, lfi, k, lnode from (values " + ", ".join(f"('{n}', {s}, {k}, {v})" for n, t in spelled.SIDES.items() for s, side in enumerate(t) for k, v in enumerate(side)) + ") t(elem_type, lfi, k, lnode)")
 def _(spark, d):
     return side_tables(spark)
 
 
-@query("hex8_side_names", "select * from (values " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(HEX8_SIDES)) + ") t(lfi, name)")
+@query("hex8_side_names", "select * from (values " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(spelled.HEX8_SIDE_NAMES)) + ") t(lfi, name)")
 def _(spark, d):
     return spark.createDataFrame(list(enumerate(HEX8_SIDES)), "lfi int, name string")
 
@@ -279,9 +280,7 @@ def _(spark, d):
 
 
 def edges_sql(kind: str) -> str:
-    from ..functions.elem_types import EDGES
-
-    return f"select distinct least(nodes[1], nodes[2]) as i, greatest(nodes[1], nodes[2]) as j from ({sub_sql(EDGES[kind])})"
+    return f"select distinct least(nodes[1], nodes[2]) as i, greatest(nodes[1], nodes[2]) as j from ({sub_sql(spelled.EDGES[kind])})"
 
 
 @query("edges_quad4", f"with {QUAD} {edges_sql('QUAD4')}")

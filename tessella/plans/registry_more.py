@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.elem_types import EDGES
 from ..functions.quadrature import gauss_lobatto
 from ..operators import arrays, convert, distance, geometry, graph, lattice, order, partition, regions, sets, solve, transfer
 from ..sources import generate as G
 from ..storage import materialize
+from . import spelled
 from .registry import CELLS, CLOUD, DIMS, FLATPTS, HEX, INC, PTS, QUAD, TET, TETPTS, TRI, _rounded, cells, cloud, cube, edges_sql, query, sides_sql, square, sub_sql, table, vector
 
 # --- conversion and promotion ------------------------------------------------------------------------------------------
 
 
-@query("convert_hex8_to_tet4", f"with {HEX}, o as ({sub_sql(convert.HEX8_TO_TET4)}) select e as elem_id, nodes from o")
+@query("convert_hex8_to_tet4", f"with {HEX}, o as ({sub_sql(spelled.HEX8_TO_TET4)}) select e as elem_id, nodes from o")
 def _(spark, d):
     return convert.convert_to(cube(spark, d), "TET4").elements.select("elem_id", "nodes")
 
 
-@query("convert_quad4_to_tri3", f"with {QUAD}, o as ({sub_sql(convert.QUAD4_TO_TRI3)}) select e as elem_id, nodes from o")
+@query("convert_quad4_to_tri3", f"with {QUAD}, o as ({sub_sql(spelled.QUAD4_TO_TRI3)}) select e as elem_id, nodes from o")
 def _(spark, d):
     return convert.convert_to(square(spark, d, "QUAD4"), "TRI3").elements.select("elem_id", "nodes")
 
@@ -27,7 +27,7 @@ def _(spark, d):
 WEDGE = f"{TRI}, up as (select e, list_concat(nodes, [v + w * w for v in nodes]) as nodes from (select el.e, nodes, n + 1 as w from el, dims))"
 
 
-@query("convert_wedge6_to_tet4", f"with {WEDGE}, o as ({sub_sql(convert.WEDGE6_TO_TET4, 'up')}) select e as elem_id, nodes from o")
+@query("convert_wedge6_to_tet4", f"with {WEDGE}, o as ({sub_sql(spelled.WEDGE6_TO_TET4, 'up')}) select e as elem_id, nodes from o")
 def _(spark, d):
     return convert.convert_to(convert.extrude(square(spark, d, "TRI3"), 1.0, 1), "TET4").elements.select("elem_id", "nodes")
 
@@ -38,7 +38,7 @@ def _(spark, d):
 
 
 P2 = f"ed as ({edges_sql('TET4')}), nn as (select (n + 1) * (n + 1) * (n + 1) + n * n * n as nn from dims), en as (select i, j, row_number() over (order by i, j) - 1 + nn as v from ed, nn)"
-P2EL = f"p2 as (select s.e // 6 as e, s.e % 6 as k, en.v from ({sub_sql(EDGES['TET4'])}) s join en on en.i = least(nodes[1], nodes[2]) and en.j = greatest(nodes[1], nodes[2])), t10 as (select el.e, list_concat(any_value(el.nodes), list(p2.v order by k)) as nodes from el join p2 using (e) group by el.e)"
+P2EL = f"p2 as (select s.e // 6 as e, s.e % 6 as k, en.v from ({sub_sql(spelled.EDGES['TET4'])}) s join en on en.i = least(nodes[1], nodes[2]) and en.j = greatest(nodes[1], nodes[2])), t10 as (select el.e, list_concat(any_value(el.nodes), list(p2.v order by k)) as nodes from el join p2 using (e) group by el.e)"
 
 
 @query("promote_tet10", f"with {TET}, {P2}, {P2EL} select e as elem_id, nodes from t10")
@@ -51,7 +51,7 @@ def _(spark, d):
     return convert.promote_to(cube(spark, d, "TET4"), "TET10").points
 
 
-@query("promote_tri6", f"with {TRI}, ed as ({edges_sql('TRI3')}), en as (select i, j, row_number() over (order by i, j) - 1 + (n + 1) * (n + 1) as v from ed, dims), m as (select s.e // 3 as e, s.e % 3 as k, en.v from ({sub_sql(EDGES['TRI3'])}) s join en on en.i = least(nodes[1], nodes[2]) and en.j = greatest(nodes[1], nodes[2])) select el.e as elem_id, list_concat(any_value(el.nodes), list(m.v order by k)) as nodes from el join m using (e) group by el.e")
+@query("promote_tri6", f"with {TRI}, ed as ({edges_sql('TRI3')}), en as (select i, j, row_number() over (order by i, j) - 1 + (n + 1) * (n + 1) as v from ed, dims), m as (select s.e // 3 as e, s.e % 3 as k, en.v from ({sub_sql(spelled.EDGES['TRI3'])}) s join en on en.i = least(nodes[1], nodes[2]) and en.j = greatest(nodes[1], nodes[2])) select el.e as elem_id, list_concat(any_value(el.nodes), list(m.v order by k)) as nodes from el join m using (e) group by el.e")
 def _(spark, d):
     return convert.promote_to(square(spark, d, "TRI3"), "TRI6").elements.select("elem_id", "nodes")
 
@@ -69,7 +69,7 @@ def _(spark, d):
     return m.elements.agg(F.count("*").alias("n_elements")).crossJoin(v)
 
 
-@query("refine_tet4", f"with {TET}, {P2}, {P2EL}, o as ({sub_sql(convert.TET10_TO_TET4, 't10')}) select e as elem_id, nodes from o")
+@query("refine_tet4", f"with {TET}, {P2}, {P2EL}, o as ({sub_sql(spelled.TET10_TO_TET4, 't10')}) select e as elem_id, nodes from o")
 def _(spark, d):
     return convert.refine(cube(spark, d, "TET4")).elements.select("elem_id", "nodes")
 
