@@ -247,17 +247,17 @@ def _coordinates(folder: str) -> list[str]:
     raise FileNotFoundError(f"{folder}: no coordinates")
 
 
-def read_block(spark: SparkSession, folder: str) -> DataFrame:
+def read_block(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """elem_id, nodes of a folder's i*.* files."""
     paths = _connectivity(folder)
-    rows = read_columns(spark, paths)
+    rows = read_columns(spark, paths, split_bytes=split_bytes)
     return rows.select(F.col("id").alias("elem_id"), F.array(*[F.col(f"c{k}").cast("long") for k in range(len(paths))]).alias("nodes"))
 
 
-def read_points(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+def read_points(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, int]:
     """node_id, x, y, z and the number of dimensions."""
     paths = _coordinates(folder)
-    rows = read_columns(spark, paths, raw="float32")
+    rows = read_columns(spark, paths, raw="float32", split_bytes=split_bytes)
     at = [(F.col(f"c{k}").cast("float") if k < len(paths) else F.lit(None).cast("float")).alias(c) for k, c in enumerate("xyz")]
     return rows.select(F.col("id").alias("node_id"), *at), len(paths)
 
@@ -268,19 +268,19 @@ def read_meta(folder: str) -> dict:
     return yaml.safe_load(files.text(f"{folder.rstrip('/')}/meta.yaml") or "") or {}
 
 
-def read_mesh(spark: SparkSession, folder: str, use_macro: bool = False) -> Mesh:
-    """A single- or multi-block mesh folder."""
+def read_mesh(spark: SparkSession, folder: str, use_macro: bool = False, split_bytes: int = SPLIT_BYTES) -> Mesh:
+    """A single- or multi-block mesh folder; every partition reads about split_bytes of its widest column."""
     meta = read_meta(folder)
-    points, dim = read_points(spark, folder)
+    points, dim = read_points(spark, folder, split_bytes)
     if meta.get("blocks"):
         rows, blocks = None, []
         for k, b in enumerate(meta["blocks"]):
-            part = read_block(spark, os.path.join(folder, "blocks", b["name"])).select(F.lit(k).alias("block_id"), "elem_id", "nodes")
+            part = read_block(spark, os.path.join(folder, "blocks", b["name"]), split_bytes).select(F.lit(k).alias("block_id"), "elem_id", "nodes")
             rows = part if rows is None else rows.unionByName(part)
             blocks.append(Block(k, b["name"], b["element_type"]))
         mesh = Mesh(points, rows, tuple(blocks), dim)
     else:
-        rows = read_block(spark, folder)
+        rows = read_block(spark, folder, split_bytes)
         kind = meta.get("element_type") or type_of_size(len(_connectivity(folder)))
         kind = NAMES.get(kind, kind) if isinstance(kind, int) else kind
         element_type(kind)

@@ -173,3 +173,33 @@ def test_distance_of_points_beyond_one_cell(spark):
     want = {i: min(math.dist([v or 0.0 for v in p], s) for _, *s in surface) for i, *p in points}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
     assert [r.distance for r in geometry.signed_distance(df(points), df([])).collect()] == [None] * 5
+
+
+def test_side_tables_look_outward_and_parts_fill_their_element():
+    """On reference shapes: sides' normals lead away from the middle, nodes between corners lie between them, and the parts
+    that an element is cut into have positive volumes that add up."""
+    import numpy as np
+
+    from tessella.operators import convert
+
+    tet = np.array([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)], float)
+    hexa = np.array([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)], float)
+    wedge = np.array([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (0, 1, 1)], float)
+    mid = lambda p, pairs: np.concatenate([p, [(p[a] + p[b]) / 2 for a, b in pairs]])
+    tet10 = mid(tet, [(0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3)])
+    hexa20 = mid(hexa, [(0, 1), (1, 2), (2, 3), (3, 0), (4, 5), (5, 6), (6, 7), (7, 4), (0, 4), (1, 5), (2, 6), (3, 7)])
+    hexa27 = np.concatenate([hexa20, [hexa[list(s)].mean(0) for s in E.SIDES["HEX8"]], [hexa.mean(0)]])
+    for kind, p in (("TET4", tet), ("HEX8", hexa), ("WEDGE6", wedge)):
+        for s in E.SIDES[kind]:
+            q = p[list(s)]
+            assert np.cross(q[1] - q[0], q[2] - q[0]) @ (q.mean(0) - p.mean(0)) > 0, (kind, s)
+    for kind, p, n in (("TET10", tet10, 3), ("HEX27", hexa27, 4)):
+        for s in E.SIDES[kind]:
+            q = p[list(s)]
+            for k in range(n):
+                assert np.allclose(q[n + k], (q[k] + q[(k + 1) % n]) / 2), (kind, s)
+            assert n == 3 or np.allclose(q[8], q[:4].mean(0))
+    volume = lambda q: float(np.linalg.det(np.stack([q[1] - q[0], q[2] - q[0], q[3] - q[0]])) / 6)
+    for pattern, p, whole in ((convert.HEX8_TO_TET4, hexa, 1), (convert.WEDGE6_TO_TET4, wedge, 1 / 2), (convert.TET10_TO_TET4, tet10, 1 / 6)):
+        parts = [volume(p[list(t)]) for t in pattern]
+        assert min(parts) > 0 and math.isclose(sum(parts), whole)
