@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.quadrature import gauss_lobatto
-from ..operators import arrays, convert, distance, geometry, graph, lattice, order, partition, regions, sets, solve, transfer
+from ..operators import arrays, convert, distance, geometry, graph, lattice, order, partition, project, regions, sets, solve, transfer
 from ..sources import generate as G
 from ..storage import materialize
 from . import spelled
@@ -179,6 +179,36 @@ def _(spark, d):
     return m.incidence().agg(F.count_distinct("elem_id").alias("n_elements"), F.count_distinct("node_id").alias("n_nodes"), F.min("node_id").alias("first_node"))
 
 
+@query("l2_projection", f"with {DIMS}, {PTS} select node_id as id, round(1 + 2 * x::double - 3 * y::double + 0.5 * z::double, 6) + 0.0 as value from pts")
+def _(spark, d):
+    """A linear function is its own projection."""
+    return project.l2_projection(cube(spark, d), 1 + 2 * F.col("x") - 3 * F.col("y") + 0.5 * F.col("z")).select("id", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("l2_loads", f"with {CELLS} select e as elem_id, k, round((cx + case when k in (1, 2, 5, 6) then 2.0 / 3 else 1.0 / 3 end)::double, 3) as value from (select *, unnest(range(8)) as k from cells)")
+def _(spark, d):
+    """Integrals of x against the corners' functions, in closed form, in units of an eighth of a cell's size and length."""
+    mesh, n = cube(spark, d), cells(spark, d)
+    b = project.l2_loads(project.quadrature_points(mesh), F.col("x"))
+    long = b.select("elem_id", F.posexplode(F.array(*[f"b{k}" for k in range(8)])).alias("k", "value"))
+    return long.select("elem_id", "k", F.round(F.col("value") * (8.0 * n**4), 3).alias("value"))
+
+
+@query("lattice_micro_adjugate", f"with {DIMS} select e as elem_id, k, round(case when k in (0, 4, 8) then 1.0 / (9 * n * n) when k = 9 then 1.0 / (27 * n * n * n) else 0.0 end, 7) + 0.0 as value from (select n, unnest(range(n * n * n)) as e from dims), lateral (select unnest(range(10)) as k)")
+def _(spark, d):
+    """Of a third of a cell: nine entries of the adjugate and the determinant."""
+    a = project.micro_adjugate(project.macro_adjugate(lattice.to_semistructured(cube(spark, d), 3)), 3)
+    long = a.select("elem_id", F.posexplode(F.array(*[f"a{k}" for k in range(9)], "det")).alias("k", "value"))
+    return long.select("elem_id", "k", (F.round("value", 7) + 0.0).alias("value"))
+
+
+@query("lattice_macro_fff", f"with {DIMS} select e as elem_id, k, round(case when k in (0, 3, 5) then 1.0 / n else 0.0 end, 5) + 0.0 as value from (select n, unnest(range(n * n * n)) as e from dims), lateral (select unnest(range(6)) as k)")
+def _(spark, d):
+    f = project.macro_fundamental_form(lattice.to_semistructured(cube(spark, d), 2))
+    long = f.select("elem_id", F.posexplode(F.array(*[f"f{k}" for k in range(6)])).alias("k", "value"))
+    return long.select("elem_id", "k", (F.round("value", 5) + 0.0).alias("value"))
+
+
 def _bandwidth_sql(levels: int) -> str:
     """Levels of the numbering written out: l<k>(node, place); at every step the least place before, then degree, then id."""
     out = "dg as (select i, count(*) as d from g group by i), l0 as (select i as node, 0::bigint as place from dg order by d, i limit 1)"
