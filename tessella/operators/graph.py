@@ -79,6 +79,27 @@ def node_to_node(mesh: Mesh, elem_type: str | None = None) -> DataFrame:
     return by_type(mesh, rows).distinct()
 
 
+def micro_node_to_node(mesh: Mesh) -> DataFrame:
+    """i, j of a hexahedral lattice's nodes over its micro elements, a node's own included: neighbours by index arithmetic inside
+    the macro element's row. Nodes inside an element have all of theirs there; only rows of nodes on its sides are shuffled."""
+    t = element_type(mesh.elem_type)
+    if not t.semistructured or t.dim != 3:
+        raise ValueError(f"{mesh.elem_type} is no hexahedral lattice")
+    n, w = t.level, t.level + 1
+    step = F.array(*[F.struct(*[F.lit(s).alias(c) for c, s in zip("abc", (a, b, c))]) for c in (-1, 0, 1) for b in (-1, 0, 1) for a in (-1, 0, 1)])
+    k = F.col("k")
+    at = mesh.elements.select("nodes", F.posexplode("nodes").alias("k", "i"))
+    at = at.select("nodes", "i", (k % w).alias("x"), (F.call_function("div", k, F.lit(w)) % w).alias("y"), F.call_function("div", k, F.lit(w * w)).alias("z"))
+    near = at.select("*", F.explode(step).alias("s"))
+    px, py, pz = (F.col(c) + F.col(f"s.{s}") for c, s in zip("xyz", "abc"))
+    near = near.where(px.between(0, n) & py.between(0, n) & pz.between(0, n)).select("i", F.get("nodes", ((pz * w + py) * w + px).cast("int")).alias("j"), *"xyz")
+    inside = F.lit(True)
+    for c in "xyz":
+        inside = inside & (F.col(c) > 0) & (F.col(c) < n)
+    rows = near.select("i", "j", inside.alias("inside"))
+    return rows.where("inside").select("i", "j").unionByName(rows.where("not inside").select("i", "j").distinct())
+
+
 def upper_triangular(mesh: Mesh) -> DataFrame:
     """i, j with j > i; the filter stands before the distinct, so half of the pairs is shuffled."""
 

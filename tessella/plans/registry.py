@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.elem_types import HEX8_SIDES, elem_types, side_tables
 from ..mesh import Mesh
 from ..operators import geometry, graph, sets
@@ -113,6 +114,21 @@ def _(spark, d):
     return cube(spark, d).points
 
 
+@query("table_hex8_cube", f"with {HEX} select e as elem_id, nodes from el")
+def _(spark, d):
+    """The generator as a table function of SQL."""
+    tables.register(spark)
+    n = cells(spark, d)
+    return spark.sql(f"select c.* from range({n}) layers, lateral hex8_layer(layers.id, {n}, {n}) c")
+
+
+@query("table_hex8_points", f"with {DIMS}, {PTS} select * from pts")
+def _(spark, d):
+    tables.register(spark)
+    n = cells(spark, d)
+    return spark.sql(f"select p.* from range({n + 1}) layers, lateral hex8_layer_points(layers.id, {n}, {n}, {n}) p")
+
+
 @query("gen_hex8_reference_cube", "select 0 as block_id, 0 as elem_id, [0, 1, 3, 2, 4, 5, 7, 6] as nodes")
 def _(spark, d):
     return G.hex8_reference_cube(spark).elements

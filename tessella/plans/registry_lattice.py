@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh
-from ..operators import convert, lattice, sets, transfer
+from ..operators import convert, graph, lattice, sets, transfer
 from ..storage import materialize
 from .registry import CELLS, DIMS, FLAT, cells, cube, query, square
 
@@ -217,3 +217,15 @@ def _(spark, d):
     cols = _at(coarse, 2 * n, "ij").select(F.col("node_id").alias("col"), F.col("i").alias("ic"), F.col("j").alias("jc"))
     got = entries.select(F.col("i").alias("row"), F.col("j").alias("col"), "value", "k").join(length, "row").where("k >= start and k < stop")
     return got.join(rows, "row").join(cols, "col").select("i", "j", "ic", "jc", "value", "row_length")
+
+
+@query("lattice_node_to_node", f"with {DIMS}, a as (select i, j, k, n from dims, lateral (select unnest(range(n * 2 + 1)) as i) ri, lateral (select unnest(range(n * 2 + 1)) as j) rj, lateral (select unnest(range(n * 2 + 1)) as k) rk), s as (select unnest([-1, 0, 1]) as s) select i, j, k, i + x.s as ni, j + y.s as nj, k + z.s as nk from a, s x, s y, s z where i + x.s between 0 and 2 * n and j + y.s between 0 and 2 * n and k + z.s between 0 and 2 * n")
+def _(spark, d):
+    """Neighbours over the micro elements of level 2, by where both nodes are."""
+    n = cells(spark, d)
+    mesh = lattice.to_semistructured(cube(spark, d), 2)
+    at = materialize(_at(mesh, 2 * n))
+    other = at.select(F.col("node_id").alias("j_"), F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("k").alias("nk"))
+    pairs = graph.micro_node_to_node(mesh).select(F.col("i").alias("i_"), F.col("j").alias("j_"))
+    return pairs.join(at, F.col("i_") == F.col("node_id")).join(other, "j_").select("i", "j", "k", "ni", "nj", "nk")
+

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.mesh import Mesh
-from tessella.operators import lattice, project, transfer
+from tessella.operators import graph, lattice, project, transfer
 from tessella.sources import generate as G
 
 CORNERS = np.array([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)], float)
@@ -71,5 +71,7 @@ def test_micro_geometry_and_element_matrix_equal_the_refined_mesh(spark):
     for r in cells.elements.collect():
         np.add.at(want, r.nodes, matrix @ u[r.nodes])
     assert np.allclose(out, want)
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(graph.micro_node_to_node(fine)) == same(graph.node_to_node(cells))
     with pytest.raises(ValueError, match="lattice"):
         project.macro_adjugate(G.hex8_cube(spark, 1, 1, 1))
