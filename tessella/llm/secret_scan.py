@@ -15,6 +15,7 @@ gives none; other columns are carried, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +42,18 @@ RULES = (*BASE_RULES, Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0,
 RULE_VERSION = "1"
 
 
+def rules_version(rules: tuple[Rule, ...], version: str = RULE_VERSION) -> str:
+    """What the ledger keeps: the given version and a digest of the rules, so that other rules never pass for scanned ones."""
+    return f"{version}-{hashlib.sha256(repr([tuple(r) for r in rules]).encode()).hexdigest()[:16]}"
+
+
+def _may_hit(rules: tuple[Rule, ...]) -> Column:
+    hit = F.lit(False)
+    for r in rules:
+        hit = hit | F.col("text").rlike(r.pattern)
+    return hit
+
+
 def _steps(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<rank, i, gap, hit, sized>>: lengths of a rule's matches in a text and of what lies before each."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -55,12 +68,9 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Positions are running sums over a blob's matches, sorted within the tasks that the blobs already are dealt to.
     """
-    hit = F.lit(False)
-    for r in rules:
-        hit = hit | F.col("text").rlike(r.pattern)
     none = F.expr("cast(array() as array<struct<rank:int,i:int,gap:bigint,hit:bigint,sized:int>>)")
     steps = F.concat(*[F.when(F.col("text").rlike(r.pattern), _steps(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)])
-    rows = blobs.where(hit).select("blob", F.explode(steps).alias("s")).select("blob", "s.*")
+    rows = blobs.where(_may_hit(rules)).select("blob", F.explode(steps).alias("s")).select("blob", "s.*")
     end = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("end", end)
     least, kinds = F.array(*[F.lit(r.least) for r in rules]), F.array(*[F.lit(r.kind) for r in rules])
@@ -76,6 +86,7 @@ def scan_versions(versions: DataFrame, text: str = "text", ledger: str | None =
     ledger: a Parquet folder of blob, rule_version, spans that earlier calls have filled; scanned pairs are added to it,
     those without spans too. A pair that stands there repeatedly (of calls that ran at once, or were retried) counts once.
     """
+    version = rules_version(rules, version)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     blob = F.sha2(body, 256)
     b, s, other = free(versions, "blob", "spans", "found")
@@ -91,8 +102,8 @@ def scan_versions(versions: DataFrame, text: str = "text", ledger: str | None =
                 raise
         if past is not None:
             unseen = unseen.join(past.select("blob"), "blob", "left_anti")
-    # One text a blob: partial aggregation drops a task's own copies before the shuffle.
-    unique = unseen.groupBy("blob").agg(F.first("text").alias("text"))
+    # One text a blob, of those that some rule matches: partial aggregation drops a task's own copies before the shuffle.
+    unique = unseen.where(_may_hit(rules)).groupBy("blob").agg(F.first("text").alias("text"))
     found = scan_blobs(unique, rules)
     if ledger is not None:
         pairs = unseen.select("blob").distinct().join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), "spans")

@@ -46,6 +46,10 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert sorted(twice) == sorted(again) and spark.read.parquet(ledger + "2").count() == 6
     S.scan_versions(docs(spark, [(1, TEXTS[4])]), ledger=ledger, version="2").collect()
     assert spark.read.parquet(ledger).count() == 4
+    # A rule more under the same version: every blob is scanned anew.
+    more = (*S.RULES, S.Rule("word", "clean", 0, 1))
+    added = S.span_digests(S.scan_versions(docs(spark, [(1, TEXTS[4]), (2, "clean")]), ledger=ledger, rules=more)).collect()
+    assert {r.doc_id: r.spans for r in added}[2] == "word:0:5" and spark.read.parquet(ledger).count() == 6
 
 
 def test_very_many_matches(spark):
