@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -79,3 +80,28 @@ def test_rare_and_many_languages(spark):
     got = {r.doc_id: r for r in L.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, host=None, declared="lang").collect()}
     assert {(got[k].lang, got[k].kept) for k in range(len(es) - 30)} == {("es", True)}
     assert [got[k].kept for k in (100, 101, 102, 103)] == [True, False, False, False]
+
+
+def test_every_kind_of_evidence_decides_where_the_others_are_silent(spark):
+    """A word that two languages share, told apart by declaration, address suffix, host and the host's parent in turn."""
+    d = spark.read.parquet(SF).where("length(text) > 400")
+    model = L.fit(spark.read.parquet(SF))
+    two = [model.languages.index(x) for x in ("de", "fr")]
+    apart = lambda w: abs(np.subtract(*model.likelihoods(w)[two])) + max(0.0, model.likelihoods(w).max() - model.likelihoods(w)[two].min())
+    word = min(("".join(x) for n in (1, 2) for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=n)), key=apart)
+    texts = {lang: [r.text for r in d.where(f"lang = '{lang}'").orderBy("doc_id").limit(25).collect()] for lang in ("de", "fr")}
+    rows, k = [], 1000
+    for lang, site in (("fr", "a.one.org"), ("de", "a.two.org")):
+        for t in texts[lang]:
+            rows.append((k, t, site, None))
+            k += 1
+    asked = {1: ("plain", None), 2: ("plain", "de"), 3: ("plain", "fr"), 4: ("x.de", None), 5: ("x.fr", None), 6: ("a.one.org", None), 7: ("a.two.org", None), 8: ("b.one.org", None), 9: ("b.two.org", None)}
+    rows += [(i, word, site, said) for i, (site, said) in asked.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, site string, said string")
+    got = {r.doc_id: r.lang for r in L.identified(df, model, host="site", declared="said").collect()}
+    assert (got[2], got[3]) == ("de", "fr")  # declarations
+    assert (got[4], got[5]) == ("de", "fr")  # suffixes
+    assert (got[6], got[7]) == ("fr", "de")  # what else the host has
+    assert (got[8], got[9]) == ("fr", "de")  # what the host's siblings have
+    alone = {r.doc_id: r.lang for r in L.identified(df.where("doc_id < 10"), model, host=None).collect()}
+    assert len({alone[i] for i in asked}) == 1
