@@ -26,6 +26,39 @@ def skin_sideset(mesh: Mesh) -> DataFrame:
     return boundary(mesh).select("parent", "lfi", "block_id")
 
 
+def _held_nodes(mesh: Mesh) -> Mesh:
+    """The mesh with the nodes that count for containment: all of an element's, of a lattice its corners, as its linear type."""
+    rows = graph.by_type(mesh, lambda elements, t: elements.select("block_id", "elem_id", graph.picked(F.col("nodes"), corners(t)).alias("nodes")) if element_type(t).semistructured else elements.select("block_id", "elem_id", "nodes"))
+    kinds = tuple(replace(b, elem_type=linear(b.elem_type)) if element_type(b.elem_type).semistructured else b for b in mesh.blocks)
+    return replace(mesh, elements=rows, blocks=kinds)
+
+
+def uncovered_sides(mesh: Mesh) -> DataFrame:
+    """parent, lfi, block_id: sides for which no other element holds all their nodes, whether as a side of its own or not. A
+    triangle on a hexahedron's quadrilateral is inner, the quadrilateral isn't; where all sides meet whole, this is `skin_sideset`.
+
+    Sides with equal nodes meet in one aggregation first, so only those that are left look for other elements, through the node
+    of theirs that the fewest elements have. Two equal sides of one element don't cover each other, nor do a side's repeated nodes
+    count twice. An empty mesh has none.
+    """
+    mesh = _held_nodes(mesh)
+    side = graph.sides(mesh).select(F.struct("block_id", "elem_id").alias("own"), F.expr("shiftleft(1, cast(lfi as int))").alias("bit"), F.array_sort(F.array_distinct("nodes")).alias("held"))
+    met = side.groupBy("held").agg(F.min("own").alias("own"), F.max("own").alias("last"), F.bit_or("bit").alias("bits")).where("own = last")
+    left = materialize(met.select("own.block_id", "own.elem_id", "bits", "held"))
+
+    at = mesh.elements.select("block_id", "elem_id", F.explode(F.array_distinct("nodes")).alias("node_id"))
+    degree = at.groupBy("node_id").agg(F.count("*").alias("n"))
+    mine = left.select("block_id", "elem_id", "bits", F.explode("held").alias("node_id")).join(degree, "node_id")
+    keyed = mine.groupBy("block_id", "elem_id", "bits").agg(F.min(F.struct("n", "node_id"))["node_id"].alias("node_id"), F.collect_list("node_id").alias("held"))
+    other = at.select("node_id", F.col("block_id").alias("other_block"), F.col("elem_id").alias("other"))
+    near = keyed.join(other, "node_id").where("other_block <> block_id or other <> elem_id")
+    whole = mesh.elements.select(F.col("block_id").alias("other_block"), F.col("elem_id").alias("other"), "nodes")
+    covered = near.join(whole, ["other_block", "other"]).where(F.size(F.array_except("held", "nodes")) == 0).select("block_id", "elem_id", "bits").distinct()
+    rest = left.join(covered, ["block_id", "elem_id", "bits"], "left_anti")
+    lfi = F.expr("explode(filter(sequence(0, 30), k -> (bits & shiftleft(1, k)) <> 0))")
+    return rest.select("block_id", F.col("elem_id").alias("parent"), lfi.alias("lfi")).select("parent", F.col("lfi").cast("short").alias("lfi"), "block_id")
+
+
 def sideset_sides(mesh: Mesh, sideset: DataFrame) -> DataFrame:
     """block_id, parent, lfi, nodes of a side set's sides."""
     s = graph.sides(mesh).select("block_id", F.col("elem_id").alias("parent"), "lfi", "nodes")

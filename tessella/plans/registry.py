@@ -519,4 +519,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import registry_io, registry_lattice, registry_more  # noqa: E402,F401  the other queries
+from . import registry_io, registry_lattice, registry_more, registry_sides  # noqa: E402,F401  the other queries
