@@ -69,6 +69,13 @@ def scatter(array: DataFrame, index: DataFrame) -> DataFrame:
     return array.join(index, "id").select(F.col("target").alias("id"), "value")
 
 
+def coarse_entries(entries: DataFrame, most: int) -> DataFrame:
+    """entries: id, index and any more -> those whose index is at most `most`, numbered anew from 0 in their old order. Null
+    indices are left out."""
+    kept = dense_ids(entries.where(F.col("index") <= most), ["id"], "at")
+    return kept.select(F.col("at").alias("id"), *[c for c in entries.columns if c != "id"])
+
+
 def override(array: DataFrame, ids: DataFrame, value: float) -> DataFrame:
     """array with listed entries overwritten."""
     hit = ids.select("id").distinct().withColumn("hit", F.lit(True))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..mesh import Block, Mesh
-from ..operators import colocated, convert, sets
+from ..operators import arrays, colocated, convert, sets
 from ..sources import raw, sinks
 from . import spelled
-from .registry import HEX, SKIN, cells, cube, query, sides_sql
+from .registry import HEX, SKIN, TET, TETPTS, cells, cube, query, sides_sql, table
 from .registry_io import _folder
 
 PARTS = 5
@@ -59,3 +59,35 @@ def _(spark, d):
     sinks.write_sideset(sets.skin_sideset(mesh), at, index="int64")
     out = colocated.redistributed(mesh, raw.read_sideset(spark, at), PARTS, buckets=8)
     return out.select("part", "parent", F.col("lfi").cast("int").alias("lfi"), "local_parent", "nodes")
+
+
+def _described(spark, d) -> Mesh:
+    """A stored mesh of tetrahedra whose arrays have names and types of their own, read by naming each of them."""
+    mesh, at = cube(spark, d, "TET4"), _folder(spark, "described")
+    names = {c: f"where/{c}_of_nodes.float64" for c in "xyz"}
+    n_nodes = sinks.write_columns(mesh.points, {f"{at}/{f}": c for c, f in names.items()}, "node_id")
+    corners = [f"topology/corner{k}.int64" for k in range(4)]
+    n = sinks.write_columns(mesh.elements.select("elem_id", *[F.get("nodes", F.lit(k)).alias(f"n{k}") for k in range(4)]), {f"{at}/{f}": f"n{k}" for k, f in enumerate(corners)}, "elem_id")
+    listed = {"points": [{c: f} for c, f in names.items()], "elements": [{f"i{k}": f} for k, f in enumerate(corners)]}
+    return raw.mesh_from_description(spark, {"type": "file", "path": at, "spatial_dimension": 3, "n_nodes": n_nodes, "element_type": "TET4", "elem_num_nodes": 4, "n_elements": n} | listed)
+
+
+@query("described_elements", f"with {TET} select e as elem_id, nodes from el")
+def _(spark, d):
+    return _described(spark, d).elements.select("elem_id", "nodes")
+
+
+@query("described_points", f"with {TET}, {TETPTS} select node_id, x, y, z from pts")
+def _(spark, d):
+    return _described(spark, d).points
+
+
+@query(
+    "coarse_entries",
+    "with half as (select count(*) // 2 as most from customer) select row_number() over (order by o_orderkey) - 1 as id, o_custkey as index, o_totalprice as value from orders, half where o_custkey <= most",
+)
+def _(spark, d):
+    """The values of the orders whose customer is in the lower half."""
+    most = table(spark, d, "customer").count() // 2
+    entries = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("index"), F.col("o_totalprice").alias("value"))
+    return arrays.coarse_entries(entries, most)

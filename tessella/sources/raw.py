@@ -226,14 +226,14 @@ def file_size(path: str) -> int:
     return files.size(path)
 
 
-def _connectivity(folder: str) -> list[str]:
+def connectivity_files(folder: str) -> list[str]:
     found = {int(m[1]): f"{folder.rstrip('/')}/{n}" for n in files.names(folder) if (m := re.fullmatch(r"i(\d+)\.(raw|int16|int32|int64)", n))}
     if sorted(found) != list(range(len(found))) or not found:
         raise FileNotFoundError(f"{folder}: connectivity columns are missing")
     return [found[k] for k in range(len(found))]
 
 
-def _coordinates(folder: str) -> list[str]:
+def coordinate_files(folder: str) -> list[str]:
     there = set(files.names(folder))
     for names in (("x", "y", "z"), ("x0", "x1", "x2")):
         found = []
@@ -249,14 +249,14 @@ def _coordinates(folder: str) -> list[str]:
 
 def read_block(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """elem_id, nodes of a folder's i*.* files."""
-    paths = _connectivity(folder)
+    paths = connectivity_files(folder)
     rows = read_columns(spark, paths, split_bytes=split_bytes)
     return rows.select(F.col("id").alias("elem_id"), F.array(*[F.col(f"c{k}").cast("long") for k in range(len(paths))]).alias("nodes"))
 
 
 def read_points(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, int]:
     """node_id, x, y, z and the number of dimensions."""
-    paths = _coordinates(folder)
+    paths = coordinate_files(folder)
     rows = read_columns(spark, paths, raw="float32", split_bytes=split_bytes)
     at = [(F.col(f"c{k}").cast("float") if k < len(paths) else F.lit(None).cast("float")).alias(c) for k, c in enumerate("xyz")]
     return rows.select(F.col("id").alias("node_id"), *at), len(paths)
@@ -281,7 +281,7 @@ def read_mesh(spark: SparkSession, folder: str, use_macro: bool = False, split_b
         mesh = Mesh(points, rows, tuple(blocks), dim)
     else:
         rows = read_block(spark, folder, split_bytes)
-        kind = meta.get("element_type") or type_of_size(len(_connectivity(folder)))
+        kind = meta.get("element_type") or type_of_size(len(connectivity_files(folder)))
         kind = NAMES.get(kind, kind) if isinstance(kind, int) else kind
         element_type(kind)
         mesh = Mesh(points, rows.select(F.lit(0).alias("block_id"), "elem_id", "nodes"), (Block(0, "default", kind),), dim)
@@ -360,8 +360,49 @@ def read_mapped_field(spark: SparkSession, path: str, mapping: DataFrame, kind:
     return mapping.join(field.withColumnRenamed("id", "source"), "source").select("id", "value")
 
 
+def _counted(paths: list[str], n: int, default: str) -> list[str]:
+    """The paths, once every file holds exactly n numbers of its type."""
+    for p in paths:
+        width = np.dtype(DTYPES[dtype_of(p, default)]).itemsize
+        if files.size(p) != n * width:
+            raise ValueError(f"{p}: {files.size(p)} bytes aren't {n} numbers of {width} bytes")
+    return paths
+
+
+def _described_columns(d: dict, part: dict, entries: str, names: list[str], count: str, default: str, base: str) -> list[str]:
+    """The files that a list of {name: path} gives for the names, one entry each and in their order, with checked lengths."""
+    listed = part.get(entries) or []
+    for k, name in enumerate(names):
+        if k >= len(listed) or name not in listed[k]:
+            raise ValueError(f"entry {k} of {entries!r} has to name the file of {name!r}")
+    if count not in part:
+        raise ValueError(f"the description lacks {count!r}")
+    return _counted([array_path(d, str(listed[k][name]), base) for k, name in enumerate(names)], int(part[count]), default)
+
+
+def _described_mesh(spark: SparkSession, d: dict, base: str) -> Mesh:
+    """points: a list of {x: file}, {y: file}, ... with spatial_dimension and n_nodes; elements: a list of {i0: file}, ... with
+    element_type, elem_num_nodes and n_elements, for the whole mesh or within each entry of blocks beside its name."""
+    dim = int(d["spatial_dimension"])
+    at = read_columns(spark, _described_columns(d, d, "points", list("xyz"[:dim]), "n_nodes", "float32", base), raw="float32")
+    points = at.select(F.col("id").alias("node_id"), *[(F.col(f"c{k}").cast("float") if k < dim else F.lit(None).cast("float")).alias(c) for k, c in enumerate("xyz")])
+    rows, blocks = None, []
+    for k, part in enumerate(d.get("blocks") or [{"name": "default"} | d]):
+        if missing := [key for key in ("name", "element_type", "elem_num_nodes") if key not in part]:
+            raise ValueError(f"block {k} of the description lacks {missing}")
+        kind, width = element_type(str(part["element_type"])), int(part["elem_num_nodes"])
+        if kind.n_nodes != width:
+            raise ValueError(f"{kind.name} has {kind.n_nodes} nodes, not {width}")
+        columns = read_columns(spark, _described_columns(d, part, "elements", [f"i{j}" for j in range(width)], "n_elements", "int32", base))
+        own = columns.select(F.lit(k).alias("block_id"), F.col("id").alias("elem_id"), F.array(*[F.col(f"c{j}").cast("long") for j in range(width)]).alias("nodes"))
+        rows = own if rows is None else rows.unionByName(own)
+        blocks.append(Block(k, str(part["name"]), kind.name))
+    return Mesh(points, rows, tuple(blocks), dim)
+
+
 def mesh_from_description(spark: SparkSession, d: dict, base: str = ".") -> Mesh:
-    """A mesh from a declaration: type cube, square (also spelt sqare), half_sphere or file."""
+    """A mesh from a declaration: type cube, square (also spelt sqare), half_sphere or file. A file's declaration either names
+    its arrays one by one (points, elements or blocks), whose lengths have to be those that it states, or a mesh folder."""
     from . import generate as G
 
     kind = d.get("type", "file")
@@ -374,14 +415,28 @@ def mesh_from_description(spark: SparkSession, d: dict, base: str = ".") -> Mesh
         return G.square(spark, d.get("element_type", "QUAD4"), n[0], n[1], (*lo[:2], *hi[:2]))
     if kind == "half_sphere":
         return G.half_sphere(spark, d.get("element_type", "HEX8"), float(d.get("radius", 1)), *n)
+    if kind == "file" and "points" in d:
+        return _described_mesh(spark, d, base)
     if kind == "file":
         return read_mesh(spark, resolve_path(d, base))
     raise ValueError(f"unknown mesh type {kind!r}")
 
 
+def _absolute(p: str) -> bool:
+    return os.path.isabs(p) or "://" in p
+
+
 def resolve_path(d: dict, base: str = ".") -> str:
-    """An absolute path, or one relative to where the description lies."""
+    """An absolute path or URI, or one relative to where the description lies."""
     p = d.get("path") or d.get("folder")
     if not p:
         raise ValueError("the description names no path")
-    return p if os.path.isabs(p) else os.path.join(base, p)
+    return p if _absolute(p) else os.path.join(base, p)
+
+
+def array_path(d: dict, p: str, base: str = ".") -> str:
+    """Where an array that the description names lies: an absolute path or URI, or one in the description's folder, if it
+    names one, or beside the description."""
+    if _absolute(p):
+        return p
+    return os.path.join(resolve_path(d, base) if d.get("path") or d.get("folder") else base, p)

@@ -12,6 +12,7 @@ import os
 import re
 import uuid
 from pathlib import Path
+from xml.sax.saxutils import quoteattr
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..functions.elem_types import element_type
 from ..mesh import Mesh
 from ..operators.numbering import dense_ids, running_total
 from ..storage import materialize
-from . import files
+from . import files, raw
 from .raw import DTYPES, NOT_DENSE, RawColumns
 
 
@@ -125,6 +126,72 @@ def xdmf_of_grid(n: tuple[int, int, int], origin: tuple[float, ...], delta: tupl
     )
 
 
+# XDMF's names of the types whose nodes have the same order there.
+XDMF_TYPES = {"TRI3": "Triangle", "TRISHELL3": "Triangle", "TRI6": "Triangle_6", "QUAD4": "Quadrilateral", "QUADSHELL4": "Quadrilateral", "TET4": "Tetrahedron", "TET10": "Tetrahedron_10", "HEX8": "Hexahedron", "WEDGE6": "Wedge"}
+
+
+def _number(path: str, default: str) -> np.dtype:
+    """The type of a file's numbers, one that XDMF has."""
+    d = np.dtype(DTYPES[raw.dtype_of(path, default)])
+    if d == np.float16:
+        raise ValueError(f"{path}: XDMF has no floats of 16 bits")
+    return d
+
+
+def _data_item(path: str, default: str, dims: str, seek: int = 0) -> str:
+    d = _number(path, default)
+    kind = {"f": "Float", "i": "Int", "u": "UInt"}[d.kind]
+    return f'<DataItem Dimensions="{dims}" NumberType="{kind}" Precision="{d.itemsize}" Format="Binary" Endian="Little" Seek="{seek}">{path}</DataItem>'
+
+
+def _joined(paths: list[str], default: str, n: int) -> str:
+    """Columns side by side: an item whose rows have a number from each."""
+    names = ", ".join(f"${k}" for k in range(len(paths)))
+    return f'<DataItem ItemType="Function" Function="JOIN({names})" Dimensions="{n} {len(paths)}">' + "".join(_data_item(p, default, f"{n} 1") for p in paths) + "</DataItem>"
+
+
+def write_mesh_xdmf(folder: str, fields: dict[str, tuple[str, str]] | None = None) -> str:
+    """mesh.xdmf beside a folder's column files, which it refers to: a grid for each block, with nodal and elemental fields.
+
+    fields: name -> (file in the folder, "node" or "element"); a file holds the numbers of all nodes, or of all blocks' elements
+    one block after the other, and its length tells the numbers of each. Meshes have two or three dimensions, and types that
+    XDMF numbers alike (`XDMF_TYPES`). Only lengths are read.
+    """
+    meta = raw.read_meta(folder)
+    dim, n_nodes = int(meta["spatial_dimension"]), int(meta["n_nodes"])
+    if dim not in (2, 3):
+        raise ValueError(f"a mesh of {dim} dimensions has no XDMF geometry")
+    points = [p.rsplit("/", 1)[-1] for p in raw.coordinate_files(folder)]
+    parts = [(b["name"], b["element_type"], int(b["n_elements"]), f"blocks/{b['name']}/") for b in meta.get("blocks") or []] or [("default", meta["element_type"], int(meta["n_elements"]), "")]
+    total, grids, before = sum(p[2] for p in parts), [], 0
+    widths = {}
+    for name, (path, center) in (fields or {}).items():
+        count = {"node": n_nodes, "element": total}[center]
+        size, item = files.size(f"{folder}/{path}"), _number(path, "float64").itemsize
+        if not count or size % (count * item):
+            raise ValueError(f"{path}: {size} bytes aren't the same number of numbers for each of {count} {center}s")
+        widths[name] = size // (count * item)
+    for name, kind, n, place in parts:
+        if kind not in XDMF_TYPES:
+            raise ValueError(f"XDMF numbers no {kind} as meshes do here")
+        columns = [place + p.rsplit("/", 1)[-1] for p in raw.connectivity_files(f"{folder}/{place}".rstrip("/"))]
+        lines = [f"<Grid Name={quoteattr(name)} GridType=\"Uniform\">", f'<Topology TopologyType="{XDMF_TYPES[kind]}" NumberOfElements="{n}">{_joined(columns, 'int32', n)}</Topology>']
+        lines.append(f'<Geometry GeometryType="{"XYZ" if dim == 3 else "XY"}">{_joined(points, 'float32', n_nodes)}</Geometry>')
+        for field, (path, center) in (fields or {}).items():
+            w, rows = widths[field], n_nodes if center == "node" else n
+            item = _number(path, "float64").itemsize
+            shape = {1: "Scalar", 3: "Vector", 6: "Tensor6", 9: "Tensor"}.get(w, "Matrix")
+            seek = 0 if center == "node" else before * w * item
+            lines.append(f'<Attribute Name={quoteattr(field)} AttributeType="{shape}" Center="{"Node" if center == "node" else "Cell"}">{_data_item(path, "float64", f"{rows} {w}" if w > 1 else str(rows), seek)}</Attribute>')
+        grids.append("\n".join([*lines, "</Grid>"]))
+        before += n
+    if len(grids) > 1:
+        grids = ['<Grid Name="mesh" GridType="Collection" CollectionType="Spatial">', *grids, "</Grid>"]
+    out = f"{folder}/mesh.xdmf"
+    Path(out).write_text("\n".join(['<?xml version="1.0" ?>', '<Xdmf Version="3.0">', "<Domain>", *grids, "</Domain>", "</Xdmf>"]) + "\n")
+    return out
+
+
 def write_csr(graph: DataFrame, n: int, folder: str, values: bool = True, index: str = "int32", real: str = "float64") -> None:
     """rowptr (n + 1 entries), colidx and values of a graph or matrix (i, j[, value])."""
     from ..operators.graph import row_pointers
