@@ -42,6 +42,11 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFra
     return dealt.sortWithinPartitions("p", "h", "norm", "neg", F.col("id").asc_nulls_last()).drop("p", "h")
 
 
+def _copied(rows: pa.RecordBatch, start: int, n: int) -> pa.RecordBatch:
+    """Rows of a batch in memory of their own: a slice holds on to the whole batch that came from the JVM, texts included."""
+    return rows.take(pa.array(np.arange(start, start + n)))
+
+
 def _runs(carry: bool, names: list[str]):
     """The pass over a sorted partition. Without carry a row for each input row, else only for the first of each run."""
 
@@ -81,7 +86,7 @@ def _runs(carry: bool, names: list[str]):
             if first:
                 run["n"] += first
                 if not carry:
-                    run["rows"].append(slim.slice(0, first))
+                    run["rows"].append(_copied(slim, 0, first))
             if not len(starts):
                 continue
             if run is not None:
@@ -102,7 +107,7 @@ def _runs(carry: bool, names: list[str]):
                     head_of = np.repeat(np.arange(len(at)), sizes)
                     yield out(slim.slice(first, last - first), head_of, ~same[first:last], keep, neg, sha, sizes, edge)
             value = norm[last].as_py()
-            run = {"norm": value, "sha": hashlib.sha256(value.encode("utf-8")).hexdigest(), "keep": b.column("id").slice(last, 1), "neg": b.column("neg").to_numpy()[last : last + 1], "n": n - last, "rows": [slim.slice(last, 1 if carry else n - last)]}
+            run = {"norm": value, "sha": hashlib.sha256(value.encode("utf-8")).hexdigest(), "keep": b.column("id").take(pa.array([last])), "neg": b.column("neg").to_numpy()[last : last + 1].copy(), "n": n - last, "rows": [_copied(slim, last, 1 if carry else n - last)]}
         if run is not None:
             yield from closed(run, True)
 

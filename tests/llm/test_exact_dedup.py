@@ -1,10 +1,11 @@
 import hashlib
 import re
+from unittest.mock import patch
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tessella.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+from tessella.llm.exact_dedup import _runs, drop_exact_duplicates, exact_duplicates
 
 from .helpers import clashing, docs
 
@@ -36,6 +37,36 @@ def test_hot_group_crosses_partitions(spark):
     assert drop_exact_duplicates(df).count() == 1001
 
 
+def test_a_long_run_holds_identifiers_alone():
+    """The pass over one partition of copies: what it holds while the run is open grows with the rows, not with their texts."""
+    import io
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text, n = "y" * 20_000, 100
+    sink = io.BytesIO()
+    schema = pa.schema([("norm", pa.string()), ("neg", pa.int32()), ("id", pa.int64())])
+    with pa.ipc.new_stream(sink, schema) as w:
+        for k in range(30):
+            w.write_batch(pa.record_batch([pa.array([text] * n), pa.array([-len(text)] * n, pa.int32()), pa.array(range(k * n, k * n + n))], schema=schema))
+    held = []
+
+    def batches():
+        for b in pa.ipc.open_stream(io.BytesIO(sink.getvalue())):
+            yield b
+            held.append(tracemalloc.get_traced_memory()[0] - before)
+
+    with patch("tessella.llm.exact_dedup.TaskContext") as task:
+        task.get.return_value.partitionId.return_value = 0
+        tracemalloc.start()
+        before = tracemalloc.get_traced_memory()[0] + len(sink.getvalue())
+        rows = [i for b in _runs(False, ["id"])(batches()) for i in b.column("id").to_pylist()]
+        tracemalloc.stop()
+    assert rows == list(range(30 * n))
+    assert max(held) < 5 * n * len(text)
+
+
 def test_repeated_rows_leave_one(spark):
     df = docs(spark, [(1, "a"), (1, "a"), (1, "a"), (2, "b")])
     assert sorted(r.doc_id for r in drop_exact_duplicates(df).collect()) == [1, 2]
