@@ -1,7 +1,8 @@
 """Mesh folders: headerless column files, side sets and grids, read in byte ranges by a Python data source.
 
-Paths are read by the executors themselves, with conditions on `id` taken down to the byte ranges (where the session has
-spark.sql.python.filterPushdown.enabled). URIs of a store that only Spark reads go through its reader of fixed-length records.
+Paths are read by the executors themselves, with conditions on `id` taken down to the byte ranges where the session has
+spark.sql.python.filterPushdown.enabled; elsewhere Spark applies them to all rows. URIs of a store that only Spark reads go
+through its reader of fixed-length records.
 """
 
 from __future__ import annotations
@@ -65,6 +66,23 @@ class _Reader(DataSourceReader):
         width = max(np.dtype(DTYPES[k]).itemsize for k in self.kinds)
         self.rows = max(1, int(options.get("splitbytes", SPLIT_BYTES)) // width)
 
+    def partitions(self):
+        return [_Range(a, min(self.stop, a + self.rows)) for a in range(self.low, self.stop, self.rows)] or [_Range(0, 0)]
+
+    def read(self, part):
+        step = 1 << 20
+        for a in range(part.first, part.stop, step):
+            b = min(part.stop, a + step)
+            cols = [pa.array(np.arange(a, b, dtype=np.int64))]
+            for p, k in zip(self.paths, self.kinds):
+                d = np.dtype(DTYPES[k])
+                cols.append(_array(np.fromfile(files.local(p), d, b - a, offset=a * d.itemsize), k))
+            yield pa.RecordBatch.from_arrays(cols, names=["id", *[f"c{i}" for i in range(len(self.paths))]])
+
+
+class _BoundedReader(_Reader):
+    """The same with conditions taken down: Spark refuses a reader with pushFilters where the session has that switched off."""
+
     def pushFilters(self, filters):
         """Bounds on id narrow the rows that are read; a list of ids does too, and is left to Spark as well."""
         for f in filters:
@@ -86,19 +104,6 @@ class _Reader(DataSourceReader):
             elif not isinstance(f, IsNotNull):
                 yield f
 
-    def partitions(self):
-        return [_Range(a, min(self.stop, a + self.rows)) for a in range(self.low, self.stop, self.rows)] or [_Range(0, 0)]
-
-    def read(self, part):
-        step = 1 << 20
-        for a in range(part.first, part.stop, step):
-            b = min(part.stop, a + step)
-            cols = [pa.array(np.arange(a, b, dtype=np.int64))]
-            for p, k in zip(self.paths, self.kinds):
-                d = np.dtype(DTYPES[k])
-                cols.append(_array(np.fromfile(files.local(p), d, b - a, offset=a * d.itemsize), k))
-            yield pa.RecordBatch.from_arrays(cols, names=["id", *[f"c{i}" for i in range(len(self.paths))]])
-
 
 class _Run(WriterCommitMessage):
     """What a task has written: its first and last id (0 and -1 if none), and whether they follow each other."""
@@ -160,8 +165,8 @@ NOT_DENSE = "ids have to be 0..n-1, each once"
 
 
 class RawColumns(DataSource):
-    """format("raw_columns"): options paths (newline-separated), kinds (comma-separated), splitBytes; to write, a token of its
-    own for each write, and rows (id, then a column a path) sorted by id within partitions."""
+    """format("raw_columns"): options paths (newline-separated), kinds (comma-separated), splitBytes, bounds (true: conditions on
+    id are taken down, which the session has to allow); to write, a token of its own for each write, and rows (id, then a column a path) sorted by id within partitions."""
 
     @classmethod
     def name(cls) -> str:
@@ -171,7 +176,7 @@ class RawColumns(DataSource):
         return "id long, " + ", ".join(f"c{i} {SPARK[k]}" for i, k in enumerate(self.options["kinds"].split(",")))
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return (_BoundedReader if self.options.get("bounds") == "true" else _Reader)(self.options)
 
     def writer(self, schema, overwrite):
         return _Writer(self.options)
@@ -187,7 +192,8 @@ def columns_of_kinds(spark: SparkSession, paths: list[str], kinds: list[str], sp
     if any(map(files.is_remote, paths)):
         return _remote_columns(spark, paths, kinds)
     spark.dataSource.register(RawColumns)
-    return spark.read.format("raw_columns").option("paths", "\n".join(paths)).option("kinds", ",".join(kinds)).option("splitBytes", str(split_bytes)).load()
+    bounds = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
+    return spark.read.format("raw_columns").option("paths", "\n".join(paths)).option("kinds", ",".join(kinds)).option("splitBytes", str(split_bytes)).option("bounds", bounds).load()
 
 
 def _remote_columns(spark: SparkSession, paths: list[str], kinds: list[str]) -> DataFrame:

@@ -42,6 +42,18 @@ def test_id_bounds_reach_the_byte_ranges(spark, tmp_path):
     assert rows.where("id > 5000").count() == 0 and rows.where("id < -1").count() == 0 and rows.where("id is null").count() == 0
 
 
+def test_sessions_that_take_no_conditions_down(spark, tmp_path):
+    """Spark's default: a reader with pushFilters is refused there."""
+    path = str(tmp_path / "a.float64")
+    sinks.write_array(_numbers(spark, 1000), path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        rows = raw.read_columns(spark, [path], split_bytes=800)
+        assert rows.count() == 1000 and [r.c0 for r in rows.where("id between 250 and 252").orderBy("id").collect()] == [750.0, 753.0, 756.0]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 @pytest.mark.parametrize("n", [1, 60, 61])
 def test_folders_in_a_store_that_only_spark_reads(spark, tmp_path, n):
     """A viewfs mount: no path of this machine."""
