@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .functions.elem_types import element_type
 
 
+def unfolded(long: DataFrame) -> DataFrame:
+    """Rows made from arrays, never broadcast: Spark takes such a table to be as small as the (compressed) rows it comes from."""
+    return long.hint("merge")
+
+
 @dataclass(frozen=True)
 class Block:
     block_id: int
@@ -67,7 +72,7 @@ class Mesh:
 
     def incidence(self) -> DataFrame:
         """block_id, elem_id, lnode, node_id."""
-        return self.elements.select("block_id", "elem_id", F.posexplode("nodes").alias("lnode", "node_id"))
+        return unfolded(self.elements.select("block_id", "elem_id", F.posexplode("nodes").alias("lnode", "node_id")))
 
     def n_nodes(self) -> int:
         return self.points.count()

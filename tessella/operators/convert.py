@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elem_types import EDGES, element_type, hex_corner, lattice_index, linear
-from ..mesh import Mesh
+from ..mesh import Mesh, unfolded
 from ..storage import materialize
 from . import graph
 from .numbering import dense_ids
@@ -67,7 +67,7 @@ def _edge_nodes(mesh: Mesh, numbers: DataFrame) -> DataFrame:
     t = linear(mesh.elem_type)
     n = element_type(t).n_nodes
     pairs = graph.patterned(mesh.elements, EDGES[t]).select("block_id", "elem_id", (F.col("sub") + n).alias("lnode"), F.array_min("nodes").alias("i"), F.array_max("nodes").alias("j"))
-    return mesh.incidence().unionByName(pairs.join(numbers, ["i", "j"]).select("block_id", "elem_id", "lnode", F.col("node").alias("node_id")))
+    return mesh.incidence().unionByName(unfolded(pairs).join(numbers, ["i", "j"]).select("block_id", "elem_id", "lnode", F.col("node").alias("node_id")))
 
 
 def midpoints(points: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -95,13 +95,13 @@ def _tet15(mesh: Mesh) -> Mesh:
     faces = materialize(dense_ids(faces, ["first.elem_id", "first.lfi"], "node", n + n_edges))
     n_faces = faces.count()
     edge_rows = _edge_nodes(mesh, numbers)
-    face_rows = s.select("block_id", "elem_id", (F.col("lfi").cast("int") + 10).alias("lnode"), "key").join(faces.select("key", F.col("node").alias("node_id")), "key").drop("key")
+    face_rows = unfolded(s.select("block_id", "elem_id", (F.col("lfi").cast("int") + 10).alias("lnode"), "key")).join(faces.select("key", F.col("node").alias("node_id")), "key").drop("key")
     centre = mesh.elements.select("block_id", "elem_id", F.lit(14).alias("lnode"), (F.col("elem_id") + n + n_edges + n_faces).alias("node_id"))
     rows = regathered(edge_rows.unionByName(face_rows).unionByName(centre))
 
     def means(owner: DataFrame) -> DataFrame:
         """owner: node, v (a corner)."""
-        joined = owner.join(mesh.points, F.col("v") == mesh.points.node_id)
+        joined = unfolded(owner).join(mesh.points, F.col("v") == mesh.points.node_id)
         return joined.groupBy("node").agg(*[F.avg(F.col(c).cast("double")).cast("float").alias(c) for c in "xyz"]).withColumnRenamed("node", "node_id")
 
     face_points = means(faces.select("node", F.explode("key").alias("v")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elem_types import EDGES, SIDES, corners, element_type, lattice_index, linear, proteus_hex, proteus_quad
 from ..functions.quadrature import gauss_lobatto
-from ..mesh import Mesh
+from ..mesh import Mesh, unfolded
 from ..storage import materialize
 from . import graph
 from .numbering import dense_ids, regathered
@@ -51,7 +51,7 @@ def generate_elements(mesh: Mesh, level: int) -> tuple[DataFrame, int]:
         places.append((a, b, walk))
     ends = F.array(*[F.struct(F.get("nodes", F.lit(a)).alias("a"), F.get("nodes", F.lit(b)).alias("b"), graph.ints(w).alias("w")) for a, b, w in places])
     e = mesh.elements.select("block_id", "elem_id", F.explode(ends).alias("s")).select("block_id", "elem_id", F.least("s.a", "s.b").alias("i"), F.greatest("s.a", "s.b").alias("j"), F.when(F.col("s.a") < F.col("s.b"), F.col("s.w")).otherwise(F.reverse("s.w")).alias("w"))
-    rows.append(e.join(numbers, ["i", "j"]).select("block_id", "elem_id", "edge", F.posexplode("w").alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("edge") * inner + F.col("t") + n0).alias("node_id")))
+    rows.append(unfolded(e).join(numbers, ["i", "j"]).select("block_id", "elem_id", "edge", F.posexplode("w").alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("edge") * inner + F.col("t") + n0).alias("node_id")))
 
     first_face = first_cell = n0 + n_edges * inner
     if solid:
@@ -73,7 +73,7 @@ def generate_elements(mesh: Mesh, level: int) -> tuple[DataFrame, int]:
         ahead = F.get(nodes, (F.col("o") + 1) % 4)
         behind = F.get(nodes, (F.col("o") + 3) % 4)
         f = s.withColumn("o", low).withColumn("turn", F.when(ahead < behind, 0).otherwise(1))
-        f = f.join(faces.select("key", "face"), "key").select("block_id", "elem_id", "face", F.get(F.get(lists, F.col("lfi").cast("int")), F.col("o") * 2 + F.col("turn")).alias("w"))
+        f = unfolded(f).join(faces.select("key", "face"), "key").select("block_id", "elem_id", "face", F.get(F.get(lists, F.col("lfi").cast("int")), F.col("o") * 2 + F.col("turn")).alias("w"))
         rows.append(f.select("block_id", "elem_id", "face", F.posexplode("w").alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("face") * inner**2 + F.col("t") + first_face).alias("node_id")))
         first_cell = first_face + n_faces * inner**2
 

@@ -1,6 +1,7 @@
 """Closed forms, round trips and invariants of the mesh engine, on small meshes."""
 
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,16 @@ def test_side_tables_look_outward_and_parts_fill_their_element():
     for pattern, p, whole in ((convert.HEX8_TO_TET4, hexa, 1), (convert.WEDGE6_TO_TET4, wedge, 1 / 2), (convert.TET10_TO_TET4, tet10, 1 / 6)):
         parts = [volume(p[list(t)]) for t in pattern]
         assert min(parts) > 0 and math.isclose(sum(parts), whole)
+
+
+def _broadcasts(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unfolded_rows_are_never_broadcast(spark):
+    """A small range or file that grows to many rows by explode passed for small."""
+    tets = G.tet4_cube(spark, 6, 6, 6)
+    points = spark.range(10**9).select(F.col("id").alias("node_id"), *[F.lit(0.0).alias(c) for c in "xyz"])
+    assert not _broadcasts(tets.incidence().join(points, "node_id"))
+    assert not _broadcasts(geometry.corner_columns(replace(tets, points=points)))
+    assert not _broadcasts(convert.promote_to(tets, "TET15").elements)
