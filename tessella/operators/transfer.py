@@ -43,15 +43,32 @@ def tensor_weights(fine: int, coarse: int, dim: int) -> list[tuple[int, int, flo
 
 
 def _weights(fine: Mesh, coarse: Mesh, local: list[tuple[int, int, float]]) -> DataFrame:
-    """Local weights (a table of fixed size) spread over the elements; shared nodes get equal rows, kept once."""
+    """Local weights (a table of fixed size) spread inside the elements' rows, which meet whole; shared nodes get equal rows, kept
+    once, and rows of nodes inside an element are not shuffled for that."""
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(w)).alias("w")) for a, b, w in local]) if len(local) <= 64 else None
     if table is not None and fine is coarse:
         rows = fine.elements.select("nodes", F.explode(table).alias("s")).select(F.get("nodes", F.col("s.a")).alias("row"), F.get("nodes", F.col("s.b")).alias("col"), F.col("s.w").alias("weight"))
         return rows.distinct()
-    w = F.broadcast(fine.spark.createDataFrame(local, "a int, b int, weight double"))  # bounded by the level
-    f = fine.incidence().select("block_id", "elem_id", F.col("lnode").alias("a"), F.col("node_id").alias("row"))
-    c = coarse.incidence().select("block_id", "elem_id", F.col("lnode").alias("b"), F.col("node_id").alias("col"))
-    return f.join(w, "a").join(c, ["block_id", "elem_id", "b"]).select("row", "col", "weight").distinct()
+    both = fine.elements.select("block_id", "elem_id", F.col("nodes").alias("f")).join(coarse.elements.select("block_id", "elem_id", F.col("nodes").alias("c")), ["block_id", "elem_id"])
+
+    def spread(part: list[tuple[int, int, float]]) -> DataFrame:
+        a, b, w = zip(*part)
+        weights = F.split(F.lit(",".join(map(repr, map(float, w)))), ",").cast("array<double>")
+        rows = both.select("f", "c", F.explode(F.arrays_zip(graph.ints(a).alias("a"), graph.ints(b).alias("b"), weights.alias("w"))).alias("s"))
+        return rows.select(F.get("f", F.col("s.a")).alias("row"), F.get("c", F.col("s.b")).alias("col"), F.col("s.w").alias("weight"))
+
+    own = inner_places(fine)
+    shared = spread([x for x in local if x[0] not in own]).distinct()
+    inside = [x for x in local if x[0] in own]
+    return shared.unionByName(spread(inside)) if inside else shared
+
+
+def inner_places(mesh: Mesh) -> set[int]:
+    """Local places whose nodes no other element has: those inside a hexahedral lattice. Of quadrilaterals none, as both sides of
+    an inner face may stand in a side set."""
+    t = element_type(mesh.elem_type)
+    r = range(1, t.level) if t.semistructured and t.dim == 3 else ()
+    return {lattice_index(t.level, x, y, z) for z in r for y in r for x in r}
 
 
 def level_weights(fine: Mesh, coarse: Mesh) -> DataFrame:

@@ -68,3 +68,17 @@ def test_quadrilateral_incidence_and_matrix(spark):
     assert starts == [0, 1, 2, 3, 4, 6, 8, 10, 12, 16]
     rows = entries.orderBy("k").collect()
     assert all(starts[r.i] <= r.k < starts[r.i + 1] for r in rows) and [r.value for r in rows[12:]] == [0.25] * 4
+
+
+def test_weights_of_inner_nodes_are_not_shuffled(spark):
+    """Elements meet whole, in one row each: no join on local places, and only shared nodes go through a distinct."""
+    fine = lattice.to_semistructured(G.cube(spark, "HEX8", 2, 2, 2), 4, hierarchical=True)
+    coarse = lattice.derefine(fine, 2)
+    w = transfer.level_weights(fine, coarse)
+    assert len(transfer.inner_places(fine)) == 27 and "localtablescan" not in w._jdf.queryExecution().executedPlan().toString().lower()
+    rows = w.collect()
+    assert len(rows) == len(set(map(tuple, rows))) == 13**3  # along an axis: 9 fine nodes, 4 of them between two
+    total = {}
+    for r in rows:
+        total[r.row] = total.get(r.row, 0.0) + r.weight
+    assert len(total) == 9**3 and set(total.values()) == {1.0}
