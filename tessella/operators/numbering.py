@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..mesh import unfolded
 from ..storage import materialize
 
 
@@ -41,7 +42,7 @@ def first_touch(incidence: DataFrame, node: str = "node_id", by: tuple[str, ...]
 def renumbered(elements: DataFrame, mapping: DataFrame, old: str = "node_id", new: str = "new_id") -> DataFrame:
     """elements with nodes replaced through the mapping."""
     long = elements.select("block_id", "elem_id", F.posexplode("nodes").alias("lnode", "node_id"))
-    joined = long.join(mapping.select(F.col(old).alias("node_id"), F.col(new).alias("new_id")), "node_id")
+    joined = unfolded(long).join(mapping.select(F.col(old).alias("node_id"), F.col(new).alias("new_id")), "node_id")
     return regathered(joined, "new_id")
 
 
