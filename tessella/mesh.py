@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.elem_types import element_type
@@ -15,6 +15,18 @@ def unfolded(long: DataFrame) -> DataFrame:
     return long.hint("merge")
 
 
+def at_points(long: DataFrame, points: DataFrame) -> DataFrame:
+    """long (a row for each node of each element) with its nodes' coordinates. Hash tables are made of the points alone, of which
+    every node has one, and long isn't sorted."""
+    return long.join(points.hint("shuffle_hash"), "node_id")
+
+
+def by_element(long: DataFrame, *parts: str) -> GroupedData:
+    """Groups of an element's (or its parts') rows, dealt as they are: before that hardly two of them meet, and partial sums are
+    wider than the rows."""
+    return long.repartition("elem_id").groupBy("block_id", "elem_id", *parts)
+
+
 @dataclass(frozen=True)
 class Block:
     block_id: int

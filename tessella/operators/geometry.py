@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elem_types import corners, element_type
-from ..mesh import Mesh, unfolded
+from ..mesh import Mesh, at_points, by_element
 
 _HEX = ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1))
 Matrix = list[list[Column]]
@@ -23,9 +23,9 @@ def corner_columns(mesh: Mesh, n: int | None = None) -> DataFrame:
     """block_id, elem_id and x0, y0, z0, x1, ...: corner coordinates side by side, by one aggregation."""
     at = corners(mesh.elem_type)[:n]
     picked = F.array(*[F.get("nodes", F.lit(k)) for k in at])
-    long = unfolded(mesh.elements.select("block_id", "elem_id", F.posexplode(picked).alias("k", "node_id"))).join(mesh.points, "node_id")
+    long = at_points(mesh.elements.select("block_id", "elem_id", F.posexplode(picked).alias("k", "node_id")), mesh.points).drop("node_id")
     cols = [F.max(F.when(F.col("k") == k, F.col(c).cast("double"))).alias(f"{c}{k}") for k in range(len(at)) for c in "xyz"]
-    return long.groupBy("block_id", "elem_id").agg(*cols)
+    return by_element(long).agg(*cols)
 
 
 def tet4_jacobian() -> Matrix:

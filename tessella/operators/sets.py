@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elem_types import EDGES, SIDES, corners, element_type, linear
-from ..mesh import Block, Mesh
+from ..mesh import Block, Mesh, at_points, by_element
 from ..storage import materialize
 from . import graph
 from .numbering import dense_ids, first_touch, renumbered
@@ -76,12 +76,13 @@ def nodeset(mesh: Mesh, *sidesets: DataFrame) -> DataFrame:
 def side_centroids(mesh: Mesh, corners_only: bool = False) -> DataFrame:
     """block_id, elem_id, lfi, x, y, z: means over all nodes of each side (or its corners)."""
     s = graph.sides(mesh, corners_only).select("block_id", "elem_id", "lfi", F.explode("nodes").alias("node_id"))
-    return s.join(mesh.points, "node_id").groupBy("block_id", "elem_id", "lfi").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in "xyz"])
+    return by_element(at_points(s, mesh.points).drop("node_id"), "lfi").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in "xyz"])
 
 
 def centroids(mesh: Mesh) -> DataFrame:
     """block_id, elem_id, x, y, z: means over all nodes of each element."""
-    return mesh.incidence().join(mesh.points, "node_id").groupBy("block_id", "elem_id").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in "xyz"])
+    long = mesh.elements.select("block_id", "elem_id", F.explode("nodes").alias("node_id"))
+    return by_element(at_points(long, mesh.points).drop("node_id")).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in "xyz"])
 
 
 def select_elements(mesh: Mesh, predicate: Column, blocks: list[str] | None = None) -> DataFrame:

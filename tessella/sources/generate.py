@@ -23,18 +23,27 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
+#: Cells (or points) of a partition, where that gives more partitions than the session's default: what a task holds of what its
+#: cells unfold to doesn't grow with the mesh.
+SLAB = 1 << 15
+
+
+def _ids(spark: SparkSession, n: int, slabs: int | None) -> DataFrame:
+    return spark.range(0, n, 1, slabs or max(spark.sparkContext.defaultParallelism, -(-n // SLAB)))
+
+
 def _cells(spark: SparkSession, nx: int, ny: int, nz: int, slabs: int | None = None) -> DataFrame:
     if min(nx, ny, nz) < 1:
         raise ValueError("a mesh needs at least one cell along each axis")
     e = F.col("id")
-    return spark.range(0, nx * ny * nz, 1, slabs).select(e.alias("e"), (e % nx).alias("cx"), (_div(e, nx) % ny).alias("cy"), _div(e, nx * ny).alias("cz"))
+    return _ids(spark, nx * ny * nz, slabs).select(e.alias("e"), (e % nx).alias("cx"), (_div(e, nx) % ny).alias("cy"), _div(e, nx * ny).alias("cz"))
 
 
 
 def _lattice(spark: SparkSession, mx: int, my: int, mz: int, first: int = 0, slabs: int | None = None) -> DataFrame:
     """node_id and lattice place of mx * my * mz points, x fastest."""
     i = F.col("id")
-    return spark.range(0, mx * my * mz, 1, slabs).select((i + first).alias("node_id"), (i % mx).alias("ix"), (_div(i, mx) % my).alias("iy"), _div(i, mx * my).alias("iz"))
+    return _ids(spark, mx * my * mz, slabs).select((i + first).alias("node_id"), (i % mx).alias("ix"), (_div(i, mx) % my).alias("iy"), _div(i, mx * my).alias("iz"))
 
 
 def _axis(place: Column, lo: float, hi: float, n: int) -> Column:

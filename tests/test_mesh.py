@@ -217,3 +217,14 @@ def test_unfolded_rows_are_never_broadcast(spark):
     assert not _broadcasts(tets.incidence().join(points, "node_id"))
     assert not _broadcasts(geometry.corner_columns(replace(tets, points=points)))
     assert not _broadcasts(convert.promote_to(tets, "TET15").elements)
+
+
+def test_what_tasks_hold_does_not_grow_with_the_mesh(spark):
+    """Partitions grow with the cells; coordinates meet in hash tables of points, and rows are dealt to their elements as they are."""
+    assert G.hex8_cube(spark, 80, 80, 80).elements.rdd.getNumPartitions() >= 80**3 / G.SLAB
+    assert G.hex8_cube(spark, 80, 80, 80, slabs=3).elements.rdd.getNumPartitions() == 3
+    mesh = G.tet4_cube(spark, 2, 2, 2)
+    for out in (geometry.volumes(mesh), sets.centroids(mesh)):
+        plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 3
+    assert abs(geometry.volumes(mesh).agg(F.sum("volume")).first()[0] - 1) < 1e-6
