@@ -35,12 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Cuts the lineage, fixes the rows (a later recomputation reads the same ones) and survives the loss of executors.
+    small: rows of little size, written in no more files than the session runs tasks at once. Where Hadoop has no native
+    library, a file's permissions start a process, which for an instant counts the executor's memory again.
     """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

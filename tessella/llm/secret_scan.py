@@ -107,11 +107,11 @@ def scan_versions(versions: DataFrame, text: str = "text", ledger: str | None =
     found = scan_blobs(unique, rules)
     if ledger is not None:
         pairs = unseen.select("blob").distinct().join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), "spans")
-        new = materialize(pairs)
+        new = materialize(pairs, small=True)
         new.write.mode("append").parquet(ledger)
         found = (new if past is None else past.unionByName(new)).where("spans is not null").select("blob", "spans").dropDuplicates(["blob"])
     # Few blobs have findings; where they are few enough, copies of one needn't meet in a task.
-    found = bounded(materialize(found)).select(F.col("blob").alias(other), F.col("spans").alias(s))
+    found = bounded(materialize(found, small=True)).select(F.col("blob").alias(other), F.col("spans").alias(s))
     return addressed.join(found, F.col(b) == F.col(other), "left").drop(other)
 
 

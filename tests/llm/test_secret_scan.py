@@ -56,3 +56,16 @@ def test_very_many_matches(spark):
     n = 100_000
     r = S.span_digests(S.scan_versions(docs(spark, [(1, "token=abcdefgh " * n)]))).first()
     assert r.n_assign == n and r.spans.endswith(f"assign:{15 * (n - 1)}:{15 * n - 1}")
+
+
+def test_small_tables_are_written_in_few_files(spark, tmp_path):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        S.scan_versions(docs(spark, [(i, f"secret=abcdefgh{i}") for i in range(200)]), ledger=f"file://{tmp_path}/ledger")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "ledger").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism
