@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elem_types import EDGES, SIDES, corners, element_type, lattice_index, linear, proteus_hex, proteus_quad
 from ..functions.quadrature import gauss_lobatto
-from ..mesh import Mesh, unfolded
+from ..mesh import Block, Mesh, unfolded
 from ..storage import materialize
 from . import graph
 from .numbering import dense_ids, regathered
@@ -38,9 +38,13 @@ def generate_elements(mesh: Mesh, level: int) -> tuple[DataFrame, int]:
     kind = linear(mesh.elem_type)
     solid = kind == "HEX8"
     at_corners = _AT if solid else _AT[:4]
-    rows = [mesh.elements.select("block_id", "elem_id", F.posexplode(F.array(*[F.struct(F.lit(lattice_index(level, *(level * c for c in p))).alias("lnode"), F.get("nodes", F.lit(k)).alias("node_id")) for k, p in enumerate(at_corners)])).alias("k", "s")).select("block_id", "elem_id", "s.lnode", "s.node_id")]
+    told = lambda lnode, node: F.struct(lnode.cast("int").alias("lnode"), node.cast("long").alias("n"))
+    nodes = F.col("nodes")
+    parts = [F.array(*[told(F.lit(lattice_index(level, *(level * c for c in p))), F.get(nodes, F.lit(k))) for k, p in enumerate(at_corners)])]
+    along = lambda lnodes, number, step, start: F.transform(lnodes, lambda lnode, t: told(lnode, number * step + t + start))
+    gathered = lambda base: base.select("block_id", "elem_id", F.sort_array(F.concat(*parts)).getField("n").alias("nodes"))
     if not inner:
-        return regathered(rows[0]), n0
+        return gathered(mesh.elements), n0
 
     # Edges: both orientations' lattice places are fixed lists; the lower corner decides which one is used.
     numbers = materialize(dense_ids(graph.edges(mesh), ["i", "j"], "edge"))
@@ -49,9 +53,14 @@ def generate_elements(mesh: Mesh, level: int) -> tuple[DataFrame, int]:
     for a, b in EDGES[kind]:
         walk = [lattice_index(level, *(_AT[a][d] * level + (_AT[b][d] - _AT[a][d]) * t for d in range(3))) for t in range(1, level)]
         places.append((a, b, walk))
-    ends = F.array(*[F.struct(F.get("nodes", F.lit(a)).alias("a"), F.get("nodes", F.lit(b)).alias("b"), graph.ints(w).alias("w")) for a, b, w in places])
-    e = mesh.elements.select("block_id", "elem_id", F.explode(ends).alias("s")).select("block_id", "elem_id", F.least("s.a", "s.b").alias("i"), F.greatest("s.a", "s.b").alias("j"), F.when(F.col("s.a") < F.col("s.b"), F.col("s.w")).otherwise(F.reverse("s.w")).alias("w"))
-    rows.append(unfolded(e).join(numbers, ["i", "j"]).select("block_id", "elem_id", "edge", F.posexplode("w").alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("edge") * inner + F.col("t") + n0).alias("node_id")))
+    ends = F.array(*[F.struct(F.least(F.get(nodes, F.lit(a)), F.get(nodes, F.lit(b))).alias("i"), F.greatest(F.get(nodes, F.lit(a)), F.get(nodes, F.lit(b))).alias("j")) for a, b, _ in places])
+    e = mesh.elements.select("block_id", "elem_id", F.posexplode(ends).alias("at", "s")).select("block_id", "elem_id", "at", "s.i", "s.j")
+    # Numbers of edges and faces are all that is gathered; the lattice's nodes follow from them inside the element's row.
+    numbered = unfolded(e).join(numbers, ["i", "j"]).select("block_id", "elem_id", "at", F.col("edge").alias("n"))
+    number = F.col("numbers")
+    for at, (a, b, w) in enumerate(places):
+        walk = F.when(F.get(nodes, F.lit(a)) < F.get(nodes, F.lit(b)), graph.ints(w)).otherwise(graph.ints(w[::-1]))
+        parts.append(along(walk, F.get(number, F.lit(at)), inner, n0))
 
     first_face = first_cell = n0 + n_edges * inner
     if solid:
@@ -68,23 +77,21 @@ def generate_elements(mesh: Mesh, level: int) -> tuple[DataFrame, int]:
             return [lattice_index(level, *(at(d, i, j) for d in range(3))) for j in range(1, level) for i in range(1, level)]
 
         lists = F.array(*[F.array(*[graph.ints(walk(side, o, t)) for o in range(4) for t in (1, -1)]) for side in range(6)])
-        low = F.array_position("nodes", F.array_min("nodes")).cast("int") - 1
-        nodes = F.col("nodes")
-        ahead = F.get(nodes, (F.col("o") + 1) % 4)
-        behind = F.get(nodes, (F.col("o") + 3) % 4)
-        f = s.withColumn("o", low).withColumn("turn", F.when(ahead < behind, 0).otherwise(1))
-        f = unfolded(f).join(faces.select("key", "face"), "key").select("block_id", "elem_id", "face", F.get(F.get(lists, F.col("lfi").cast("int")), F.col("o") * 2 + F.col("turn")).alias("w"))
-        rows.append(f.select("block_id", "elem_id", "face", F.posexplode("w").alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("face") * inner**2 + F.col("t") + first_face).alias("node_id")))
+        sided = unfolded(s.select("block_id", "elem_id", (F.col("lfi").cast("int") + len(places)).alias("at"), "key")).join(faces.select("key", F.col("face").alias("n")), "key").select("block_id", "elem_id", "at", "n")
+        numbered = numbered.unionByName(sided)
+        for side, corner in enumerate(SIDES["HEX8"]):
+            own = graph.picked(nodes, tuple(corner))
+            o = F.array_position(own, F.array_min(own)).cast("int") - 1
+            turn = F.when(F.get(own, (o + 1) % 4) < F.get(own, (o + 3) % 4), 0).otherwise(1)
+            parts.append(along(F.get(F.get(lists, F.lit(side)), o * 2 + turn), F.get(number, F.lit(len(places) + side)), inner**2, first_face))
         first_cell = first_face + n_faces * inner**2
 
     # Inside: by arithmetic.
     r = range(1, level)
     inside = [lattice_index(level, x, y, z) for z in (r if solid else (0,)) for y in r for x in r]
-    rows.append(mesh.elements.select("block_id", "elem_id", F.posexplode(graph.ints(inside)).alias("t", "lnode")).select("block_id", "elem_id", "lnode", (F.col("elem_id") * len(inside) + F.col("t") + first_cell).alias("node_id")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return regathered(out), first_cell + mesh.n_elements() * len(inside)
+    parts.append(along(graph.ints(inside), F.col("elem_id"), len(inside), first_cell))
+    own = regathered(numbered.withColumnRenamed("at", "lnode"), "n").withColumnRenamed("nodes", "numbers")
+    return gathered(unfolded(mesh.elements).join(own, ["block_id", "elem_id"])), first_cell + mesh.n_elements() * len(inside)
 
 
 def multilinear(level: int, nodes_1d: list[float] | None = None, dim: int = 3) -> list[tuple[int, int, float]]:
@@ -103,15 +110,30 @@ def multilinear(level: int, nodes_1d: list[float] | None = None, dim: int = 3) -
 
 
 def fill_points(macro: Mesh, elements: DataFrame, level: int, nodes_1d: list[float] | None = None) -> DataFrame:
-    """Lattice coordinates by the multilinear map of each element's corners; one row a node."""
-    spark = macro.spark
-    dim = element_type(macro.elem_type).dim
-    w = F.broadcast(spark.createDataFrame(multilinear(level, nodes_1d, dim), "lidx int, corner int, w double"))  # at most (level + 1)^3 * 8 rows
-    owner = elements.select("block_id", "elem_id", F.posexplode("nodes").alias("lidx", "lattice_id"))
-    owner = owner.groupBy("lattice_id").agg(F.min(F.struct("block_id", "elem_id", "lidx")).alias("o")).select("lattice_id", "o.*")
-    corner = macro.incidence().withColumnRenamed("lnode", "corner").join(macro.points, "node_id")
-    at = owner.join(w, "lidx").join(corner, ["block_id", "elem_id", "corner"])
-    return at.groupBy(F.col("lattice_id").alias("node_id")).agg(*[F.sum(F.col("w") * F.col(c)).cast("float").alias(c) for c in "xyz"])
+    """Lattice coordinates by the multilinear map of each element's corners; one row a node.
+
+    The map is applied inside the element's row. A node of several elements takes what the first gives; nodes inside an element
+    are not shuffled for that.
+    """
+    from .geometry import corner_columns
+    from .transfer import inner_places
+
+    t = element_type(macro.elem_type)
+    n = 2**t.dim
+    weight = [0.0] * ((level + 1) ** t.dim * n)
+    for lidx, c, w in multilinear(level, nodes_1d, t.dim):
+        weight[lidx * n + c] = w
+    weights = F.split(F.lit(",".join(map(repr, map(float, weight)))), ",").cast("array<double>")
+    both = unfolded(elements).join(corner_columns(macro, n), ["block_id", "elem_id"])
+    w = [F.get(weights, F.col("lidx") * n + c) for c in range(n)]
+    at = lambda c: sum((F.when(w[k] == 0, 0.0).otherwise(w[k] * F.col(f"{c}{k}")) for k in range(n)), F.lit(0.0)).cast("float").alias(c)
+    inside = inner_places(Mesh(macro.points, elements, (Block(0, "lattice", proteus_hex(level)),))) if t.dim == 3 else set()
+    corner = [f"{c}{k}" for c in "xyz" for k in range(n)]
+    long = both.select("block_id", "elem_id", *corner, F.posexplode("nodes").alias("lidx", "node_id"))
+    alone = F.get(graph.ints(int(k in inside) for k in range((level + 1) ** t.dim)), F.col("lidx")) == 1
+    rows = lambda which: long.where(which).select("block_id", "elem_id", "lidx", "node_id", *[at(c) for c in "xyz"])
+    first = rows(~alone).groupBy("node_id").agg(F.min(F.struct("block_id", "elem_id", "lidx", *"xyz")).alias("o")).select("node_id", "o.x", "o.y", "o.z")
+    return first.unionByName(rows(alone).select("node_id", *"xyz")) if inside else first
 
 
 def to_semistructured(mesh: Mesh, level: int, hierarchical: bool = False, gll: bool = False) -> Mesh:

@@ -82,3 +82,15 @@ def test_weights_of_inner_nodes_are_not_shuffled(spark):
     for r in rows:
         total[r.row] = total.get(r.row, 0.0) + r.weight
     assert len(total) == 9**3 and set(total.values()) == {1.0}
+
+
+def test_lattice_points_are_made_inside_the_elements_rows(spark):
+    """No row for each pair of a lattice node and a corner: coordinates come from an element's corners side by side."""
+    from tessella.operators import lattice
+    from tessella.sources import generate
+
+    macro = generate.hex8_cube(spark, 2, 1, 1)
+    rows, n = lattice.generate_elements(macro, 3)
+    points = lattice.fill_points(macro, rows, 3)
+    assert "corner#" not in points._jdf.queryExecution().toString()
+    assert points.count() == n == points.select("node_id").distinct().count() == 7 * 4 * 4
