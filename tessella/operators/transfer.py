@@ -14,9 +14,12 @@ def p1_weights(mesh_p2: Mesh) -> DataFrame:
     """row (second-order node), col (corner), weight: one for corners, one half for both ends of mid-edges."""
     t = linear(mesh_p2.elem_type)
     n = element_type(t).n_nodes
-    own = [(k, k, 1.0) for k in range(n)]
-    mids = [(n + m, c, 0.5) for m, e in enumerate(EDGES[t]) for c in e]
-    return _weights(mesh_p2, mesh_p2, own + mids)
+    nodes = F.col("nodes")
+    own = mesh_p2.elements.select(F.explode(F.slice(nodes, 1, n)).alias("row")).distinct().select("row", F.col("row").alias("col"), F.lit(1.0).alias("weight"))
+    # Once for each mid-edge node with both ends, then its rows: half as many words in the distinct.
+    mids = [F.struct(F.get(nodes, F.lit(n + m)).alias("row"), F.array_sort(F.array(F.get(nodes, F.lit(a)), F.get(nodes, F.lit(b)))).alias("ends")) for m, (a, b) in enumerate(EDGES[t])]
+    rows = mesh_p2.elements.select(F.explode(F.array(*mids)).alias("s")).select("s.row", F.get("s.ends", F.lit(0)).alias("i"), F.get("s.ends", F.lit(1)).alias("j")).distinct()
+    return own.unionByName(rows.select("row", F.explode(F.array_distinct(F.array("i", "j"))).alias("col"), F.lit(0.5).alias("weight")))
 
 
 def tensor_weights(fine: int, coarse: int, dim: int) -> list[tuple[int, int, float]]:
@@ -45,10 +48,6 @@ def tensor_weights(fine: int, coarse: int, dim: int) -> list[tuple[int, int, flo
 def _weights(fine: Mesh, coarse: Mesh, local: list[tuple[int, int, float]]) -> DataFrame:
     """Local weights (a table of fixed size) spread inside the elements' rows, which meet whole; shared nodes get equal rows, kept
     once, and rows of nodes inside an element are not shuffled for that."""
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(w)).alias("w")) for a, b, w in local]) if len(local) <= 64 else None
-    if table is not None and fine is coarse:
-        rows = fine.elements.select("nodes", F.explode(table).alias("s")).select(F.get("nodes", F.col("s.a")).alias("row"), F.get("nodes", F.col("s.b")).alias("col"), F.col("s.w").alias("weight"))
-        return rows.distinct()
     both = fine.elements.select("block_id", "elem_id", F.col("nodes").alias("f")).join(coarse.elements.select("block_id", "elem_id", F.col("nodes").alias("c")), ["block_id", "elem_id"])
 
     def spread(part: list[tuple[int, int, float]]) -> DataFrame:
