@@ -168,6 +168,19 @@ def dual(mesh: Mesh) -> DataFrame:
     return found.select(F.col("a.block_id").alias("block1"), F.col("a.elem_id").alias("e1"), F.col("b.block_id").alias("block2"), F.col("b.elem_id").alias("e2")).distinct()
 
 
+def sharing_two(incidence: DataFrame) -> DataFrame:
+    """e1 < e2, shared: elements with two common nodes or more, and how many, from distinct (elem_id, node_id).
+
+    They meet by pairs of nodes: k common nodes are k (k - 1) / 2 common pairs. An element has few nodes where a node may have
+    many elements, and elements with one common node never meet.
+    """
+    v, w = (incidence.select(F.col("elem_id").alias("elem_id"), F.col("node_id").alias(c)) for c in "vw")
+    pairs = v.join(w, "elem_id").where("v < w")
+    met = pairs.withColumnRenamed("elem_id", "e1").hint("merge").join(pairs.withColumnRenamed("elem_id", "e2"), ["v", "w"]).where("e1 < e2")
+    common = F.count("*")
+    return met.groupBy("e1", "e2").agg(((1 + F.sqrt(1 + 8 * common)) / 2).cast("long").alias("shared"))
+
+
 def dual_by_count(mesh: Mesh) -> DataFrame:
     """The same by counting shared corners of all pairs of elements around a node: for meshes whose elements may share corners
     that aren't a side's."""

@@ -311,9 +311,7 @@ def _(spark, d):
 
 @query("dual_hypergraph", "with h as (select distinct l_orderkey as e, l_partkey as v from lineitem) select a.e as e1, b.e as e2, count(*) as shared from h a join h b using (v) where a.e < b.e group by 1, 2 having count(*) >= 2")
 def _(spark, d):
-    h = hypergraph(spark, d)
-    b = h.withColumnRenamed("elem_id", "e2")
-    return h.withColumnRenamed("elem_id", "e1").join(b, "node_id").where("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("shared")).where("shared >= 2")
+    return graph.sharing_two(hypergraph(spark, d))
 
 
 @query("dual", f"with {TET}, {INC} select a.e as e1, b.e as e2 from inc a join inc b using (v) where a.e <> b.e group by 1, 2 having count(*) = 3")

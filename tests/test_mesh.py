@@ -228,3 +228,14 @@ def test_what_tasks_hold_does_not_grow_with_the_mesh(spark):
         plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
         assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 3
     assert abs(geometry.volumes(mesh).agg(F.sum("volume")).first()[0] - 1) < 1e-6
+
+
+def test_elements_that_share_two_nodes(spark):
+    """Only pairs with two common nodes meet, so what is held doesn't grow with the square of a node's elements."""
+    sets_ = {e: {0, *(10 + (e * k) % 23 for k in range(e % 7))} for e in range(40)}
+    h = spark.createDataFrame([(e, v) for e, s in sets_.items() for v in s], "elem_id long, node_id long")
+    want = {(a, b, len(sets_[a] & sets_[b])) for a in sets_ for b in sets_ if a < b and len(sets_[a] & sets_[b]) > 1}
+    assert set(map(tuple, graph.sharing_two(h).collect())) == want and len({k for *_, k in want}) > 2
+    # 3000 elements around one node: 4.5 million pairs of them, none of which meet.
+    star = spark.range(3000).select(F.col("id").alias("elem_id"), F.explode(F.array(F.lit(-1).cast("long"), F.col("id"))).alias("node_id"))
+    assert graph.sharing_two(star).count() == 0
