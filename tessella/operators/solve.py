@@ -2,7 +2,8 @@
 
 A round is one product of the matrix with the directions (a join on the column and a sum by row), written to the shared
 folder with the state it belongs to, and one sum for the new residual; a handful of numbers a round reach the driver. Several
-right-hand sides go through the same products. Matrices are kept in ranges of rows, so the sums of a row meet in the task that
+right-hand sides go through the same products. Where unknowns come in groups, as patches of a mesh, the few numbers that are
+constant on each are solved for at the driver every round: rounds then grow with a patch's width and not the mesh's. Matrices are kept in ranges of rows, so the sums of a row meet in the task that
 reads it, and directions are broadcast while they are of bounded size: then a round shuffles vectors, never the matrix.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from .geometry import corner_columns
 
 #: Bytes of a round's directions up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Groups of unknowns, at most: their matrix and its inverse are the driver's, 1.3 MB each. And nodes of a patch, at least.
+GROUPS, PATCH = 400, 16
 
 Vector = list[Column]
 
@@ -42,12 +46,52 @@ def product(matrix: DataFrame, vector: DataFrame, columns: tuple[str, ...] = ("v
     return met.groupBy(F.col("i").alias("id")).agg(*[F.sum(F.col("value") * F.col(f"__{c}")).alias(c) for c in columns])
 
 
-def _first_row(df: DataFrame, sums: dict[str, Column]) -> dict[str, float]:
-    return {k: float(v or 0.0) for k, v in df.agg(*[F.sum(c).alias(k) for k, c in sums.items()]).first().asDict().items()}
-
-
-def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, columns: tuple[str, ...] = ("value",), tol: float = 1e-12, max_rounds: int = 10_000) -> Solution:
-    """Solve a symmetric positive definite system, preconditioned by its diagonal.
+def patches(mesh: Mesh) -> DataFrame:
+    """id, grp: nodes by the cells of a coarse grid over the mesh, GROUPS at most."""
+    ends = mesh.points.agg(F.count("*").alias("n"), *[f(F.col(c).cast("double")).alias(f"{k}{c}") for c in "xyz" for k, f in (("a", F.min), ("z", F.max))]).first()
+    wide = [c for c in "xyz" if ends[f"a{c}"] is not None and ends[f"z{c}"] > ends[f"a{c}"]]
+    m = max([1] + [k for k in range(1, GROUPS + 1) if wide and k ** len(wide) <= min(GROUPS, ends["n"] // PATCH)])
+    at = [F.least(F.lit(m - 1), F.floor((F.col(c).cast("double") - ends[f"a{c}"]) * (m / (ends[f"z{c}"] - ends[f"a{c}"]))).cast("int")) * m**k for k, c in enumerate(wide)]
+    return mesh.points.select(F.col("node_id").alias("id"), _sum([F.lit(0), *at]).cast("int").alias("grp"))
+
+
+class _Coarse:
+    """The inverse of the groups' matrix, and what it makes of residuals summed by group."""
+
+    def __init__(self, matrix: DataFrame, groups: DataFrame):
+        gi, gj = (groups.select(F.col("id").alias(k), F.col("grp").alias(f"g{k}")) for k in "ij")
+        rows = matrix.join(gi, "i").join(gj, "j").groupBy("gi", "gj").agg(F.sum("value").alias("value")).collect()
+        self.at = {g: k for k, g in enumerate(sorted({r.gi for r in rows}))}
+        a = np.zeros((len(self.at), len(self.at)))
+        for r in rows:
+            a[self.at[r.gi], self.at[r.gj]] = r.value
+        self.inverse = np.linalg.inv((a + a.T) / 2)
+
+    def of(self, sums: dict[int, float]) -> tuple[Column, float]:
+        """The correction of a row's group (0 without one), and its product with the residual."""
+        r = np.array([sums.get(g, 0.0) for g in self.at])
+        c = self.inverse @ r
+        full = np.zeros(max(self.at, default=0) + 1)
+        full[list(self.at)] = c
+        told = F.split(F.lit(",".join(map(repr, full.tolist()))), ",").cast("array<double>")
+        return F.coalesce(F.get(told, F.col("grp")), F.lit(0.0)), float(r @ c)
+
+
+def _residuals(df: DataFrame, r: dict[str, Column], coarse: _Coarse | None) -> tuple[float, dict[str, float], dict[str, float], dict[str, Column]]:
+    """Rows; of each column: squares of the residual, its product with the preconditioned one, and that one."""
+    by = df.groupBy("grp").agg(F.count("*").alias("n"), *[F.sum(f).alias(f"{k}_{c}") for c in r for k, f in (("s", r[c]), ("rr", r[c] * r[c]), ("rz", r[c] * r[c] * F.col("w")))]).collect()
+    rr, rz = ({c: float(sum(row[f"{k}_{c}"] or 0.0 for row in by)) for c in r} for k in ("rr", "rz"))
+    z = {c: r[c] * F.col("w") for c in r}
+    if coarse:
+        for c in r:
+            near, more = coarse.of({row["grp"]: row[f"s_{c}"] or 0.0 for row in by})
+            z[c], rz[c] = z[c] + near, rz[c] + more
+    return float(sum(row["n"] for row in by)), rr, rz, z
+
+
+def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, columns: tuple[str, ...] = ("value",), tol: float = 1e-12, max_rounds: int = 10_000, groups: DataFrame | None = None) -> Solution:
+    """Solve a symmetric positive definite system, preconditioned by its diagonal and, with groups (id, grp from 0 to GROUPS - 1),
+    by the system of what is constant on each group.
 
     matrix: i, j, value, with every unknown on the diagonal; rhs: id and columns, 0 where an unknown has no row. Ends when
     every residual is at most tol times its right-hand side, by Euclidean norms; raises if that takes more rounds, or if the
@@ -56,12 +100,18 @@ def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, columns: tuple[str, .
     matrix = materialize(matrix.select("i", "j", "value").repartitionByRange("i"))
     unknown = matrix.where("i = j").groupBy("i").agg(F.sum("value").alias("d"))
     state = unknown.join(rhs.select(F.col("id").alias("i"), *[F.col(c).cast("double").alias(f"b_{c}") for c in columns]), "i", "left")
+    coarse = None
+    if groups is None:
+        state = state.withColumn("grp", F.lit(0))
+    else:
+        groups = materialize(groups.join(unknown.select(F.col("i").alias("id")), "id"))
+        coarse = _Coarse(matrix, groups)
+        state = state.join(groups.withColumnRenamed("id", "i"), "i", "left").fillna(-1, ["grp"])
     r = {c: F.coalesce(F.col(f"b_{c}"), F.lit(0.0)) for c in columns}
-    state = materialize(state.select(F.col("i").alias("id"), (1 / F.col("d")).alias("w"), *[F.lit(0.0).alias(f"x_{c}") for c in columns], *[r[c].alias(f"r_{c}") for c in columns], *[(r[c] / F.col("d")).alias(f"p_{c}") for c in columns]))
-    size = {c: F.col(f"r_{c}") * F.col(f"r_{c}") for c in columns}
-    first = _first_row(state, {f"rr_{c}": size[c] for c in columns} | {f"rz_{c}": size[c] * F.col("w") for c in columns} | {"n": F.lit(1.0)})
-    bb, rz = {c: first[f"rr_{c}"] for c in columns}, {c: first[f"rz_{c}"] for c in columns}
-    small = first["n"] * 8 * (1 + len(columns)) <= BROADCAST_BYTES
+    state = materialize(state.select(F.col("i").alias("id"), "grp", (1 / F.col("d")).alias("w"), *[F.lit(0.0).alias(f"x_{c}") for c in columns], *[r[c].alias(f"r_{c}") for c in columns]))
+    n, bb, rz, z = _residuals(state, {c: F.col(f"r_{c}") for c in columns}, coarse)
+    state = state.select("*", *[z[c].alias(f"p_{c}") for c in columns])
+    small = n * 8 * (1 + len(columns)) <= BROADCAST_BYTES
     rr, rounds = dict(bb), 0
     open_ = {c for c in columns if bb[c] > 0}
     while open_:
@@ -77,10 +127,9 @@ def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, columns: tuple[str, .
             raise ValueError("the matrix isn't positive definite")
         alpha = {c: rz[c] / pq[c] if c in open_ else 0.0 for c in columns}
         new = {c: F.col(f"r_{c}") - alpha[c] * F.col(f"q_{c}") for c in columns}
-        sums = _first_row(held, {f"rr_{c}": new[c] * new[c] for c in columns} | {f"rz_{c}": new[c] * new[c] * F.col("w") for c in columns})
-        rr, now = {c: sums[f"rr_{c}"] for c in columns}, {c: sums[f"rz_{c}"] for c in columns}
+        _, rr, now, z = _residuals(held, new, coarse)
         beta = {c: now[c] / rz[c] if c in open_ else 0.0 for c in columns}
-        state = held.select("id", "w", *[(F.col(f"x_{c}") + alpha[c] * F.col(f"p_{c}")).alias(f"x_{c}") for c in columns], *[new[c].alias(f"r_{c}") for c in columns], *[(new[c] * F.col("w") + beta[c] * F.col(f"p_{c}")).alias(f"p_{c}") for c in columns])
+        state = held.select("id", "grp", "w", *[(F.col(f"x_{c}") + alpha[c] * F.col(f"p_{c}")).alias(f"x_{c}") for c in columns], *[new[c].alias(f"r_{c}") for c in columns], *[(z[c] + beta[c] * F.col(f"p_{c}")).alias(f"p_{c}") for c in columns])
         rz, rounds = now, rounds + 1
         open_ = {c for c in open_ if rr[c] > tol * tol * bb[c]}
     return Solution(state.select("id", *[F.col(f"x_{c}").alias(c) for c in columns]), rounds, {c: (rr[c] / bb[c]) ** 0.5 if bb[c] else 0.0 for c in columns})
@@ -166,10 +215,10 @@ def diffused_distance(mesh: Mesh, known: DataFrame, tol: float = 1e-12) -> Diffu
     """
     matrix, axes = materialize(stiffness(mesh)), ("x", "y", "z")
     known = materialize(known.select("id", "value", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in axes]))
-    none = known.limit(0)
-    spread = solve_with_fixed(matrix, none, known, axes, tol=tol)
+    none, groups = known.limit(0), patches(mesh)
+    spread = solve_with_fixed(matrix, none, known, axes, tol=tol, groups=groups)
     size = F.sqrt(_sum(F.col(c) * F.col(c) for c in axes))
     normals = materialize(spread.values.withColumn("size", size).select("id", *[F.when(F.col("size") > 0, F.col(c) / F.col("size")).otherwise(0.0).alias(c) for c in axes]))
     load = divergence(mesh, normals).select("id", (-F.col("value")).alias("value"))
-    found = solve_with_fixed(matrix, load, known, tol=tol)
+    found = solve_with_fixed(matrix, load, known, tol=tol, groups=groups)
     return Diffused(materialize(found.values), normals, (spread.rounds, found.rounds))

@@ -368,7 +368,7 @@ def _(spark, d):
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     load = mesh.points.select(F.col("node_id").alias("id"), (h * h * (2 * x * (1 - x) + 2 * y * (1 - y))).alias("value"))
     zero = _on_edge(mesh).select(F.col("node_id").alias("id"), F.lit(0.0).alias("value"))
-    return solve.solve_with_fixed(solve.stiffness(mesh), load, zero).values.select("id", F.round("value", 6).alias("value"))
+    return solve.solve_with_fixed(solve.stiffness(mesh), load, zero, groups=solve.patches(mesh)).values.select("id", F.round("value", 6).alias("value"))
 
 
 @query("diffused_distance", f"with {DIMS}, {FLATPTS} select node_id as id, round(0.6 * x::double + 0.8 * y::double, 5) as value, round(0.6::double, 5) as x, round(0.8::double, 5) as y from pts")

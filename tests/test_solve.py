@@ -96,3 +96,22 @@ def test_diffused_distance_against_a_dense_solver(spark):
     load = -_vector(solve.divergence(mesh, field), n)
     assert np.allclose(_vector(out.distance, n), full([r[1] for r in known], load), atol=1e-5)
     assert min(out.rounds) > 0
+
+
+def test_patches_save_rounds(spark):
+    """The rounds of a square's solution grow with the patches' width; the values are the same."""
+    mesh, n = G.tri3_square(spark, 32, 32), 33 * 33
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    load = mesh.points.select(F.col("node_id").alias("id"), (F.sin(7 * x + 3 * y) / 1024).alias("value"))
+    edge = mesh.points.where("x = 0 or y = 0").select(F.col("node_id").alias("id"), F.lit(0.0).alias("value"))
+    groups = solve.patches(mesh)
+    sizes = [r["count"] for r in groups.groupBy("grp").count().collect()]
+    assert len(sizes) == 64 and sum(sizes) == n and max(sizes) <= 25
+    matrix = solve.stiffness(mesh)
+    s = solve.solve_with_fixed(matrix, load, edge, groups=groups)
+    a, b = _dense(matrix, n), _vector(load, n)
+    free = np.setdiff1d(np.arange(n), [r.id for r in edge.collect()])
+    want = np.zeros(n)
+    want[free] = np.linalg.solve(a[np.ix_(free, free)], b[free])
+    # By its diagonal alone the system takes 144 rounds.
+    assert np.allclose(_vector(s.values, n), want, atol=1e-9) and s.rounds < 90
