@@ -50,6 +50,14 @@ def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """df as a table of the session in the shared folder, in buckets by the keys, one file a bucket: joins on the keys leave it
+    in place. It stays until the session's owner drops it."""
+    spark, name = df.sparkSession, f"tessella_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).option("path", f"{shared_dir(spark)}/tessella/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

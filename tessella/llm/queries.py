@@ -38,14 +38,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2's walk over real arcs: customers link to the parts they order; trust starts at well-filled accounts, distrust
-    runs back from dear parts. Six rounds, as the SQL writes them out."""
+    runs back from dear parts. Six rounds, as the SQL writes them out. On the way, even hosts are customers and odd ones parts."""
     lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
-    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    customer, part = (lambda key: F.col(key).cast("long") * 2), (lambda key: F.col(key).cast("long") * 2 + 1)
+    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(customer("o_custkey").alias("a"), part("l_partkey").alias("b")).distinct()
     arcs = pairs.select(F.expr("stack(2, 'trust', a, b, 'distrust', b, a) as (kind, src, dst)"))
-    rich = _table(spark, sf_dir, "customer").where("c_acctbal >= 5000").select(F.lit("trust").alias("kind"), F.concat(F.lit("c"), "c_custkey").alias("host"))
-    dear = _table(spark, sf_dir, "part").where("p_retailprice >= 950").select(F.lit("distrust").alias("kind"), F.concat(F.lit("p"), "p_partkey").alias("host"))
+    rich = _table(spark, sf_dir, "customer").where("c_acctbal >= 5000").select(F.lit("trust").alias("kind"), customer("c_custkey").alias("host"))
+    dear = _table(spark, sf_dir, "part").where("p_retailprice >= 950").select(F.lit("distrust").alias("kind"), part("p_partkey").alias("host"))
     seeds = rich.unionByName(dear).withColumn("weight", F.lit(1.0))
-    return url_filter.propagate(arcs, seeds, tolerance=0.0, rounds=6).select("kind", "host", F.round("rank", 9).alias("rank"))
+    named = F.concat(F.when(F.col("host") % 2 == 0, "c").otherwise("p"), F.shiftright("host", 1))
+    return url_filter.propagate(arcs, seeds, tolerance=0.0, rounds=6).select("kind", named.alias("host"), F.round("rank", 9).alias("rank"))
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
