@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.elem_types import corners, element_type
 from ..mesh import Mesh, at_points, by_element
@@ -19,9 +22,21 @@ def barycenters(mesh: Mesh) -> DataFrame:
     return centroids(mesh).select("block_id", "elem_id", *[F.col(c).cast("float").alias(c) for c in "xyz"])
 
 
+def located(mesh: Mesh) -> Mesh:
+    """The mesh with each node of its rows replaced by where it is (x, y, z): what its elements are split into afterwards meets
+    no points any more."""
+    n = element_type(mesh.elem_type).n_nodes
+    long = at_points(mesh.elements.select("block_id", "elem_id", F.posexplode("nodes").alias("k", "node_id")), mesh.points).drop("node_id")
+    rows = by_element(long).agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(n) for c in "xyz"])
+    nodes = F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in "xyz"]) for k in range(n)])
+    return replace(mesh, elements=rows.select("block_id", "elem_id", nodes.alias("nodes")))
+
+
 def corner_columns(mesh: Mesh, n: int | None = None) -> DataFrame:
-    """block_id, elem_id and x0, y0, z0, x1, ...: corner coordinates side by side, by one aggregation."""
+    """block_id, elem_id and x0, y0, z0, x1, ...: corner coordinates side by side, by one aggregation; of a `located` mesh by none."""
     at = corners(mesh.elem_type)[:n]
+    if isinstance(mesh.elements.schema["nodes"].dataType.elementType, T.StructType):
+        return mesh.elements.select("block_id", "elem_id", *[F.get("nodes", F.lit(k))[c].cast("double").alias(f"{c}{i}") for i, k in enumerate(at) for c in "xyz"])
     picked = F.array(*[F.get("nodes", F.lit(k)) for k in at])
     long = at_points(mesh.elements.select("block_id", "elem_id", F.posexplode(picked).alias("k", "node_id")), mesh.points).drop("node_id")
     cols = [F.max(F.when(F.col("k") == k, F.col(c).cast("double"))).alias(f"{c}{k}") for k in range(len(at)) for c in "xyz"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.quadrature import gauss_lobatto
@@ -63,10 +65,12 @@ def _(spark, d):
 
 @query("convert_tet15_to_hex8_volume", f"with {DIMS} select n * n * n * 48 as n_elements, cast(1 as double) as volume from dims")
 def _(spark, d):
-    m = convert.convert_to(convert.promote_to(cube(spark, d, "TET4"), "TET15"), "HEX8")
-    tets = convert.convert_to(m, "TET4")
+    m = convert.promote_to(cube(spark, d, "TET4"), "TET15")
+    m = replace(m, elements=materialize(m.elements))
+    # Coordinates go to the 15 nodes of an element, not to the 96 corners of the tetrahedra that it falls into.
+    tets = convert.convert_to(convert.convert_to(geometry.located(m), "HEX8"), "TET4")
     v = geometry.volumes(tets).agg(F.round(F.sum("volume"), 3).alias("volume"))
-    return m.elements.agg(F.count("*").alias("n_elements")).crossJoin(v)
+    return convert.convert_to(m, "HEX8").elements.agg(F.count("*").alias("n_elements")).crossJoin(v)
 
 
 @query("refine_tet4", f"with {TET}, {P2}, {P2EL}, o as ({sub_sql(spelled.TET10_TO_TET4, 't10')}) select e as elem_id, nodes from o")

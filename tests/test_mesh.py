@@ -239,3 +239,13 @@ def test_elements_that_share_two_nodes(spark):
     # 3000 elements around one node: 4.5 million pairs of them, none of which meet.
     star = spark.range(3000).select(F.col("id").alias("elem_id"), F.explode(F.array(F.lit(-1).cast("long"), F.col("id"))).alias("node_id"))
     assert graph.sharing_two(star).count() == 0
+
+
+def test_volumes_of_located_elements_shuffle_nothing_after_a_split(spark):
+    tets = G.cube(spark, "TET4", 2, 1, 1)
+    m = convert.promote_to(tets, "TET15")
+    whole, at = (convert.convert_to(convert.convert_to(x, "HEX8"), "TET4") for x in (m, geometry.located(m)))
+    want, got = ({r.elem_id: r.volume for r in geometry.volumes(x).collect()} for x in (whole, at))
+    assert got == want and len(got) == 24 * 24 and abs(sum(got.values()) - 1) < 1e-5
+    plans = [geometry.volumes(x)._jdf.queryExecution().optimizedPlan().toString() for x in (at, geometry.located(m))]
+    assert plans[0].count("Join") == plans[1].count("Join")
