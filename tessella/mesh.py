@@ -44,6 +44,12 @@ class Mesh:
     blocks: tuple[Block, ...]
     dim: int = 3
     node_mapping: DataFrame | None = None
+    #: Of a lattice: its elements, and the same rows with `firsts` (see `lattice.entity_of`). They hold while the elements are those.
+    told: tuple[DataFrame, DataFrame] | None = None
+
+    def first_rows(self) -> DataFrame | None:
+        """block_id, elem_id, nodes, firsts (which of its corners, edges and sides no element before has), where that is known."""
+        return self.told[1] if self.told and self.told[0] is self.elements else None
 
     @property
     def spark(self) -> SparkSession:

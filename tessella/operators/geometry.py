@@ -29,7 +29,9 @@ def located(mesh: Mesh) -> Mesh:
     long = at_points(mesh.elements.select("block_id", "elem_id", F.posexplode("nodes").alias("k", "node_id")), mesh.points).drop("node_id")
     rows = by_element(long).agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(n) for c in "xyz"])
     nodes = F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in "xyz"]) for k in range(n)])
-    return replace(mesh, elements=rows.select("block_id", "elem_id", nodes.alias("nodes")))
+    rows, first = rows.select("block_id", "elem_id", nodes.alias("nodes")), mesh.first_rows()
+    told = None if first is None else (rows, rows.join(first.drop("nodes", "levels"), ["block_id", "elem_id"]))
+    return replace(mesh, elements=rows, told=told)
 
 
 def corner_columns(mesh: Mesh, n: int | None = None) -> DataFrame:

@@ -81,18 +81,29 @@ def node_to_node(mesh: Mesh, elem_type: str | None = None) -> DataFrame:
 
 def micro_node_to_node(mesh: Mesh) -> DataFrame:
     """i, j of a hexahedral lattice's nodes over its micro elements, a node's own included: neighbours by index arithmetic inside
-    the macro element's row. Nodes inside an element have all of theirs there; only rows of nodes on its sides are shuffled."""
+    the macro element's row. Where the mesh knows each element's first corners, edges and sides, a pair comes from the first element
+    that has both, and nothing is shuffled; else rows of nodes on elements' sides are."""
     t = element_type(mesh.elem_type)
     if not t.semistructured or t.dim != 3:
         raise ValueError(f"{mesh.elem_type} is no hexahedral lattice")
     n, w = t.level, t.level + 1
     step = F.array(*[F.struct(*[F.lit(s).alias(c) for c, s in zip("abc", (a, b, c))]) for c in (-1, 0, 1) for b in (-1, 0, 1) for a in (-1, 0, 1)])
     k = F.col("k")
-    at = mesh.elements.select("nodes", F.posexplode("nodes").alias("k", "i"))
-    at = at.select("nodes", "i", (k % w).alias("x"), (F.call_function("div", k, F.lit(w)) % w).alias("y"), F.call_function("div", k, F.lit(w * w)).alias("z"))
+    first = mesh.first_rows()
+    rows = mesh.elements.select("nodes", F.lit(None).cast("array<boolean>").alias("firsts")) if first is None else first.select("nodes", "firsts")
+    at = rows.select("nodes", "firsts", F.posexplode("nodes").alias("k", "i"))
+    at = at.select("nodes", "firsts", "i", (k % w).alias("x"), (F.call_function("div", k, F.lit(w)) % w).alias("y"), F.call_function("div", k, F.lit(w * w)).alias("z"))
     near = at.select("*", F.explode(step).alias("s"))
     px, py, pz = (F.col(c) + F.col(f"s.{s}") for c, s in zip("xyz", "abc"))
-    near = near.where(px.between(0, n) & py.between(0, n) & pz.between(0, n)).select("i", F.get("nodes", ((pz * w + py) * w + px).cast("int")).alias("j"), *"xyz")
+    near = near.where(px.between(0, n) & py.between(0, n) & pz.between(0, n))
+    if first is not None:
+        from .lattice import entity_codes, owned
+
+        # The least corner, edge or side that holds both nodes: along each axis both at one end, or not.
+        code = [F.when((F.col(c) == 0) & (p == 0), 0).when((F.col(c) == n) & (p == n), 2).otherwise(1) for c, p in zip("xyz", (px, py, pz))]
+        both = F.get(ints(entity_codes()), (code[0] + 3 * code[1] + 9 * code[2]).cast("int"))
+        return near.where(owned(F.col("firsts"), both)).select("i", F.get("nodes", ((pz * w + py) * w + px).cast("int")).alias("j"))
+    near = near.select("i", F.get("nodes", ((pz * w + py) * w + px).cast("int")).alias("j"), *"xyz")
     inside = F.lit(True)
     for c in "xyz":
         inside = inside & (F.col(c) > 0) & (F.col(c) < n)

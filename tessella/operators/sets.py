@@ -22,8 +22,9 @@ def boundary(mesh: Mesh) -> DataFrame:
 
 
 def skin_sideset(mesh: Mesh) -> DataFrame:
-    """parent, lfi, block_id of the boundary."""
-    return boundary(mesh).select("parent", "lfi", "block_id")
+    """parent, lfi, block_id of the boundary; the sides' own nodes aren't shuffled."""
+    one = graph.sides(mesh).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("block_id", "elem_id", "lfi")).alias("s")).where("n = 1")
+    return one.select(F.col("s.elem_id").alias("parent"), "s.lfi", "s.block_id")
 
 
 def _held_nodes(mesh: Mesh) -> Mesh:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.elem_types import EDGES, element_type, lattice_index, linear, proteus_quad
-from ..mesh import Block, Mesh
-from . import graph
+from ..mesh import Block, Mesh, unfolded
+from . import graph, lattice
 
 
 def p1_weights(mesh_p2: Mesh) -> DataFrame:
@@ -76,6 +80,69 @@ def level_weights(fine: Mesh, coarse: Mesh) -> DataFrame:
     return _weights(fine, coarse, tensor_weights(f.level, c.level, f.dim))
 
 
+def _summed(given: DataFrame, local: list[tuple[int, int, float]], n: int, m: int, to: int) -> DataFrame:
+    """given (any columns and v, pairs of a place k < n and its value) with s for v: for each of m places the weighted sum of the
+    values; null where none of them is there. A batch of elements is summed at once."""
+    pairs = [(pair[1 - to], pair[to], pair[2]) for pair in local]
+    rest = [c for c in given.columns if c != "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, k = b.num_rows, b.column("k")
+            at = (k.flatten().to_numpy(), np.repeat(np.arange(rows), np.diff(k.offsets)))
+            v, there = np.zeros((n, rows)), np.zeros((n, rows), bool)
+            v[at] = b.column("value").flatten().to_numpy(zero_copy_only=False)
+            there[at] = True
+            s, some = np.zeros((m, rows)), np.zeros((m, rows), bool)
+            for i, j, w in pairs:
+                s[j] += w * v[i]
+                some[j] |= there[i]
+            flat = pa.array(np.ascontiguousarray(s.T).ravel(), mask=~np.ascontiguousarray(some.T).ravel())
+            out = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * m, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), out], names=[*rest, "s"])
+
+    schema = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in rest)
+    return given.select(*rest, "v.k", "v.value").mapInArrow(run, f"{schema}, s array<double>")
+
+
+def _by_element(long: DataFrame, field: DataFrame) -> DataFrame:
+    """(block_id, elem_id, k, node) with a field on the nodes -> block_id, elem_id, comp, v (pairs of k and value)."""
+    met = unfolded(long).join(field.select(F.col("id").alias("node"), "comp", "value"), "node").select("block_id", "elem_id", "comp", "k", "value")
+    return met.groupBy("block_id", "elem_id", "comp").agg(F.collect_list(F.struct("k", "value")).alias("v"))
+
+
+def prolongate_level(fine: Mesh, coarse: Mesh, field: DataFrame) -> DataFrame:
+    """`prolongate` by `level_weights`, inside the elements' rows: each coarse value goes to its elements, each fine node comes from the
+    first that has it. Only rows of values are shuffled, none of weights. For meshes that don't know which that is, by weights."""
+    rows = fine.first_rows()
+    if rows is None:
+        return prolongate(level_weights(fine, coarse), field)
+    f, c = element_type(fine.elem_type), element_type(coarse.elem_type)
+    given = _by_element(coarse.elements.select("block_id", "elem_id", F.posexplode("nodes").alias("k", "node")), field)
+    local = tensor_weights(f.level, c.level, f.dim)
+    both = rows.select("block_id", "elem_id", "nodes", "firsts").join(unfolded(given), ["block_id", "elem_id"])
+    both = _summed(both.select("nodes", "firsts", "comp", "v"), local, c.n_nodes, f.n_nodes, 0)
+    entity = graph.ints(lattice.entity_of(f.level, f.dim))
+    long = both.select("nodes", "firsts", "comp", F.posexplode("s").alias("k", "value"))
+    return long.where(F.col("value").isNotNull() & lattice.owned(F.col("firsts"), F.get(entity, F.col("k")))).select(F.get("nodes", F.col("k")).alias("id"), "comp", "value")
+
+
+def restrict_level(fine: Mesh, coarse: Mesh, field: DataFrame) -> DataFrame:
+    """`restrict` by `level_weights`, inside the elements' rows: each fine value goes to the first element that has its node, and sums
+    for the element's coarse nodes leave it. For meshes that don't know which that is, by weights."""
+    rows = fine.first_rows()
+    if rows is None:
+        return restrict(level_weights(fine, coarse), field)
+    f, c = element_type(fine.elem_type), element_type(coarse.elem_type)
+    entity = graph.ints(lattice.entity_of(f.level, f.dim))
+    long = rows.select("block_id", "elem_id", "firsts", F.posexplode("nodes").alias("k", "node")).where(lattice.owned(F.col("firsts"), F.get(entity, F.col("k"))))
+    given = _by_element(long.select("block_id", "elem_id", "k", "node"), field)
+    local = tensor_weights(f.level, c.level, f.dim)
+    sums = _summed(given, local, f.n_nodes, c.n_nodes, 1)
+    both = unfolded(sums).join(coarse.elements, ["block_id", "elem_id"]).select("comp", F.explode(F.arrays_zip("nodes", "s")).alias("x"))
+    return both.where("x.s is not null").groupBy(F.col("x.nodes").alias("id"), "comp").agg(F.sum("x.s").alias("value"))
+
+
 def prolongate(weights: DataFrame, field: DataFrame) -> DataFrame:
     """id, comp, value on the fine nodes."""
     return weights.join(field, F.col("col") == F.col("id")).groupBy(F.col("row").alias("id"), "comp").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
@@ -116,7 +183,8 @@ def restrict_edges(field: DataFrame, numbers: DataFrame, n_corners: int) -> Data
 
 
 class Restrict:
-    """A restriction kept as its weights; rows and columns of the operator, and apply()."""
+    """A restriction kept as its weights, which apply() needs only where elements don't tell their first nodes; rows and columns of
+    the operator, and apply()."""
 
     def __init__(self, fine: Mesh, coarse: Mesh):
         self.weights = level_weights(fine, coarse)
@@ -129,7 +197,7 @@ class Restrict:
         return self._sizes[1].points.count()
 
     def apply(self, field: DataFrame) -> DataFrame:
-        return restrict(self.weights, field)
+        return restrict_level(self._sizes[1], self._sizes[0], field)
 
 
 class SurfaceRestrict(Restrict):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh
-from ..operators import convert, graph, lattice, sets, transfer
+from ..operators import convert, geometry, graph, lattice, sets, transfer
 from ..storage import materialize
 from .registry import CELLS, DIMS, FLAT, cells, cube, query, square
 
@@ -109,7 +109,6 @@ def _(spark, d):
 
 def _levels(spark, d, make, kind=None):
     m = lattice.to_semistructured(make(spark, d) if kind is None else make(spark, d, kind), 4, hierarchical=True)
-    m = Mesh(materialize(m.points), materialize(m.elements), m.blocks, m.dim)
     return m, lattice.derefine(m, 2)
 
 
@@ -134,7 +133,7 @@ def _gathered(names: str, also: str = "true", where: str = "true") -> str:
 def _(spark, d):
     n = cells(spark, d)
     fine, coarse = _levels(spark, d, cube)
-    return _told(transfer.prolongate(transfer.level_weights(fine, coarse), _valued(coarse, 2 * n)), fine, 4 * n)
+    return _told(transfer.prolongate_level(fine, coarse, _valued(coarse, 2 * n)), fine, 4 * n)
 
 
 @query("lattice_restriction", f"with {DIMS} {_gathered('ijk')}")
@@ -191,7 +190,7 @@ def _(spark, d):
 def _(spark, d):
     n = cells(spark, d)
     fine, coarse = _levels(spark, d, square, "QUAD4")
-    return _told(transfer.prolongate(transfer.level_weights(fine, coarse), _valued(coarse, 2 * n, "ij")), fine, 4 * n, "ij")
+    return _told(transfer.prolongate_level(fine, coarse, _valued(coarse, 2 * n, "ij")), fine, 4 * n, "ij")
 
 
 @query("quad_lattice_restriction", f"with {DIMS} {_gathered('ij')}")
@@ -223,9 +222,6 @@ def _(spark, d):
 def _(spark, d):
     """Neighbours over the micro elements of level 2, by where both nodes are."""
     n = cells(spark, d)
-    mesh = lattice.to_semistructured(cube(spark, d), 2)
-    at = materialize(_at(mesh, 2 * n))
-    other = at.select(F.col("node_id").alias("j_"), F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("k").alias("nk"))
-    pairs = graph.micro_node_to_node(mesh).select(F.col("i").alias("i_"), F.col("j").alias("j_"))
-    return pairs.join(at, F.col("i_") == F.col("node_id")).join(other, "j_").select("i", "j", "k", "ni", "nj", "nk")
-
+    # Places go to an element's nodes, not to the pairs that are made of them.
+    pairs = graph.micro_node_to_node(geometry.located(lattice.to_semistructured(cube(spark, d), 2)))
+    return pairs.select(*[F.round(F.col(f"{p}.{c}").cast("double") * (2 * n)).cast("long").alias(a) for p, names in (("i", "ijk"), ("j", ("ni", "nj", "nk"))) for c, a in zip("xyz", names)])

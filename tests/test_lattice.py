@@ -94,3 +94,30 @@ def test_lattice_points_are_made_inside_the_elements_rows(spark):
     points = lattice.fill_points(macro, rows, 3)
     assert "corner#" not in points._jdf.queryExecution().toString()
     assert points.count() == n == points.select("node_id").distinct().count() == 7 * 4 * 4
+
+
+@pytest.mark.parametrize("hierarchical", [False, True])
+def test_first_elements_give_the_same_lattice_without_its_nodes_shuffled(spark, hierarchical):
+    """Numbers, points and pairs by the first element of each corner, edge and side equal those of the general steps."""
+    from tessella.operators import graph
+
+    macro = G.cube(spark, "HEX8", 3, 2, 1)
+    turned = F.array(*[F.get("nodes", F.lit(k)) for k in (1, 2, 3, 0, 5, 6, 7, 4)])
+    macro = Mesh(macro.points, macro.elements.withColumn("nodes", F.when(F.col("elem_id") % 2 == 1, turned).otherwise(F.col("nodes"))), macro.blocks)
+    fine = lattice.to_semistructured(macro, 4, hierarchical=hierarchical)
+    plain = lattice.to_semistructured(macro, 4)
+    want = lattice.hierarchical_renumbering(Mesh(plain.points, plain.elements, plain.blocks)) if hierarchical else Mesh(lattice.fill_points(macro, plain.elements, 4), lattice.generate_elements(macro, 4)[0], plain.blocks)
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert {r.elem_id: r.nodes for r in fine.elements.collect()} == {r.elem_id: r.nodes for r in want.elements.collect()}
+    assert [[round(v, 5) for v in r] for r in told(fine.points)] == [[round(v, 5) for v in r] for r in told(want.points)]
+    pairs = graph.micro_node_to_node(fine)
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert told(pairs) == told(graph.micro_node_to_node(want))
+    if hierarchical:
+        coarse = lattice.derefine(fine, 2)
+        assert coarse.points.count() == 7 * 5 * 3
+        field = lambda m: m.points.select(F.col("node_id").alias("id"), F.lit(0).alias("comp"), (F.col("node_id") % 13).cast("double").alias("value"))
+        w = transfer.level_weights(fine, coarse)
+        assert got(transfer.prolongate_level(fine, coarse, field(coarse))) == got(transfer.prolongate(w, field(coarse)))
+        some = field(fine).where("id % 5 <> 0 and id % 2 = 0")
+        assert got(transfer.restrict_level(fine, coarse, some)) == got(transfer.restrict(w, some))
